@@ -7,8 +7,80 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import hnsw, language_id, mixing, packing, quality_fm, quality_rules, secret_scan, simhash, toxicity, url_filters
+from .common import id_remainder, table
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the packing query uses; an installed package holds it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.ids_crc32(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = id_remainder("doc_id", 5)
+    model = language_id.train(docs.where(rest != 0))
+    held = docs.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "text")
+    found = language_id.detect(held, model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "n_langs")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = secret_scan.scan(docs, secret_scan.default_forest(spark))
+    return d.select(
+        "doc_id",
+        F.size("secret_candidates").cast("long").alias("n_candidates"),
+        F.size("secret_found").cast("long").alias("n_secrets"),
+        "secret_found",
+        F.crc32(F.col("secret_text").cast("binary")).alias("redacted_crc32"),
+    )
+
+
+def _held_out(name: str):
+    return F.coalesce(id_remainder(name, 4) == 2, F.lit(False))
+
+
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    machine = quality_fm.train(docs, labels.where(id_remainder("doc_id", 4) != 2))
+    scored = quality_fm.score(docs.withColumn("held_out", _held_out("doc_id")), machine, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(id_remainder("doc_id", 4) != 2))
+    scored = toxicity.score(docs.withColumn("held_out", _held_out("doc_id")), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +88,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_fm": op6_quality_fm,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_hnsw": op10_hnsw,
 }
 
 ORACLE_SQL: dict[str, str] = {}

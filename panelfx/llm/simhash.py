@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import save
 from .components import connected_components
 
@@ -53,6 +54,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(id, fp)`` for every row; fp is the 64-bit fingerprint as a signed long."""
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +176,7 @@ def near_links(distinct_fps: DataFrame) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("s"), F.col("fp").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("m")) for k, m in enumerate(MASKS)])).alias("p"),
     ).select("p.s", "p.m", "fp")
     spark = distinct_fps.sparkSession
+    ship(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     lists = posts.repartition(parts, "s", "m").sortWithinPartitions("s", "m", "fp").select("s", "fp")
     return lists.mapInArrow(_links, "u long, v long")
