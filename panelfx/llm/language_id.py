@@ -163,7 +163,7 @@ def infer(texts: list[bytes], model: Model, rounds: int = 20, penalty: float = 0
 
 
 def detect(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` and lang_pred, score, n_langs, mixture (language to proportion) for every row.
+    """``id_cols`` (any columns to carry, the text too) and lang_pred, score, n_langs, mixture (language to proportion) for every row.
 
     A text that is null or has no letter is ``und`` with score 0 and an empty mixture; so is every
     text if the model has no language. Very long texts are inferred whole. Ties go to the language
@@ -196,4 +196,4 @@ def detect(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
                     names=[*id_cols, "lang_pred", "score", "n_langs", "mixture"],
                 )
 
-    return docs.select(*id_cols, text_col).mapInArrow(run, f"{types}, lang_pred string, score double, n_langs int, mixture map<string,double>")
+    return docs.select(*id_cols, F.col(text_col).alias("_text")).mapInArrow(run, f"{types}, lang_pred string, score double, n_langs int, mixture map<string,double>")
