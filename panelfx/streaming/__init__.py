@@ -1,0 +1 @@
+"""Nothing here: the engine works on finished panels."""
