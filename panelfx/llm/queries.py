@@ -111,4 +111,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hnsw": op10_hnsw,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LINK = r"<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*\bhref\s*=\s*[\"'']?([^\"''\s>]+)"
+_LINK_TURNED = r"<link\b[^>]*\bhref\s*=\s*[\"'']?([^\"''\s>]+)[^>]*\brel\s*=\s*[\"'']?canonical\b"
+_REFRESH = r"<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*\bcontent\s*=\s*[\"'']?[^\"''>]*?url\s*=\s*([^\"''\s>]+)"
+
+URL_SQL = rf"""
+WITH RECURSIVE
+rules(action, rh, rp) AS (VALUES {", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)}),
+raw AS (SELECT url, unnest([coalesce(nullif(regexp_extract(html, '{_LINK}', 1, 'is'), ''), regexp_extract(html, '{_LINK_TURNED}', 1, 'is')), regexp_extract(html, '{_REFRESH}', 1, 'is')]) AS link
+        FROM pages WHERE contains(url, '://')),
+full_ AS (SELECT url, CASE WHEN contains(link, '://') THEN link
+                           WHEN starts_with(link, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || link
+                           WHEN starts_with(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || link
+                           ELSE regexp_replace(regexp_extract(url, '^(.*?://[^/?#]*(?:[^?#]*/)?)', 1, 's'), '([^/])$', '\1/') || link END AS target
+          FROM raw WHERE link <> ''),
+ends AS (SELECT regexp_replace(url, '#.*$', '', 's') AS u, regexp_replace(target, '#.*$', '', 's') AS v FROM full_),
+ties AS (SELECT u, v FROM ends WHERE u <> v UNION SELECT v, u FROM ends WHERE u <> v),
+reach AS (SELECT u, v FROM ties UNION SELECT r.u, t.v FROM reach r JOIN ties t ON t.u = r.v),
+everyone AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL UNION SELECT u FROM ties),
+parts AS (SELECT url, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM everyone),
+fits AS (SELECT url, rh || rp AS rule, action, row_number() OVER (PARTITION BY url ORDER BY length(rh || rp) DESC, length(rh) DESC, action) AS n
+         FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+own AS (SELECT url, rule, action FROM fits WHERE n = 1),
+reached AS (SELECT DISTINCT r.u AS node FROM reach r JOIN own ON own.url = r.v AND own.action = 'block')
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(action, CASE WHEN node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM pages LEFT JOIN parts USING (url) LEFT JOIN own USING (url) LEFT JOIN reached ON node = regexp_replace(url, '#.*$', '', 's')
+"""
+
+#: All pairs, which the tables of the comparison are small enough for.
+EMBEDDING_SQL = """
+WITH RECURSIVE
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+least AS (SELECT u, min(v) AS m FROM reach GROUP BY u),
+many AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN many ON many.u = vec_id
+"""
+
+#: The others learn a model, hash or tokenize: tests hold them against brute force or held-out rows.
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": URL_SQL, "op10_hnsw": EMBEDDING_SQL}
