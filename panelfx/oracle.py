@@ -109,12 +109,12 @@ per AS (SELECT l.lam_time, p.t, v.u, sum(exp(-l.lam_time * abs(p.t - v.t))) AS s
        FROM (SELECT DISTINCT lam_time FROM grid) l CROSS JOIN (SELECT DISTINCT t FROM valid) p CROSS JOIN valid v GROUP BY 1, 2, 3),
 cell AS (SELECT a.lam_time, a.t, a.u, v.y, v.y - a.swy / a.sw AS r, CASE WHEN a.sw - 1 > 1e-12 THEN (a.swy - v.y) / (a.sw - 1) ELSE 0 END AS alpha
          FROM per a JOIN valid v ON v.u = a.u AND v.t = a.t),
-both AS (SELECT a.lam_time, a.u, a.t, a.y, a.alpha, b.r,
+twin AS (SELECT a.lam_time, a.u, a.t, a.y, a.alpha, b.r,
                 CASE WHEN p.n > 1 THEN sqrt(greatest(p.sum_sq - (a.y - b.y) * (a.y - b.y), 0) / (p.n - 1)) END AS dist
          FROM cell a JOIN cell b ON a.lam_time = b.lam_time AND a.t = b.t AND a.u <> b.u LEFT JOIN pairs p ON p.i = a.u AND p.j = b.u),
 wt AS (SELECT g.g_id, g.lam_time, g.lam_unit, x.u, x.t, x.y, x.alpha, x.r,
               CASE WHEN g.lam_unit = 0 THEN 1.0 WHEN x.dist IS NULL THEN 0.0 ELSE exp(-g.lam_unit * x.dist) END AS w
-       FROM both x JOIN grid g ON g.lam_time = x.lam_time),
+       FROM twin x JOIN grid g ON g.lam_time = x.lam_time),
 loo AS (SELECT g_id, lam_time, lam_unit, y - alpha - CASE WHEN sum(w) > 0 THEN sum(w * r) / sum(w) ELSE 0 END AS tau
         FROM wt GROUP BY g_id, lam_time, lam_unit, u, t, y, alpha),
 scores AS (SELECT g_id, lam_time, lam_unit, sum(tau * tau) AS q, count(tau) AS n_valid, count(*) AS n_attempted FROM loo GROUP BY 1, 2, 3),
