@@ -99,9 +99,11 @@ class Graph:
             out[a + r, place] = cand[r, c]
         used = (out >= 0).sum(axis=1)
         r, c = np.nonzero(out >= 0)
-        heads = out[r, c]
+        heads, tails = out[r, c], r
+        new = ~(out[heads] == tails[:, None]).any(axis=1)
+        heads, tails = heads[new], tails[new]
         order = np.argsort(heads, kind="stable")  # mutual links, as far as there is room
-        heads, tails = heads[order], r[order]
+        heads, tails = heads[order], tails[order]
         nth = np.arange(len(heads)) - np.searchsorted(heads, heads, side="left")
         at = used[heads] + nth
         fits = at < links
