@@ -124,7 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def resample(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` says; rows with a null id appear once."""
-    copies = mixed.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, docs[id_col] == copies["_id"], "left")
-    times = F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.coalesce("_copies", F.lit(0))).cast("int")
-    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    copies = mixed.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
+    joined = docs.join(copies, docs[id_col] == copies["_mix_id"], "left")
+    times = F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.coalesce("_mix_copies", F.lit(0))).cast("int")
+    return joined.withColumn("_mix_n", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

@@ -202,6 +202,6 @@ def score(docs: DataFrame, machine: Machine, id_cols: list[str], text_col: str =
         for b in batches:
             for at, texts in slices(b.column(len(id_cols))):
                 ids = [b.column(c).slice(at, len(texts)) for c in range(len(id_cols))]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(shared.value.score(texts))], names=[*id_cols, "score"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.round(shared.value.score(texts), 9))], names=[*id_cols, "score"])
 
     return docs.select(*id_cols, text_col).mapInArrow(run, f"{types}, score double")

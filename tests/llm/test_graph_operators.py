@@ -117,6 +117,8 @@ def test_beams_widen_to_the_whole_cluster():
     r = np.random.default_rng(1)
     x = np.concatenate((r.normal(size=16) + r.normal(size=(400, 16)) * 0.02, r.normal(size=(600, 16))))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g = hnsw.Graph(x)
+    built = hnsw.Graph.build(x)
+    g = hnsw.Graph.load(x, built.rows())
+    assert all((a[1] == b[1]).all() for a, b in zip([(0, np.sort(n, axis=1)) for _, n in built.layers], [(0, np.sort(n, axis=1)) for _, n in g.layers], strict=True))
     q, row = hnsw._hits(g, x[:5].astype(np.float32), 0.95, 16)
     assert len(q) >= 0.99 * (x[:5] @ x.T >= 0.95).sum()
