@@ -11,8 +11,8 @@ from panelfx.llm import language_id, mixing, packing, secret_scan, simhash
 from panelfx.llm.common import drop_saved, save, table
 from panelfx.llm.queries import tokenizer_path
 
-#: A document stays if one language makes up at least this share of it.
-LEAST_SHARE = 0.5
+#: A document stays if one language makes up at least this share of it: with less it has no main language.
+LEAST_SHARE = 0.34
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

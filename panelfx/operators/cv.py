@@ -93,17 +93,17 @@ def best_row(scores: DataFrame) -> DataFrame:
 
 def summary(scores: DataFrame) -> DataFrame:
     """Root mean squares, failure shares and tiers of every row."""
-    fail = 1 - F.col("n_valid") / F.col("n_attempted")
-    return scores.withColumn("rmse", F.sqrt(F.col("q") / F.col("n_valid"))).withColumn("fail_rate", fail).withColumn("tier", F.when(fail > ABORT_SHARE, "abort").when(fail > WARN_SHARE, "warn").otherwise("ok"))
+    fail = 1 - F.try_divide(F.col("n_valid"), F.col("n_attempted"))
+    return scores.withColumn("rmse", F.sqrt(F.try_divide(F.col("q"), F.col("n_valid")))).withColumn("fail_rate", fail).withColumn("tier", F.when(fail > ABORT_SHARE, "abort").when(fail > WARN_SHARE, "warn").otherwise("ok"))
 
 
 def sensitivity(scores: DataFrame) -> DataFrame:
     """Spread of the scores over the grid and whether the best row lies on its edge."""
-    a = scores.agg(F.count("q").alias("n"), F.min("q").alias("q_min"), F.max("q").alias("q_max"), F.avg("q").alias("q_mean"), (F.stddev_samp("q") / F.avg("q")).alias("cv"), F.min("lam_time").alias("t_lo"), F.max("lam_time").alias("t_hi"), F.min("lam_unit").alias("u_lo"), F.max("lam_unit").alias("u_hi"))
+    a = scores.agg(F.count("q").alias("n"), F.min("q").alias("q_min"), F.max("q").alias("q_max"), F.avg("q").alias("q_mean"), F.try_divide(F.stddev_samp("q"), F.avg("q")).alias("cv"), F.min("lam_time").alias("t_lo"), F.max("lam_time").alias("t_hi"), F.min("lam_unit").alias("u_lo"), F.max("lam_unit").alias("u_hi"))
     b = best_row(scores).select(F.col("lam_time").alias("bt"), F.col("lam_unit").alias("bu"))
     edge = (F.abs(F.col("bt") - F.col("t_lo")) < 1e-10) | (F.abs(F.col("bt") - F.col("t_hi")) < 1e-10) | (F.abs(F.col("bu") - F.col("u_lo")) < 1e-10) | (F.abs(F.col("bu") - F.col("u_hi")) < 1e-10)
     label = F.when(F.col("cv") < 0.1, "low").when(F.col("cv") < 0.3, "moderate").otherwise("high")
-    return a.crossJoin(b).select("n", "q_min", "q_max", "q_mean", "cv", ((F.col("q_max") - F.col("q_min")) / F.col("q_min") * 100).alias("range_pct"), label.alias("label"), edge.alias("on_edge"))
+    return a.crossJoin(b).select("n", "q_min", "q_max", "q_mean", "cv", (F.try_divide(F.col("q_max") - F.col("q_min"), F.col("q_min")) * 100).alias("range_pct"), label.alias("label"), edge.alias("on_edge"))
 
 
 def top(scores: DataFrame, k: int = 5) -> DataFrame:

@@ -85,7 +85,7 @@ def moments(boot: DataFrame) -> DataFrame:
         F.count("att").alias("n"), F.avg("att").alias("mean"), F.stddev_samp("att").alias("sd"), F.skewness("att").alias("g1"), F.kurtosis("att").alias("g2"),
         *[F.percentile("att", F.lit(p)).alias(f"p{100 * p:g}".replace(".", "_")) for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)],
     )
-    share = (F.col("n") - 1) / F.col("n")
+    share = F.try_divide(F.col("n") - 1, F.col("n"))
     a = a.withColumn("skew", F.when(F.col("sd") > 0, F.col("g1") * F.pow(share, F.lit(1.5)))).withColumn("kurt", F.when(F.col("sd") > 0, (F.col("g2") + 3) * share * share))
     a = a.withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("jb", F.col("n") / 6 * (F.col("skew") ** 2 + (F.col("kurt") - 3) ** 2 / 4))
     return a.drop("g1", "g2").withColumn("jb_p", F.exp(-F.col("jb") / 2))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .index import treated_cells, units, valid
-from .weights import joint_time, joint_unit, omega, shape, theta
+from .weights import joint_unit, omega, shape, theta
 
 
 def unit_sums(cells: DataFrame, targets: DataFrame, lam_time: float) -> DataFrame:
@@ -48,7 +48,7 @@ def att(tau: DataFrame) -> DataFrame:
 def weighted_att(tau: DataFrame, weights: DataFrame) -> DataFrame:
     """Mean effect by unit weights ``(u, w)``; weights that aren't positive and finite are left out."""
     w = tau.join(weights, "u").where("w > 0 AND w < double('infinity')")
-    return w.agg((F.sum(F.col("w") * F.col("tau")) / F.sum("w")).alias("att"), F.sum("w").alias("sum_w"))
+    return w.agg(F.try_divide(F.sum(F.col("w") * F.col("tau")), F.sum("w")).alias("att"), F.sum("w").alias("sum_w"))
 
 
 def joint_inf(cells: DataFrame, lam_time: float, lam_unit: float) -> DataFrame:
@@ -72,9 +72,9 @@ def joint_inf_grid(cells: DataFrame, grid: DataFrame) -> DataFrame:
     # controls after adoption are weighted by unit within each period, and periods alike: sums over a complete block
     a = rows.groupBy("lam_time", "lam_unit").agg(
         F.avg(F.when(tr & ~pr, y)).alias("t_post"),
-        (n(tr & pr, dt_ * y) / n(tr & pr, dt_)).alias("t_pre"),
-        (n(~tr & ~pr, du_ * y) / n(~tr & ~pr, du_)).alias("c_post"),
-        (n(~tr & pr, dt_ * du_ * y) / n(~tr & pr, dt_ * du_)).alias("c_pre"),
+        F.try_divide(n(tr & pr, dt_ * y), n(tr & pr, dt_)).alias("t_pre"),
+        F.try_divide(n(~tr & ~pr, du_ * y), n(~tr & ~pr, du_)).alias("c_post"),
+        F.try_divide(n(~tr & pr, dt_ * du_ * y), n(~tr & pr, dt_ * du_)).alias("c_pre"),
     )
     return a.select("lam_time", "lam_unit", (F.col("t_post") - F.col("t_pre") - F.col("c_post") + F.col("c_pre")).alias("att"))
 
@@ -94,16 +94,11 @@ def twostep_inf(cells: DataFrame, lam_time: float, lam_unit: float) -> DataFrame
     targets = treated_cells(cells).select("u", "t", "y")
     pre = cells.crossJoin(F.broadcast(shape(cells))).where("t < n_t - t_post").select(F.col("u").alias("j"), F.col("t").alias("s"), F.col("y").alias("y_s"))
     w = theta(targets, cells, lam_time)
-    before = pre.join(F.broadcast(w), "s").groupBy("t", "j").agg((F.sum(F.col("theta") * F.col("y_s")) / F.sum("theta")).alias("m"))
+    before = pre.join(F.broadcast(w), "s").groupBy("t", "j").agg(F.try_divide(F.sum(F.col("theta") * F.col("y_s")), F.sum("theta")).alias("m"))
     own = targets.join(before.withColumnRenamed("j", "u"), ["u", "t"]).select("u", "t", "y", F.col("m").alias("own_pre"))
     never = F.broadcast(units(cells).where("NOT treated").select(F.col("u").alias("j")))
     now = cells.select(F.col("u").alias("j"), "t", F.col("y").alias("y_now"))
     controls = omega(targets, cells, lam_unit).join(never, "j").join(now, ["j", "t"]).join(before, ["j", "t"])
-    gain = controls.groupBy("u", "t").agg((F.sum(F.col("omega") * (F.col("y_now") - F.col("m"))) / F.sum("omega")).alias("gain"))
+    gain = controls.groupBy("u", "t").agg(F.try_divide(F.sum(F.col("omega") * (F.col("y_now") - F.col("m"))), F.sum("omega")).alias("gain"))
     return own.join(gain, ["u", "t"]).select("u", "t", "y", (F.col("y") - F.col("own_pre") - F.col("gain")).alias("tau"))
 
-
-def joint_delta_sums(cells: DataFrame, lam_time: float, lam_unit: float) -> DataFrame:
-    """Total weight of the joint fit by period."""
-    d = cells.join(F.broadcast(joint_time(cells, lam_time)), F.col("t") == F.col("s")).join(F.broadcast(joint_unit(cells, lam_unit)), F.col("u") == F.col("j"))
-    return d.groupBy("t").agg(F.sum(F.col("delta_time") * F.col("delta_unit") * (1 - F.col("d"))).alias("delta"))

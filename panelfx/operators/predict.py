@@ -47,9 +47,9 @@ def zero_parameters(cells: DataFrame, lam_time: float) -> tuple[DataFrame, DataF
     n = targets.groupBy("t").agg(F.count("*").alias("n_fits")).withColumnRenamed("t", "fit_t")
     sums = unit_sums(cells, targets, lam_time).join(n, F.col("t") == F.col("fit_t"))
     mean = lambda c: F.sum(c * F.col("n_fits")) / F.sum("n_fits")
-    alpha = sums.groupBy(F.col("j").alias("u")).agg(mean(F.col("swy") / F.col("sw")).alias("alpha"))
+    alpha = sums.groupBy(F.col("j").alias("u")).agg(mean(F.try_divide("swy", "sw")).alias("alpha"))
     left = valid(cells).select(F.col("u").alias("_u"), F.col("t").alias("s"), "y").join(sums, F.col("_u") == F.col("j"))
-    per = left.groupBy("fit_t", "n_fits", "s").agg(F.avg(F.col("y") - F.col("swy") / F.col("sw")).alias("b"))
+    per = left.groupBy("fit_t", "n_fits", "s").agg(F.avg(F.col("y") - F.try_divide("swy", "sw")).alias("b"))
     beta = per.groupBy(F.col("s").alias("t")).agg(mean(F.col("b")).alias("beta"))
     return alpha, beta
 

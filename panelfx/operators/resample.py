@@ -44,7 +44,7 @@ def boot_zero(cells: DataFrame, lam_time: float, draws: DataFrame, weights: Data
     targets = treated_cells(cells)
     sums = unit_sums(cells, targets, lam_time)
     sums = sums.withColumnRenamed("j", "u")
-    own = targets.select("u", "t", "y").join(sums, ["u", "t"], "left").select("u", "t", "y", F.coalesce(F.col("swy") / F.col("sw"), F.lit(0.0)).alias("alpha"))
+    own = targets.select("u", "t", "y").join(sums, ["u", "t"], "left").select("u", "t", "y", F.coalesce(F.try_divide("swy", "sw"), F.lit(0.0)).alias("alpha"))
     left = valid(cells).select("u", "t", "y").join(sums, ["u", "t"]).select("u", "t", (F.col("y") - F.col("swy") / F.col("sw")).alias("r"))
     beta = m.join(left, "u").groupBy("b", "t").agg((F.sum(F.col("m") * F.col("r")) / F.sum("m")).alias("beta"))
     tau = m.join(own, "u").join(beta, ["b", "t"], "left").withColumn("tau", F.col("y") - F.col("alpha") - F.coalesce("beta", F.lit(0.0)))

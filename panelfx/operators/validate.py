@@ -24,7 +24,7 @@ def time_gaps(cells: DataFrame) -> DataFrame:
 def dims(cells: DataFrame) -> DataFrame:
     """N, T, observed cells, missing share and its tier."""
     d = cells.agg(F.countDistinct("u").alias("n_units"), F.countDistinct("t").alias("n_periods"), F.count(F.when(F.col("y").isNotNull() & F.col("d").isNotNull(), 1)).alias("n_obs"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
-    miss = 1 - F.col("n_obs") / (F.col("n_units") * F.col("n_periods"))
+    miss = 1 - F.try_divide(F.col("n_obs"), F.col("n_units") * F.col("n_periods"))
     d = d.withColumn("miss", miss)
     return d.withColumn("tier", tier(F.col("miss"))).withColumn("balanced", F.col("miss") < 1e-10)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distance import distances_without
@@ -77,12 +77,9 @@ def stats(weights: DataFrame, key: str, value: str) -> DataFrame:
         F.min(first(F.col("w")))["k"].alias("argmin"), F.min(first(-F.col("w")))["k"].alias("argmax"), F.sum("w").alias("total"),
         *[F.percentile("w", F.lit(p)).alias(f"p{int(100 * p)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)],
     )
-    p = w.crossJoin(F.broadcast(a.select("total", "n"))).withColumn("p", F.col("w") / F.col("total"))
+    p = w.crossJoin(F.broadcast(a.select("total", "n"))).withColumn("p", F.try_divide("w", "total"))
     run = Window.orderBy(F.col("w").desc(), "k").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("run", F.sum("p").over(run)).withColumn("r", F.row_number().over(Window.orderBy(F.col("w").desc(), "k")))
-    b = p.agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0))).alias("entropy"), (1 / F.sum(F.col("p") ** 2)).alias("ess"), (F.min(F.when(F.col("run") >= 0.5 - 1e-12, F.col("r"))) / F.max("n")).alias("concentration"))
+    b = p.agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0))).alias("entropy"), F.try_divide(F.lit(1.0), F.sum(F.col("p") ** 2)).alias("ess"), F.try_divide(F.min(F.when(F.col("run") >= 0.5 - 1e-12, F.col("r"))), F.max("n")).alias("concentration"))
     return a.drop("total").crossJoin(b)
 
-
-def normal_share(value: Column) -> Column:
-    return value / F.sum(value).over(Window.partitionBy(F.lit(0)))
