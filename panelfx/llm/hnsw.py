@@ -32,17 +32,47 @@ AUDIT, AUDIT_RECALL = 64, 0.99
 
 
 class Graph:
-    """A navigable small-world graph over the rows of ``x`` (unit vectors)."""
+    """A navigable small-world graph over the rows of ``x`` (unit vectors).
 
-    def __init__(self, x: np.ndarray, seed: int = 7) -> None:
+    ``layers`` holds for each level its members and their neighbours, both by row number.
+    """
+
+    def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.x = np.ascontiguousarray(x, dtype=np.float32)
-        n = len(x)
-        draw = np.random.default_rng(seed).random(n)
-        self.level = np.minimum(np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(UPPER_LINKS)), 8).astype(int)
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # (members, neighbours as places among members)
-        for lev in range(int(self.level.max(initial=0)) + 1):
-            members = np.flatnonzero(self.level >= lev)
-            self.layers.append((members, self._wire(self.x[members], LINKS if lev == 0 else UPPER_LINKS)))
+        self.layers = layers
+
+    @classmethod
+    def build(cls, x: np.ndarray, seed: int = 7) -> Graph:
+        x = np.ascontiguousarray(x, dtype=np.float32)
+        draw = np.random.default_rng(seed).random(len(x))
+        level = np.minimum(np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(UPPER_LINKS)), 8).astype(int)
+        layers = []
+        for lev in range(int(level.max(initial=0)) + 1):
+            members = np.flatnonzero(level >= lev)
+            near = cls._wire(x[members], LINKS if lev == 0 else UPPER_LINKS)
+            layers.append((members, np.where(near >= 0, members[np.maximum(near, 0)], -1)))
+        return cls(x, layers)
+
+    def rows(self) -> list[list[list[int]]]:
+        """Of each row of x, its neighbours on the levels that it has."""
+        out: list[list[list[int]]] = [[] for _ in range(len(self.x))]
+        for members, near in self.layers:
+            for m, own in zip(members.tolist(), near, strict=True):
+                out[m].append(own[own >= 0].tolist())
+        return out
+
+    @classmethod
+    def load(cls, x: np.ndarray, rows: list) -> Graph:
+        layers = []
+        height = np.array([len(r) for r in rows])
+        for lev in range(int(height.max(initial=1))):
+            members = np.flatnonzero(height > lev)
+            near = np.full((len(members), LINKS if lev == 0 else UPPER_LINKS), -1, dtype=np.int64)
+            for k, m in enumerate(members.tolist()):
+                own = rows[m][lev]
+                near[k, : len(own)] = own
+            layers.append((members, near))
+        return cls(x, layers)
 
     @staticmethod
     def _nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -71,14 +101,21 @@ class Graph:
                     got_i[rows, at] = cell[top[:, j]]
                     got_s[rows, at] = s[np.arange(len(s)), top[:, j]]
                 filled[rows] += kk
-        order = np.argsort(-got_s, axis=1, kind="stable")
+        if covers > 1:  # a neighbour that several cells have shown counts once
+            by_id = np.argsort(got_i, axis=1, kind="stable")
+            got_i, got_s = np.take_along_axis(got_i, by_id, axis=1), np.take_along_axis(got_s, by_id, axis=1)
+            again = got_i[:, 1:] == got_i[:, :-1]
+            got_i[:, 1:][again] = -1
+            got_s[:, 1:][again] = -2
+        order = np.argsort(-got_s, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(got_i, order, axis=1)
 
-    def _wire(self, x: np.ndarray, links: int) -> np.ndarray:
+    @classmethod
+    def _wire(cls, x: np.ndarray, links: int) -> np.ndarray:
         n = len(x)
         if n < 2:
             return np.full((n, 1), -1, dtype=np.int64)
-        near = self._nearest(x, min(CANDIDATES, n - 1))
+        near = cls._nearest(x, min(CANDIDATES, n - 1))
         out = np.full((n, links), -1, dtype=np.int64)
         for a in range(0, n, 512):
             cand = near[a : a + 512]
@@ -113,18 +150,13 @@ class Graph:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` best rows found for each query, and their similarities (-1 and -2 where fewer)."""
         m = len(q)
-        at = np.zeros(m, dtype=np.int64)
-        for lev in range(len(self.layers) - 1, 0, -1):
-            members, near = self.layers[lev]
-            if lev == len(self.layers) - 1:
-                at = np.full(m, int(np.argmax(members >= 0)))
-            else:
-                at = np.searchsorted(members, at_global)
-            best = np.einsum("md,md->m", self.x[members[at]], q)
+        at = np.full(m, self.layers[-1][0][0])
+        for members, near in self.layers[:0:-1]:
+            best = np.einsum("md,md->m", self.x[at], q)
             moving = np.arange(m)
             while len(moving):
-                cand = near[at[moving]]
-                s = np.einsum("mkd,md->mk", self.x[members[np.maximum(cand, 0)]], q[moving])
+                cand = near[np.searchsorted(members, at[moving])]
+                s = np.einsum("mkd,md->mk", self.x[np.maximum(cand, 0)], q[moving])
                 s[cand < 0] = -2
                 k = s.argmax(axis=1)
                 top = s[np.arange(len(moving)), k]
@@ -132,9 +164,6 @@ class Graph:
                 moving, cand, k, top = moving[up], cand[up], k[up], top[up]
                 at[moving] = cand[np.arange(len(moving)), k]
                 best[moving] = top
-            at_global = members[at]
-        if len(self.layers) > 1:
-            at = at_global
         near = self.layers[0][1]
         n = len(self.x)
         seen = np.zeros((m, n), dtype=bool)
@@ -229,11 +258,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def build_shard(shard: pd.DataFrame) -> pd.DataFrame:
+    """One shard's vectors with their neighbours by place, in the order of the places."""
+    shard = shard.sort_values("id", ignore_index=True)
+    graph = Graph.build(_unit(_matrix(shard["v"])))
+    return shard.assign(place=np.arange(len(shard)), near=graph.rows())
+
+
 def compare(shard: pd.DataFrame, queries: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     """One shard's graph against one block of queries: their verified link counts, and a forest of the links."""
+    shard = shard.sort_values("place", ignore_index=True)
     x, q = _matrix(shard["v"]), _matrix(queries["v"])
     xu, qu = _unit(x), _unit(q)
-    graph = Graph(xu)
+    graph = Graph.load(xu, shard["near"].tolist())
     q32, near = qu.astype(np.float32), threshold - 1e-5
     sample = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     truth = (q32[sample] @ graph.x.T >= near).sum()
@@ -243,6 +280,7 @@ def compare(shard: pd.DataFrame, queries: pd.DataFrame, threshold: float, beam:
             break
         beam *= 2
     at, row = _hits(graph, q32, near, beam)
+    at, row = np.divmod(np.unique(at * len(x) + row), len(x))
     ids, shard_ids, many = queries["id"].to_numpy(), shard["id"].to_numpy(), shard["n"].to_numpy()
     ok = np.einsum("md,md->m", qu[at], xu[row]) >= threshold
     ok &= ids[at] != shard_ids[row]
@@ -275,7 +313,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     number = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards))
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(shards))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    index = nodes.select("id", "n", "v", "d", number.cast("int").alias("s"), every.alias("b"))
+    sharded = nodes.select("id", "n", "v", "d", number.cast("int").alias("s"))
+    built = sharded.groupBy("d", "s").applyInPandas(build_shard, "id long, n long, v array<double>, d int, s int, place int, near array<array<int>>")
+    index = save(built, "hnsw-index").withColumn("b", every)
     queries = nodes.select("id", "n", "v", "d", block.cast("int").alias("b"), every.alias("s"))
 
     def run(keys: tuple, shard: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
