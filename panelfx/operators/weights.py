@@ -31,7 +31,8 @@ def weight_matrix(targets: DataFrame, cells: DataFrame, lam_time: float, lam_uni
     """``(u, t, j, s, w)`` = theta x omega; with ``drop_below``, cells under that share of the target's largest are left out."""
     w = omega(targets, cells, lam_unit).join(theta(targets, cells, lam_time), "t").withColumn("w", F.col("theta") * F.col("omega"))
     if drop_below:
-        w = w.where(F.col("w") >= drop_below * F.max("w").over(Window.partitionBy("u", "t")))
+        top = F.max("w").over(Window.partitionBy("u", "t"))
+        w = w.withColumn("top", top).where(F.col("w") >= drop_below * F.col("top"))
     return w.select("u", "t", "j", "s", "w")
 
 

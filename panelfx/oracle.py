@@ -201,7 +201,28 @@ C, S, W = cells(), cells("staggered"), cells("switching")
 M = cells("block", "month")
 FIRST = "first AS (SELECT * FROM treated ORDER BY t, u LIMIT 1)"
 
+def grid(times: str, norms: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS g_id, lam_time, lam_unit, lam_norm FROM (SELECT unnest({times}::DOUBLE[]) AS lam_time, unnest(range(10)[1:len({times})]) AS i) CROSS JOIN (SELECT unnest({times}::DOUBLE[]) AS lam_unit, unnest(range(10)[1:len({times})]) AS j) CROSS JOIN (SELECT unnest({norms}::DOUBLE[]) AS lam_norm, unnest(range(10)[1:len({norms})]) AS k)"
+
+
+MOMENTS = [
+    "b1 AS (SELECT count(att) AS n, avg(att) AS mean, stddev_samp(att) AS sd FROM boot)",
+    "b2 AS (SELECT any_value(n) AS n, any_value(mean) AS mean, avg(((att - mean) / sd) ** 3) AS skew, avg(((att - mean) / sd) ** 4) AS kurt FROM boot CROSS JOIN b1)",
+]
+Z90 = 1.6448536269514722
+
 ORACLE_SQL: dict[str, str] = {
+    "weight_matrix_sparse": sql(
+        [C, pairs(), FIRST, f"wm AS (SELECT x.u, x.t, j.u AS j, s.s, exp(-1.0 * abs(x.t - s.s)) * CASE WHEN x.u = j.u THEN 1 ELSE coalesce(exp(-{LU} * sqrt(p.sum_sq / p.n)), 0) END AS w FROM first x CROSS JOIN units j CROSS JOIN (SELECT DISTINCT t AS s FROM cells) s LEFT JOIN pairs p ON p.i = x.u AND p.j = j.u)"],
+        f"SELECT u, t, j, s, {r('w')} FROM wm WHERE w >= 1e-6 * (SELECT max(w) FROM wm)",
+    ),
+    "first_target": sql([C, FIRST], f"SELECT u, t, {r('y')} FROM first"),
+    "grid_default": grid("[0, 0.1, 0.5, 1, 2, 5]", "[0, 0.01, 0.1, 1, 10]"),
+    "grid_fine": grid("[0, 0.1, 0.3, 0.5, 1, 2, 5]", "[0, 0.01, 0.0316, 0.1, 0.316, 1, 10]"),
+    "boot_variance_population": sql([C, zero(), DRAWS, BOOT_BODY], "SELECT count(*) AS n, round(var_pop(att), 6) + 0.0 AS variance, round(stddev_pop(att), 6) + 0.0 AS se FROM boot"),
+    "boot_flags": sql([C, zero(), DRAWS, BOOT_BODY, *MOMENTS], "SELECT abs(skew) > 2 AS skewed, abs(kurt - 3) > 7 AS heavy, exp(-n / 6 * (skew ** 2 + (kurt - 3) ** 2 / 4) / 2) < 0.01 AS not_normal, abs(mean - 0.5) / 5.0 > 0.3 AS biased FROM b2"),
+    "es_window": sql([S, zero(), ES], f"SELECT h, n, {r('att', 'se')}, round(att - {Z90} * se, 6) + 0.0 AS low, round(att + {Z90} * se, 6) + 0.0 AS high FROM es WHERE h BETWEEN 0 AND 5"),
+    "priority_dims": sql(["raw AS (SELECT o_orderpriority AS unit, date_trunc('quarter', o_orderdate) AS time, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2)", "cells AS (SELECT dense_rank() OVER (ORDER BY unit) - 1 AS u, dense_rank() OVER (ORDER BY time) - 1 AS t, y FROM raw)", DIMS], f"SELECT {DIMS_OUT} FROM dims"),
     "flagship_att": sql([C, zero()], f"SELECT {r('att')}, n_cells FROM (SELECT avg(tau) AS att, count(tau) AS n_cells FROM tau)"),
     "panel_index": sql([C], f"SELECT u, t, {r('y')}, d FROM cells"),
     "panel_dims": sql([C, DIMS], f"SELECT {DIMS_OUT} FROM dims"),

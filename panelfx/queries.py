@@ -108,6 +108,7 @@ query("weight_check")(lambda s, d, c: validate.weight_check(c.join(survey(s, d,
 query("design_check")(lambda s, d, c: validate.design_check(survey(s, d, c)))
 simple("report", validate.report)
 simple("summary_stats", diagnose.summarize)
+query("priority_dims", None)(lambda s, d, c: validate.dims(panels.treat(index_cells(panels.priority_periods(s, d), PanelSpec(treatment="none")), "block")))
 query("events_dims", None)(lambda s, d, c: validate.dims(panels.treat(index_cells(panels.user_days(s, d), PanelSpec(treatment="none")), "block")))
 
 # distances and weights
@@ -117,6 +118,8 @@ simple("distance_summary", distance.distance_summary)
 simple("twostep_theta", lambda c: weights.theta(treated_cells(c), c, LAM_TIME))
 simple("twostep_omega", lambda c: weights.omega(treated_cells(c), c, LAM_UNIT), "staggered")
 simple("weight_matrix", lambda c: weights.weight_matrix(weights.first_target(c), c, LAM_TIME, LAM_UNIT))
+simple("weight_matrix_sparse", lambda c: weights.weight_matrix(weights.first_target(c), c, 1.0, LAM_UNIT, drop_below=1e-6))
+simple("first_target", lambda c: weights.first_target(c).select("u", "t", "y"))
 simple("joint_delta_time", lambda c: weights.joint_time(c, LAM_TIME))
 simple("joint_delta_unit", lambda c: weights.joint_unit(c, LAM_UNIT))
 simple("joint_delta", lambda c: weights.joint_delta(c, LAM_TIME, LAM_UNIT))
@@ -139,10 +142,15 @@ query("cv_summary")(lambda s, d, c: cv.summary(cv.scores_zero(c, _grid(s))))
 query("cv_sensitivity")(lambda s, d, c: cv.sensitivity(cv.scores_zero(c, _grid(s))))
 query("cv_top")(lambda s, d, c: cv.top(cv.scores_zero(c, _grid(s)), 3))
 
+query("grid_default", None)(lambda s, d, c: cv.grid_frame(s, *cv.GRIDS["default"]))
+query("grid_fine", None)(lambda s, d, c: cv.grid_frame(s, *cv.GRIDS["fine"]))
+
 # resampling
 simple("boot_draws", lambda c: resample.unit_draws(c, N_BOOT))
 simple("boot_zero_att", _boot)
 simple("boot_variance", lambda c: resample.variance(_boot(c)))
+simple("boot_variance_population", lambda c: resample.variance(_boot(c), ddof=0))
+simple("boot_flags", lambda c: diagnose.moment_flags(diagnose.moments(_boot(c)), 0.5, 5.0))
 simple("boot_percentile_ci", lambda c: resample.percentile_interval(_boot(c)))
 simple("boot_moments", lambda c: diagnose.moments(_boot(c)))
 query("boot_weighted_att")(lambda s, d, c: resample.boot_zero(c, LAM_TIME, resample.unit_draws(c, N_BOOT), survey(s, d, c).select("u", "w")))
@@ -166,6 +174,7 @@ simple("predict_te", lambda c: predict.predict(_predicted(c), "te"))
 simple("fit_alpha", lambda c: predict.zero_parameters(c, LAM_TIME)[0])
 simple("fit_beta", lambda c: predict.zero_parameters(c, LAM_TIME)[1])
 simple("es_horizon", lambda c: diagnose.event_study(c, zero_tau(c)), "staggered")
+simple("es_window", lambda c: diagnose.event_study(c, zero_tau(c), 90.0, 0, 5), "staggered")
 simple("es_placebo", lambda c: diagnose.placebo(c, *predict.zero_parameters(c, LAM_TIME)))
 simple("pretrend_wald", lambda c: diagnose.pretrend(diagnose.placebo(c, *predict.zero_parameters(c, LAM_TIME))))
 
@@ -202,3 +211,33 @@ def _cv_lowrank(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame
     small = cells.where("u < 12 AND t >= 15").withColumn("t", F.col("t") - 15)
     grid = spark.createDataFrame([(0, 0.1, 0.0, 10.0), (1, 0.1, 0.0, 1e10)], "g_id int, lam_time double, lam_unit double, lam_norm double")
     return kernels.cv_lowrank(small, grid, maxiter=100)
+
+
+@query("unconverged", rule="staggered")
+def _unconverged(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    few = treated_cells(cells).where("t >= 25").select("u", "t")
+    tasks = few.withColumn("task_id", F.xxhash64("u", "t")).withColumn("lam_time", F.lit(0.1)).withColumn("lam_unit", F.lit(0.0)).withColumn("lam_norm", F.lit(1.0))
+    return diagnose.unconverged(kernels.cell_fits(cells, tasks, maxiter=3))
+
+
+@query("factors")
+def _factors(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    grid = spark.createDataFrame([(0, LAM_TIME, LAM_UNIT, 10.0)], "g_id int, lam_time double, lam_unit double, lam_norm double")
+    first = treated_cells(cells).orderBy("t", "u").limit(1).select("u", "t").crossJoin(grid).withColumn("task_id", F.lit(0).cast("long"))
+    row = kernels.cell_fits(cells, first, with_parameters=True, maxiter=200).first()
+    import numpy as np
+
+    low = np.array(row["low"]).reshape(-1, len(row["alpha"])) if row and row["low"] else np.zeros((1, 1))
+    got = diagnose.factors(low)
+    return spark.createDataFrame([(got["frobenius"], got["nuclear"], got["effective_rank"], got["max_abs"])], "frobenius double, nuclear double, effective_rank double, max_abs double")
+
+
+@query("boot_joint")
+def _boot_joint(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    from .plans.strategy import boot_refit
+    from .spec import FitOptions
+
+    full = cells.groupBy().agg((F.count("*") == F.countDistinct("u") * F.countDistinct("t")).alias("full")).first()["full"]
+    if not full:  # the joint method needs every treated cell
+        return spark.createDataFrame([], "b int, att double")
+    return boot_refit(cells, FitOptions(method="joint", n_boot=20), (LAM_TIME, LAM_UNIT, 1e10))

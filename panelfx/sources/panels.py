@@ -31,6 +31,12 @@ def nation_periods(spark: SparkSession, sf_dir: str, period: str = "quarter") ->
     return rows.groupBy(F.col("c_nationkey").alias("unit"), F.date_trunc(period, "o_orderdate").alias("time")).agg((F.avg("o_totalprice") / 1000).alias("y"))
 
 
+def priority_periods(spark: SparkSession, sf_dir: str, period: str = "quarter") -> DataFrame:
+    """``(unit, time, y)``: mean order value in thousands, by order priority and period."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", "o_orderdate", "o_totalprice")
+    return orders.groupBy(F.col("o_orderpriority").alias("unit"), F.date_trunc(period, "o_orderdate").alias("time")).agg((F.avg("o_totalprice") / 1000).alias("y"))
+
+
 def nation_covariate(spark: SparkSession, sf_dir: str, period: str = "quarter") -> DataFrame:
     """``(unit, time, x)``: mean quantity of the cell's order lines."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
