@@ -45,7 +45,7 @@ def scores_zero(cells: DataFrame, grid: DataFrame) -> DataFrame:
     other = c.select(F.col("u").alias("j"), F.col("t").alias("s"), F.col("y").alias("y_s"))
     periods = c.select("t").distinct()
     th = F.exp(-F.col("lam_time") * F.abs(F.col("t") - F.col("s")))
-    sums = other.crossJoin(F.broadcast(periods.crossJoin(times))).groupBy("lam_time", "t", "j").agg(F.sum(th).alias("sw"), F.sum(th * F.col("y_s")).alias("swy"))
+    sums = other.crossJoin(periods.crossJoin(times)).groupBy("lam_time", "t", "j").agg(F.sum(th).alias("sw"), F.sum(th * F.col("y_s")).alias("swy"))
     at = c.select(F.col("u").alias("j"), "t", "y").join(sums, ["j", "t"])
     # what is left of each cell by its unit's mean, with the cell (as a neighbour) and without it (as the target)
     at = at.select("lam_time", "t", "j", "y", (F.col("y") - F.col("swy") / F.col("sw")).alias("r"), F.when(F.col("sw") - 1 > 1e-12, (F.col("swy") - F.col("y")) / (F.col("sw") - 1)).otherwise(0.0).alias("alpha"))

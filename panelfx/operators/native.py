@@ -18,7 +18,7 @@ def unit_sums(cells: DataFrame, targets: DataFrame, lam_time: float) -> DataFram
     """``(t, j, sw, swy)``: time-weighted sums of each unit's valid cells, for each target period."""
     c = valid(cells).select(F.col("u").alias("j"), F.col("t").alias("s"), "y")
     w = theta(targets, cells, lam_time)
-    return c.join(F.broadcast(w), "s").groupBy("t", "j").agg(F.sum("theta").alias("sw"), F.sum(F.col("theta") * F.col("y")).alias("swy"))
+    return c.join(w, "s").groupBy("t", "j").agg(F.sum("theta").alias("sw"), F.sum(F.col("theta") * F.col("y")).alias("swy"))
 
 
 def twostep_zero(cells: DataFrame, targets: DataFrame, lam_time: float, lam_unit: float) -> DataFrame:
@@ -61,7 +61,7 @@ def joint_inf_grid(cells: DataFrame, grid: DataFrame) -> DataFrame:
     """``(lam_time, lam_unit, att)`` for every row of ``grid(lam_time, lam_unit)``, in one plan."""
     one = shape(cells)
     rmse = joint_unit(cells, 0.0).select(F.col("j").alias("u"), "rmse")
-    per = cells.join(F.broadcast(units(cells).select("u", "treated")), "u").join(F.broadcast(rmse), "u").crossJoin(F.broadcast(one))
+    per = cells.join(units(cells).select("u", "treated"), "u").join(rmse, "u").crossJoin(F.broadcast(one))
     rows = per.crossJoin(F.broadcast(grid))
     dt = F.exp(-F.col("lam_time") * F.abs(F.col("t") - (F.col("n_t") - F.col("t_post") / 2)))
     du = F.when(F.col("rmse").isNull(), 0.0).otherwise(F.exp(-F.col("lam_unit") * F.col("rmse")))
@@ -81,7 +81,7 @@ def joint_inf_grid(cells: DataFrame, grid: DataFrame) -> DataFrame:
 
 def did(cells: DataFrame) -> DataFrame:
     """Difference in differences of a block design and its four means."""
-    per = cells.join(F.broadcast(units(cells).select("u", "treated")), "u").crossJoin(F.broadcast(shape(cells)))
+    per = cells.join(units(cells).select("u", "treated"), "u").crossJoin(F.broadcast(shape(cells)))
     post = F.col("t") >= F.col("n_t") - F.col("t_post")
     m = lambda a, b: F.avg(F.when(a & b, F.col("y")))
     tr = F.col("treated")
@@ -94,9 +94,9 @@ def twostep_inf(cells: DataFrame, lam_time: float, lam_unit: float) -> DataFrame
     targets = treated_cells(cells).select("u", "t", "y")
     pre = cells.crossJoin(F.broadcast(shape(cells))).where("t < n_t - t_post").select(F.col("u").alias("j"), F.col("t").alias("s"), F.col("y").alias("y_s"))
     w = theta(targets, cells, lam_time)
-    before = pre.join(F.broadcast(w), "s").groupBy("t", "j").agg(F.try_divide(F.sum(F.col("theta") * F.col("y_s")), F.sum("theta")).alias("m"))
+    before = pre.join(w, "s").groupBy("t", "j").agg(F.try_divide(F.sum(F.col("theta") * F.col("y_s")), F.sum("theta")).alias("m"))
     own = targets.join(before.withColumnRenamed("j", "u"), ["u", "t"]).select("u", "t", "y", F.col("m").alias("own_pre"))
-    never = F.broadcast(units(cells).where("NOT treated").select(F.col("u").alias("j")))
+    never = units(cells).where("NOT treated").select(F.col("u").alias("j"))
     now = cells.select(F.col("u").alias("j"), "t", F.col("y").alias("y_now"))
     controls = omega(targets, cells, lam_unit).join(never, "j").join(now, ["j", "t"]).join(before, ["j", "t"])
     gain = controls.groupBy("u", "t").agg(F.try_divide(F.sum(F.col("omega") * (F.col("y_now") - F.col("m"))), F.sum("omega")).alias("gain"))

@@ -96,7 +96,7 @@ def rao_wu(design: DataFrame, n_boot: int, seed: int = 42, options: SurveyDesign
     b = replicates(design, n_boot)
     drawn = b.crossJoin(slots).withColumn("i", (draw(F.col("b"), F.col("h") * 1009 + F.col("k"), seed) % F.col("n")).cast("int"))
     r = drawn.groupBy("b", "stratum", "i").agg(F.count("*").alias("r")).join(psu, ["stratum", "i"]).select("b", "stratum", "psu", "r")
-    rows = b.crossJoin(design.join(F.broadcast(order), "stratum").select("u", "stratum", "psu", "w", "n", "m", "h", order.f))
+    rows = b.crossJoin(design.join(order, "stratum").select("u", "stratum", "psu", "w", "n", "m", "h", order.f))
     rows = rows.join(r, ["b", "stratum", "psu"], "left")
     held = (F.col("n") == 1) | (F.coalesce("f", F.lit(0.0)) >= 1)
     base = F.col("w")

@@ -12,13 +12,13 @@ from .index import treated_cells, units
 def theta(targets: DataFrame, cells: DataFrame, lam: float) -> DataFrame:
     """``(t, s, theta)``: exp(-lam |t - s|) for each target period and every period."""
     periods = cells.select(F.col("t").alias("s")).distinct()
-    return targets.select("t").distinct().crossJoin(F.broadcast(periods)).withColumn("theta", F.exp(-lam * F.abs(F.col("t") - F.col("s"))))
+    return targets.select("t").distinct().crossJoin(periods).withColumn("theta", F.exp(-lam * F.abs(F.col("t") - F.col("s"))))
 
 
 def omega(targets: DataFrame, cells: DataFrame, lam: float) -> DataFrame:
     """``(u, t, j, omega)``: exp(-lam dist without t); the unit itself 1; no shared period 0; all 1 for lam 0."""
     everyone = cells.select(F.col("u").alias("j")).distinct()
-    grid = targets.select("u", "t").crossJoin(F.broadcast(everyone))
+    grid = targets.select("u", "t").crossJoin(everyone)
     if lam == 0:
         return grid.withColumn("omega", F.lit(1.0))
     d = distances_without(cells, targets)
@@ -50,8 +50,8 @@ def joint_time(cells: DataFrame, lam: float) -> DataFrame:
 def joint_unit(cells: DataFrame, lam: float) -> DataFrame:
     """``(j, rmse, delta_unit)``: against the mean path of ever-treated units before adoption."""
     pre = cells.where("y IS NOT NULL").crossJoin(F.broadcast(shape(cells))).where("t < n_t - t_post")
-    path = pre.join(F.broadcast(units(cells).where("treated").select("u")), "u").groupBy("t").agg(F.avg("y").alias("m"))
-    rmse = pre.join(F.broadcast(path), "t").groupBy("u").agg(F.sqrt(F.avg((F.col("y") - F.col("m")) ** 2)).alias("rmse"))
+    path = pre.join(units(cells).where("treated").select("u"), "u").groupBy("t").agg(F.avg("y").alias("m"))
+    rmse = pre.join(path, "t").groupBy("u").agg(F.sqrt(F.avg((F.col("y") - F.col("m")) ** 2)).alias("rmse"))
     everyone = cells.select("u").distinct().crossJoin(F.broadcast(shape(cells)))
     joined = everyone.join(rmse, "u", "left")
     w = F.when(F.col("n_t") == F.col("t_post"), 1.0).when(F.col("rmse").isNull(), 0.0).otherwise(F.exp(-lam * F.col("rmse")))
@@ -60,7 +60,7 @@ def joint_unit(cells: DataFrame, lam: float) -> DataFrame:
 
 def joint_delta(cells: DataFrame, lam_time: float, lam_unit: float) -> DataFrame:
     """``(u, t, delta)``: product of both, zero on treated cells."""
-    a = cells.join(F.broadcast(joint_time(cells, lam_time)), F.col("t") == F.col("s")).join(F.broadcast(joint_unit(cells, lam_unit)), F.col("u") == F.col("j"))
+    a = cells.join(joint_time(cells, lam_time), F.col("t") == F.col("s")).join(joint_unit(cells, lam_unit), F.col("u") == F.col("j"))
     return a.select("u", "t", (F.col("delta_time") * F.col("delta_unit") * (1 - F.col("d"))).alias("delta"))
 
 
