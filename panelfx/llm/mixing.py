@@ -80,7 +80,8 @@ def multipliers(sized: DataFrame, goals: DataFrame, cap: float = CAP, tolerance:
         if not state.where("NOT done").limit(1).count():
             break
     drop_saved(cells)
-    return state.select("source", "lam", "mean")
+    # sums of doubles differ in their last digits from run to run; the multipliers must not
+    return state.select("source", F.round("lam", 10).alias("lam"), "mean")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, cap: int = int(CAP)) -> DataFrame:
