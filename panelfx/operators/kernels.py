@@ -207,6 +207,18 @@ def cell_fits(cells: DataFrame, tasks: DataFrame, with_parameters: bool = False,
     return dealt.mapInPandas(run, f"task_id long, u int, t int, tau double, iters int, converged int{extra}")
 
 
+def averages(fits: DataFrame, n_units: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Means over the fits that succeeded: ``(u, alpha)``, ``(t, beta)``, ``(u, t, low)``."""
+    ok = fits.where("converged >= 0")
+
+    def mean(column: str) -> DataFrame:
+        return ok.select(F.posexplode(column).alias("at", "v")).groupBy("at").agg(F.avg("v").alias("v"))
+
+    place = F.col("at")
+    low = mean("low").select((place % n_units).cast("int").alias("u"), F.floor(place / n_units).cast("int").alias("t"), F.col("v").alias("low"))
+    return mean("alpha").select(place.alias("u"), F.col("v").alias("alpha")), mean("beta").select(place.alias("t"), F.col("v").alias("beta")), low
+
+
 def tasks_for(targets: DataFrame, grid: DataFrame) -> DataFrame:
     """Every target cell under every row of ``grid(g_id, lam_time, lam_unit, lam_norm)``."""
     t = targets.select("u", "t").crossJoin(F.broadcast(grid))

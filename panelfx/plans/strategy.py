@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cv, infer, kernels, native, resample, validate
 from ..operators.index import index_cells, treated_cells, units
-from ..spec import FitOptions, InvalidPanel, NoTreatedCell, PanelSpec, effective_penalty
+from ..spec import FitOptions, InvalidPanel, NoTreatedCell, PanelSpec, SurveyDesign, effective_penalty
 
 
 def choose_path(method: str, lam_norm: float, simultaneous: bool, complete: bool, covariates: bool = False) -> str:
@@ -37,10 +37,24 @@ class Fit:
     inference: dict
     boot: DataFrame | None = None
     scores: list[dict] = field(default_factory=list)
+    weights: DataFrame | None = None
+    design: DataFrame | None = None
+    survey: SurveyDesign | None = None
 
+    def bootstrap(self, n: int = 1000, seed: int | None = None) -> Fit:
+        """The same fit with a new bootstrap; penalties, weights and survey design stay."""
+        options = replace(self.options, n_boot=n, seed=self.options.seed if seed is None else seed)
+        boot, se, interval = resampled(self.cells, options, self.lambdas, self.path, self.tau, self.weights, self.design, self.survey)
+        n1 = units(self.cells).where("treated").count()
+        return replace(self, options=options, boot=boot, inference=infer.intervals(self.att, se, n1, options.level, options.ci, interval))
 
-def estimate(df: DataFrame, spec: PanelSpec | None = None, options: FitOptions | None = None, grid: str | tuple = "default") -> Fit:
-    """Validate, choose penalties (given ones, or by leave-one-out search), estimate and bootstrap."""
+
+def estimate(df: DataFrame, spec: PanelSpec | None = None, options: FitOptions | None = None, grid: str | tuple = "default", survey: SurveyDesign | None = None) -> Fit:
+    """Validate, choose penalties (given ones, or by leave-one-out search), estimate and bootstrap.
+
+    A weight in the spec weights effects, not fits. With a survey design the bootstrap rescales weights
+    (1 each where the spec names none) and fits nothing again.
+    """
     spec, options = spec or PanelSpec(), options or FitOptions()
     spec.check(df.schema)
     cells = index_cells(df, spec).persist()
@@ -61,19 +75,49 @@ def estimate(df: DataFrame, spec: PanelSpec | None = None, options: FitOptions |
         lam = options.lambdas
     path = choose_path(options.method, lam[2], sim, complete, bool(spec.covariates))
     tau, att = effects(cells, options, lam, path)
-    boot, se, interval = None, None, None
-    if options.n_boot and path == "zero" and lam[1] == 0:
-        boot = resample.boot_zero(cells, lam[0], resample.unit_draws(cells, options.n_boot, options.seed)).persist()
-        se = resample.variance(boot, options.ddof).first()["se"]
-        r = resample.percentile_interval(boot, options.level).first()
-        interval = (r["low"], r["high"]) if r["low"] is not None else None
-    elif options.n_boot:
-        boot = boot_refit(cells, options, lam).persist()
-        se = resample.variance(boot, options.ddof).first()["se"]
-        r = resample.percentile_interval(boot, options.level).first()
-        interval = (r["low"], r["high"]) if r["low"] is not None else None
+    weights = design = None
+    if spec.weight:
+        if validate.weight_check(cells).first()["n_bad"]:
+            raise InvalidPanel("weights must be positive and constant within a unit")
+        weights = cells.groupBy("u").agg(F.max("w").alias("w"))
+        att = native.weighted_att(tau, weights).first()["att"]
+    if survey:
+        design = survey_table(df, cells, spec, survey, weights)
+        if validate.design_check(design, nest=True).where("NOT ok").limit(1).count():
+            raise InvalidPanel("a stratum has fewer units in its population than in the sample, or several populations")
+    boot, se, interval = resampled(cells, options, lam, path, tau, weights, design, survey)
     n1 = units(cells).where("treated").count()
-    return Fit(options, cells, path, lam, att, tau, infer.intervals(att, se, n1, options.level, options.ci, interval), boot, scores)
+    return Fit(options, cells, path, lam, att, tau, infer.intervals(att, se, n1, options.level, options.ci, interval), boot, scores, weights, design, survey)
+
+
+def survey_table(df: DataFrame, cells: DataFrame, spec: PanelSpec, survey: SurveyDesign, weights: DataFrame | None) -> DataFrame:
+    """``(u, stratum, psu, w, fpc)``; strata and sampling units must be constant within a unit."""
+    fpc = F.col(survey.fpc).cast("double") if survey.fpc else F.lit(None).cast("double")
+    psu = F.struct(survey.stratum, survey.psu) if survey.nest else F.col(survey.psu)
+    own = df.select(F.col(spec.unit).alias("unit"), F.col(survey.stratum).alias("stratum"), psu.alias("psu"), fpc.alias("fpc")).distinct()
+    own = cells.select("unit", "u").distinct().join(own, "unit").select("u", "stratum", "psu", "fpc")
+    if own.groupBy("u").count().where("count > 1").limit(1).count():
+        raise InvalidPanel("a unit has several strata, sampling units or populations")
+    if not survey.nest and own.select("stratum", "psu").distinct().groupBy("psu").count().where("count > 1").limit(1).count():
+        raise InvalidPanel("a sampling unit is in several strata; nest them if their codes repeat")
+    w = weights if weights is not None else cells.select("u").distinct().withColumn("w", F.lit(1.0))
+    return own.join(w, "u").select("u", "stratum", "psu", "w", "fpc")
+
+
+def resampled(cells, options, lam, path, tau, weights=None, design=None, survey=None) -> tuple[DataFrame | None, float | None, tuple[float, float] | None]:
+    """Replicates, their standard error and percentile interval."""
+    if not options.n_boot:
+        return None, None, None
+    if design is not None:
+        boot = resample.rao_wu_att(tau, resample.rao_wu(design, options.n_boot, options.seed, survey))
+    elif path == "zero" and lam[1] == 0:
+        boot = resample.boot_zero(cells, lam[0], resample.unit_draws(cells, options.n_boot, options.seed), weights)
+    else:
+        boot = boot_refit(cells, options, lam, weights)
+    boot = boot.persist()
+    se = resample.variance(boot, options.ddof).first()["se"]
+    r = resample.percentile_interval(boot, options.level).first()
+    return boot, se, (r["low"], r["high"]) if r["low"] is not None else None
 
 
 def effects(cells: DataFrame, options: FitOptions, lam: tuple[float, float, float], path: str) -> tuple[DataFrame, float]:
@@ -122,7 +166,7 @@ def search(cells: DataFrame, options: FitOptions, grid: str | tuple) -> tuple[di
     return cv.cycle(score, preset)
 
 
-def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, float]) -> DataFrame:
+def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, float], weights: DataFrame | None = None) -> DataFrame:
     """``(b, att)``: each replicate's panel is gathered from the broadcast one and fitted anew, penalties held."""
     import numpy as np
     import pandas as pd
@@ -135,6 +179,7 @@ def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, f
     draws = resample.unit_draws(cells, options.n_boot, options.seed)
     lists = draws.groupBy("b").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "u"))), lambda s: s["u"]).alias("us"))
     method, tol, maxiter = options.method, options.tol, options.maxiter
+    by_unit = None if weights is None else {r["u"]: r["w"] for r in weights.collect()}  # no more than the panel's units
 
     def run(frames):
         y0, d0, x0 = shared.value
@@ -146,15 +191,20 @@ def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, f
                 att = None
                 try:
                     if method == "joint":
-                        att = kernels.fit_joint(y, d, kernels.joint_weights(y, d, lam[0], lam[1]), effective_penalty(lam[2]), x, tol, maxiter)["att"]
+                        fit = kernels.fit_joint(y, d, kernels.joint_weights(y, d, lam[0], lam[1]), effective_penalty(lam[2]), x, tol, maxiter)
+                        att = fit["att"]
+                        if by_unit:
+                            cell = np.argwhere(np.isfinite(fit["tau"]))
+                            att = float(np.average(fit["tau"][cell[:, 0], cell[:, 1]], weights=[by_unit[us[u]] for u in cell[:, 1]])) if len(cell) else None
                     else:
-                        taus = []
+                        taus, ws = [], []
                         for t, u in np.argwhere((d == 1) & np.isfinite(y)):
                             w = kernels.cell_weights(y, d, u, t, lam[0], lam[1])
                             fit = kernels.fit_cell(y, w, effective_penalty(lam[2]), x, tol, maxiter)
                             effect = y[t, u] - fit["alpha"][u] - fit["beta"][t] - fit["low"][t, u]
                             taus.append(effect - (0 if x is None else np.nan_to_num(x[t, u]) @ fit["gamma"]))
-                        att = float(np.mean(taus)) if taus else None
+                            ws.append(by_unit[us[u]] if by_unit else 1.0)
+                        att = float(np.average(taus, weights=ws)) if taus else None
                 except (ArithmeticError, np.linalg.LinAlgError, InvalidPanel):
                     att = None
                 out.append((b, att))

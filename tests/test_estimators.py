@@ -244,3 +244,34 @@ def test_predict_and_tables(small):
     row = {"name": "a", "att": 1.0, "se": 0.1, "low": 0.8, "high": 1.2, "p": 0.001}
     for fmt in ("markdown", "latex", "csv", "display"):
         assert "1.0000***" in diagnose.table([row], fmt)
+
+
+def test_weights_design_and_new_bootstrap(spark):
+    y, d = block(20, 12, 4, 9, 5, effect=1.0)
+    rows = [(int(i), int(s), float(y[s, i]), int(d[s, i]), 1.0 + i % 3, int(i) // 5, int(i), 20.0) for s in range(12) for i in range(20)]
+    df = spark.createDataFrame(rows, "unit int, time int, y double, d int, w double, stratum int, psu int, fpc double")
+    spec = PanelSpec(weight="w")
+    fit = estimate(df, spec, FitOptions(lambdas=(0.1, 0.0, 0.0), n_boot=30))
+    tau = {(r["u"], r["t"]): r["tau"] for r in fit.tau.collect()}
+    assert fit.att == pytest.approx(np.average(list(tau.values()), weights=[1.0 + u % 3 for u, _ in tau]))
+    designed = estimate(df, spec, FitOptions(lambdas=(0.1, 0.0, 0.0), n_boot=30), survey=SurveyDesign("stratum", "psu", "fpc"))
+    assert designed.att == pytest.approx(fit.att) and designed.inference["se"] > 0
+    again = designed.bootstrap(40, seed=1)
+    assert again.att == fit.att and again.boot.count() <= 40 and again.inference["se"] != designed.inference["se"]
+    refit = estimate(df, spec, FitOptions(method="joint", lambdas=(0.0, 0.0, math.inf), n_boot=10))
+    assert refit.path == "inf" and refit.inference["se"] > 0
+    with pytest.raises(InvalidPanel):
+        estimate(df.withColumn("w", F.when(F.col("time") == 0, 5.0).otherwise(F.col("w"))), spec, FitOptions(lambdas=(0.1, 0.0, 0.0), n_boot=0))
+
+
+def test_average_parameters(small):
+    y, d, cells = small
+    t = treated_cells(cells)
+    tasks = t.select("u", "t", F.lit(0.1).alias("lam_time"), F.lit(0.0).alias("lam_unit"), F.lit(1.0).alias("lam_norm"), (F.col("t") * 100 + F.col("u")).cast("long").alias("task_id"))
+    fits = kernels.cell_fits(cells, tasks, with_parameters=True, maxiter=50).cache()
+    alpha, beta, low = kernels.averages(fits, y.shape[1])
+    rows = fits.collect()
+    got = {r["u"]: r["alpha"] for r in alpha.collect()}
+    assert got[3] == pytest.approx(np.mean([r["alpha"][3] for r in rows]))
+    assert {(r["u"], r["t"]): r["low"] for r in low.collect()}[2, 4] == pytest.approx(np.mean([r["low"][4 * y.shape[1] + 2] for r in rows]))
+    assert beta.count() == y.shape[0]
