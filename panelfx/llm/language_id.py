@@ -172,11 +172,13 @@ def detect(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols)
+    carried = text_col in id_cols  # the text is sent to the workers once
+    text_at = id_cols.index(text_col) if carried else len(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for at, texts in slices(batch.column(len(id_cols))):
+            for at, texts in slices(batch.column(text_at)):
                 has, props, chosen = infer(texts, m)
                 lang, score, mixture = [], [], []
                 for i, t in enumerate(texts):
@@ -196,4 +198,5 @@ def detect(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
                     names=[*id_cols, "lang_pred", "score", "n_langs", "mixture"],
                 )
 
-    return docs.select(*id_cols, F.col(text_col).alias("_text")).mapInArrow(run, f"{types}, lang_pred string, score double, n_langs int, mixture map<string,double>")
+    sent = docs.select(*id_cols) if carried else docs.select(*id_cols, text_col)
+    return sent.mapInArrow(run, f"{types}, lang_pred string, score double, n_langs int, mixture map<string,double>")
