@@ -27,7 +27,7 @@ from .common import save
 
 WINDOW, END_ID = 2048, 1
 #: Chunks (a word with the space before it) whose ids a worker remembers; then it starts afresh.
-CACHE = 500_000
+CACHE = 300_000
 #: How byte-level BPE files of this kind part a text (the library's own pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space before white space or the end.
