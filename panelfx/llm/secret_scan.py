@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: 16 characters or more of keys and hashes, with a digit or else all capitals.
 CANDIDATE = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*[0-9]|[A-Z]{16})[A-Za-z0-9+/_.\-]{16,}={0,2}"
 LEFT, RIGHT = 48, 24
+#: The shortest candidate.
+LEAST = 16
 MASK = "[SECRET]"
 #: Words that mark a token as prose, a placeholder or an identifier.
 DICTIONARY = (
@@ -137,27 +139,47 @@ def forest_column(forest: list, described: Column) -> Column:
 def scan(docs: DataFrame, forest: list, text_col: str = "text", least_votes: float = 0.5, prefix: str = "secret_") -> DataFrame:
     """``docs`` and, with ``prefix``: candidates (token, votes), found (tokens), and text (redacted).
 
-    A token is judged by its first place in the text; all its places are redacted. A null text
-    stays null with no candidates, an empty one stays empty. Texts are scanned whole; equal texts get
-    equal results. Columns of ``docs`` with a clashing name are replaced.
+    Every place of a token is judged with its own context, and its votes are those of the place with most;
+    a token found at any of its places is redacted at all of them. A null text stays null with no
+    candidates, an empty one stays empty. Texts are scanned whole; equal texts get equal results.
+    Columns of ``docs`` with a clashing name are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    # what lies between the places: one piece more than there are tokens
+    between = F.split(text, CANDIDATE, -1)
 
-    def describe(t: Column) -> Column:
-        at = F.instr(text, t)
-        left = F.right(F.left(text, at - 1), F.lit(LEFT))
-        right = F.substring(text, at + F.length(t), F.lit(RIGHT))
-        return F.struct(t.alias("token"), *[c.cast("double").alias(k) for k, c in features(t, left, right).items()])
+    def context(i: Column, t: Column) -> Column:
+        # a token has LEAST characters or more, so that few neighbours fill a window
+        piece = lambda name, k: F.coalesce(F.get(name, i + k), F.lit(""))
+        back, ahead = -(-LEFT // LEAST), -(-RIGHT // LEAST)
+        left = [c for k in range(-back, 0) for c in (piece("_tokens", k), F.right(piece("_between", k + 1), F.lit(LEFT)))]
+        right = [c for k in range(ahead) for c in (F.left(piece("_between", k + 1), F.lit(RIGHT)), piece("_tokens", k + 1))]
+        return F.struct(t.alias("token"), F.right(F.concat(*left), F.lit(LEFT)).alias("left"), F.left(F.concat(*right), F.lit(RIGHT)).alias("right"))
+
+    def describe(p: Column) -> Column:
+        return F.struct(p["token"].alias("token"), *[c.cast("double").alias(k) for k, c in features(p["token"], p["left"], p["right"]).items()])
 
     names = [prefix + k for k in ("candidates", "found", "text")]
-    out = docs.withColumn("_described", F.transform(tokens, describe))
-    out = out.withColumn(names[0], F.transform("_described", lambda d: F.struct(d["token"].alias("token"), forest_column(forest, d).alias("votes"))))
+    out = docs.withColumn("_tokens", tokens).withColumn("_between", between).withColumn("_order", F.array_distinct("_tokens"))
+    # places that look alike are judged once
+    out = out.withColumn("_places", F.array_distinct(F.transform("_tokens", lambda t, i: context(i, t))))
+    out = out.withColumn("_described", F.transform("_places", describe))
+    out = out.withColumn("_judged", F.transform("_described", lambda d: F.struct(d["token"].alias("token"), forest_column(forest, d).alias("votes"))))
+    # by votes, most first: a token's first row is its best place
+    most = F.sort_array(F.transform("_judged", lambda j: F.struct(j["token"].alias("token"), j["votes"].alias("votes"))), asc=False)
+    out = out.withColumn("_judged", most)
+    best = F.filter("_judged", lambda j, i: (i == 0) | (F.get("_judged", i - 1)["token"] != j["token"]))
+    out = out.withColumn("_judged", best)
+    # in the order of first places
+    at = lambda j: F.array_position("_order", j["token"])
+    ordered = F.sort_array(F.transform("_judged", lambda j: F.struct(at(j).alias("at"), j.alias("j"))))
+    out = out.withColumn(names[0], F.transform(ordered, lambda o: o["j"]))
     found = F.transform(F.filter(names[0], lambda c: c["votes"] >= least_votes), lambda c: c["token"])
     out = out.withColumn(names[1], found)
     longest_first = F.sort_array(F.transform(names[1], lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     clean = F.aggregate(longest_first, F.col(text_col), lambda acc, x: F.replace(acc, x["t"], F.lit(MASK)))
-    return out.withColumn(names[2], F.when(F.size(names[1]) > 0, clean).otherwise(F.col(text_col))).drop("_described")
+    return out.withColumn(names[2], F.when(F.size(names[1]) > 0, clean).otherwise(F.col(text_col))).drop("_tokens", "_between", "_order", "_places", "_described", "_judged")
 
 
 def default_forest(spark: SparkSession) -> list:
