@@ -208,26 +208,27 @@ def _joint_lowrank(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFr
 
 @query("cv_lowrank")
 def _cv_lowrank(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
-    small = cells.where("u < 12 AND t >= 15").withColumn("t", F.col("t") - 15)
     grid = spark.createDataFrame([(0, 0.1, 0.0, 10.0), (1, 0.1, 0.0, 1e10)], "g_id int, lam_time double, lam_unit double, lam_norm double")
-    return kernels.cv_lowrank(small, grid, maxiter=100)
+    return kernels.cv_lowrank(cells, grid, maxiter=100)
 
 
 @query("unconverged", rule="staggered")
 def _unconverged(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
-    few = treated_cells(cells).where("t >= 25").select("u", "t")
-    tasks = few.withColumn("task_id", F.xxhash64("u", "t")).withColumn("lam_time", F.lit(0.1)).withColumn("lam_unit", F.lit(0.0)).withColumn("lam_norm", F.lit(1.0))
+    tasks = treated_cells(cells).select("u", "t").withColumn("task_id", F.xxhash64("u", "t")).withColumn("lam_time", F.lit(0.1)).withColumn("lam_unit", F.lit(0.0)).withColumn("lam_norm", F.lit(1.0))
     return diagnose.unconverged(kernels.cell_fits(cells, tasks, maxiter=3))
 
 
 @query("factors")
 def _factors(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
     grid = spark.createDataFrame([(0, LAM_TIME, LAM_UNIT, 10.0)], "g_id int, lam_time double, lam_unit double, lam_norm double")
-    first = treated_cells(cells).orderBy("t", "u").limit(1).select("u", "t").crossJoin(grid).withColumn("task_id", F.lit(0).cast("long"))
-    row = kernels.cell_fits(cells, first, with_parameters=True, maxiter=200).first()
+    tasks = treated_cells(cells).select("u", "t").crossJoin(grid).withColumn("task_id", F.xxhash64("u", "t"))
+    size = cells.agg(F.max("u"), F.max("t")).first()
     import numpy as np
 
-    low = np.array(row["low"]).reshape(-1, len(row["alpha"])) if row and row["low"] else np.zeros((1, 1))
+    n, t = (size[0] + 1, size[1] + 1) if size[0] is not None else (1, 1)
+    low = np.zeros((t, n))  # the average over all fits
+    for r in kernels.averages(kernels.cell_fits(cells, tasks, with_parameters=True, maxiter=200), n)[2].collect():
+        low[r["t"], r["u"]] = r["low"]
     got = diagnose.factors(low)
     return spark.createDataFrame([(got["frobenius"], got["nuclear"], got["effective_rank"], got["max_abs"])], "frobenius double, nuclear double, effective_rank double, max_abs double")
 
@@ -240,4 +241,4 @@ def _boot_joint(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame
     full = cells.groupBy().agg((F.count("*") == F.countDistinct("u") * F.countDistinct("t")).alias("full")).first()["full"]
     if not full:  # the joint method needs every treated cell
         return spark.createDataFrame([], "b int, att double")
-    return boot_refit(cells, FitOptions(method="joint", n_boot=20), (LAM_TIME, LAM_UNIT, 1e10))
+    return boot_refit(cells, FitOptions(method="joint"), (LAM_TIME, LAM_UNIT, 1e10))
