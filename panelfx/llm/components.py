@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges ``(u, v)`` of one orderable type to ``(node, root)``; root is the least node reachable.
 
     Self-loops, repeats and rows with a null end are ignored; nodes without an edge don't appear.
-    Empty input gives an empty result.
+    Empty input gives an empty result, which is saved; ``drop_saved`` deletes its files.
     """
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
@@ -40,7 +40,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected components did not settle")
     star = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return star.union(star.select(F.col("root").alias("node"), "root").distinct())
+    out = save(star.union(star.select(F.col("root").alias("node"), "root").distinct()), "cc-roots")
+    drop_saved(e)
+    return out
 
 
 def _mark(e: DataFrame) -> tuple:

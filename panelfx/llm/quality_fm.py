@@ -2,7 +2,8 @@
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)), linear in the
 document's distinct words. The model is fitted on a bounded sample of labelled rows; documents are
-scored whole, on the executors, with a model of fixed size.
+scored whole, on the executors, with a model of fixed size. The metadata is the document's declared number
+of characters and how far it is from the text's own; a missing number is a value of its own.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import labelled_texts
 from .textvec import mix, per_doc_sum, slices, words_of
 
 WORD_BITS, BINS, FACTORS = 13, 10, 8
 #: Labelled documents used in fitting.
 SAMPLE = 12_000
-STATS = ("words", "bytes", "mean_word", "distinct", "repeat3", "adjacent", "upper", "digit", "symbol", "mark", "other", "newline", "long_word", "dup_line", "marked_words")
+STATS = ("words", "bytes", "mean_word", "distinct", "repeat3", "adjacent", "upper", "digit", "symbol", "mark", "other", "newline", "long_word", "dup_line", "marked_words", "declared", "declared_off")
 _CLASS = np.zeros((256, 6))
 _CLASS[ord("A") : ord("Z") + 1, 0] = 1
 _CLASS[ord("0") : ord("9") + 1, 1] = 1
@@ -34,8 +36,8 @@ for _c in b"{}[]()=_/\\\"'~^@+-`":
 _CLASS[10, 5] = 1
 
 
-def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words as (bucket, value, first place of each text) and the statistics of each text."""
+def describe(texts: list[bytes], declared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed words as (bucket, value, first place of each text) and the statistics of each text; ``declared``: characters, NaN where missing."""
     n = len(texts)
     w = words_of(texts)
     words = np.diff(w.first).astype(float)
@@ -64,6 +66,9 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     inside = d[2:] == d[:-2] if len(d) > 2 else np.zeros(0, dtype=bool)
     three = mix(h[:-2] * np.uint64(3) + mix(h[1:-1]) * np.uint64(5) + h[2:])[inside] if len(d) > 2 else np.zeros(0, dtype=np.uint64)
     next_same = (h[1:] == h[:-1]) & (d[1:] == d[:-1]) if len(h) > 1 else np.zeros(0, dtype=bool)
+    declared = np.full(n, np.nan) if declared is None else declared
+    known = np.nan_to_num(np.maximum(declared, 0), nan=0.0)
+    points = np.add.reduceat((raw & 0xC0 != 0x80).astype(np.int64), starts) - 1.0  # code points, less the blank between texts
     symbol_end = _CLASS[:, 2][w.bytes_[w.start + w.length - 1]] if len(h) else np.zeros(0)
     dup = np.array([_dup_lines(t) for t in texts])
     stats = np.stack(
@@ -73,6 +78,7 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             np.bincount(d[1:], weights=next_same, minlength=n)[:n] / many if len(h) > 1 else np.zeros(n),
             *(classes[:, k] / np.maximum(size, 1) for k in range(6)),
             per_doc_sum((w.length > 20).astype(float), w.first) / many, dup, per_doc_sum(symbol_end, w.first) / many,
+            np.where(np.isnan(declared), -1.0, np.log1p(known)), np.where(np.isnan(declared), -9.0, np.log1p(known) - np.log1p(points)),
         ],
         axis=1,
     )
@@ -107,8 +113,8 @@ class Machine:
         square = np.add.reduceat(vx**2, first[:-1], axis=0)
         return self.bias + np.add.reduceat(self.w[index] * x, first[:-1]) + 0.5 * (total**2 - square).sum(axis=1), total
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        z, _ = self.raw(*self.inputs(*describe(texts)))
+    def score(self, texts: list[bytes], declared: np.ndarray | None = None) -> np.ndarray:
+        z, _ = self.raw(*self.inputs(*describe(texts, declared)))
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
@@ -155,29 +161,32 @@ def fit(parts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], y: np.ndar
     return m
 
 
-def labelled_sample(labels: DataFrame, id_col: str, label_col: str, sample: int) -> DataFrame:
-    """At most ``sample`` labelled ids, those of least hash: a bounded table to broadcast."""
-    some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    return F.broadcast(some.orderBy(F.xxhash64("_id", F.lit("sample")), "_id").limit(sample))
+def _declared(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled documents (of least hash); their features come to the driver."""
+def _size(docs: DataFrame, size_col: str | None) -> Column:
+    """The declared number of characters, null without such a column."""
+    return (F.col(size_col) if size_col in docs.columns else F.lit(None)).cast("double").alias("_size")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, size_col: str | None = "n_chars") -> Machine:
+    """Fit on at most ``sample`` labelled documents (one row an id); their features come to the driver."""
     ship(docs.sparkSession)
-    picked = labelled_sample(labels, id_col, label_col, sample)
+    rows = labelled_texts(docs.select(id_col, text_col, _size(docs, size_col)), labels, id_col, text_col, label_col, sample, ("_size",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in slices(b.column(2)):
-                bucket, value, first, stats = describe(texts)
+                bucket, value, first, stats = describe(texts, _declared(b.column(3).slice(at, len(texts))))
                 cut = pa.array(first.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.ListArray.from_arrays(cut, pa.array(bucket.astype(np.int16))), pa.ListArray.from_arrays(cut, pa.array(value.astype(np.float32))), pa.array(list(stats))],
                     names=["k", "label", "bucket", "value", "stats"],
                 )
 
-    rows = docs.select(id_col, text_col).join(picked, docs[id_col] == picked["_id"]).select(F.xxhash64("_id").alias("k"), "label", text_col)
-    got = rows.mapInArrow(run, "k long, label int, bucket array<smallint>, value array<float>, stats array<double>").limit(2 * sample).toArrow()
+    described = rows.select(F.xxhash64("_id").alias("k"), "label", "_text", "_size")
+    got = described.mapInArrow(run, "k long, label int, bucket array<smallint>, value array<float>, stats array<double>").toArrow()
     got = got.sort_by("k").combine_chunks()
     if not got.num_rows:
         none = np.zeros(0, dtype=np.int64)
@@ -188,11 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(parts, got.column("label").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, machine: Machine, id_cols: list[str], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, machine: Machine, id_cols: list[str], text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """``id_cols`` and score in (0, 1) for every row.
 
-    Null and empty texts are scored as texts without words. Repeated rows score alike; other columns
-    are not read, so their names can't clash.
+    Null and empty texts are scored as texts without words. Repeated rows score alike. No column but the
+    text and the declared size is read, so names can't clash; an id column may not be called ``score``.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -202,6 +211,7 @@ def score(docs: DataFrame, machine: Machine, id_cols: list[str], text_col: str =
         for b in batches:
             for at, texts in slices(b.column(len(id_cols))):
                 ids = [b.column(c).slice(at, len(texts)) for c in range(len(id_cols))]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.round(shared.value.score(texts), 9))], names=[*id_cols, "score"])
+                found = shared.value.score(texts, _declared(b.column(len(id_cols) + 1).slice(at, len(texts))))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.round(found, 9))], names=[*id_cols, "score"])
 
-    return docs.select(*id_cols, text_col).mapInArrow(run, f"{types}, score double")
+    return docs.select(*id_cols, text_col, _size(docs, size_col)).mapInArrow(run, f"{types}, score double")

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, labelled_texts
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows used in learning, and the thresholds tried for each statistic.
@@ -193,18 +193,11 @@ def _worth(rule: Rule, rows: list[dict], label: str, target: int) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
-def labelled_sample(labels: DataFrame, id_col: str, label_col: str, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled ids, those of least hash; small enough to broadcast."""
-    some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    return some.orderBy(F.xxhash64("_id", F.lit("sample")), "_id").limit(sample)
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DecisionList:
-    """Learn from the statistics of a bounded sample of labelled documents (``sample`` rows at most)."""
-    picked = F.broadcast(labelled_sample(labels, id_col, label_col, sample))
-    rows = docs.select(id_col, text_col).join(picked, docs[id_col] == picked["_id"])
-    got = stats(rows, text_col).select("_id", "label", *FEATURES).limit(2 * sample).collect()
-    return learn(sorted((r.asDict() for r in got), key=lambda r: (r["_id"], *[r[f] for f in FEATURES])))
+    """Learn from the statistics of a bounded sample of labelled documents (``sample`` at most, one row an id)."""
+    rows = labelled_texts(docs, labels, id_col, text_col, label_col, sample)
+    got = stats(rows, "_text").select("_id", "label", *FEATURES).collect()
+    return learn(sorted((r.asDict() for r in got), key=lambda r: r["_id"]))
 
 
 def apply(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, most_repeat: int = 50) -> DataFrame:

@@ -68,7 +68,7 @@ def _held_out(name: str):
 
 
 def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     labels = table(spark, sf_dir, "labels")
     machine = quality_fm.train(docs, labels.where(id_remainder("doc_id", 4) != 2))
     scored = quality_fm.score(docs.withColumn("held_out", _held_out("doc_id")), machine, ["doc_id", "held_out"])

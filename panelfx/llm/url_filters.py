@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save
 from .components import connected_components
 
 ALLOW, BLOCK = "allow", "block"
@@ -94,7 +93,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, id
     ties = page_edges(pages, url_col, html_col)
     if edges is not None:
         ties = ties.union(edges.select(without_fragment(F.col("u")), without_fragment(F.col("v"))))
-    roots = save(connected_components(ties), "url-roots")
+    roots = connected_components(ties)
 
     def parts(df: DataFrame) -> DataFrame:
         return df.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
