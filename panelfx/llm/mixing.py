@@ -7,7 +7,8 @@ iterations on all sources at once (each an aggregate over the distinct sizes of
 bracket) find the multipliers. Rates are rounded into copies by reproducible uniform numbers; the
 threshold of each source is then moved, by histograms, to where its words come nearest its target.
 
-All state per source stays in DataFrames; the driver sees one number a round.
+All state per source stays in DataFrames; the driver sees one number a round. A row's copies depend on
+nothing but its own id, text and source and on its source's row of the plan, so no row is ever found by its id.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL, CAP = 1.5, 2.0
 #: Rounding priorities are integers below 2**(LEVELS * LEVEL_BITS), found level by level.
 LEVELS, LEVEL_BITS = 3, 10
+#: Sources that are shipped to every task; more of them are joined.
+MOST_SHIPPED = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -49,7 +52,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
 
 
 def multipliers(sized: DataFrame, goals: DataFrame, cap: float = CAP, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
-    """The dual's solution: ``(source, lam, mean)`` for sources that have words."""
+    """The dual's solution: ``(source, lam, mean)`` for sources that have words; an error if it isn't reached."""
     cells = save(sized.where("size > 0").groupBy("source", "size").agg(F.count("*").cast("double").alias("n")), "mix-cells")
     mean = F.col("source_size") / F.col("filled")
     x0, ratio = F.col("least") / mean, F.col("target") / F.col("source_size")
@@ -79,30 +82,44 @@ def multipliers(sized: DataFrame, goals: DataFrame, cap: float = CAP, tolerance:
         state = nxt
         if not state.where("NOT done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the multipliers of some source did not settle in {rounds} rounds")
     drop_saved(cells)
     # sums of doubles differ in their last digits from run to run; the multipliers must not
-    return state.select("source", F.round("lam", 10).alias("lam"), "mean")
+    out = save(state.select("source", F.round("lam", 10).alias("lam"), "mean"), "mix-solved")
+    drop_saved(state)
+    return out
+
+
+def _rates(rows: DataFrame, plan: DataFrame, key: Column, cap: int) -> DataFrame:
+    """``rows(_mix_source, _mix_size)`` with their source's plan, rate, whole copies and rounding priority (null where nothing is rounded)."""
+    p = F.broadcast(plan) if plan.count() <= MOST_SHIPPED else plan
+    rows = rows.join(p.select(*[F.col(c).alias(f"_mix_{c}" if c != "source" else "_mix_own") for c in plan.columns]), F.col("_mix_source").eqNullSafe(F.col("_mix_own")), "left")
+    rate = F.when((F.col("_mix_size") > 0) & F.col("_mix_lam").isNotNull(), F.least(F.lit(float(cap)), F.exp(F.col("_mix_lam") * F.col("_mix_size") / F.col("_mix_mean")))).otherwise(0.0)
+    rows = rows.withColumn("_mix_rate", rate)
+    rows = rows.withColumn("_mix_rate", F.when(F.col("_mix_rate") > cap - 1e-9, float(cap)).otherwise(F.col("_mix_rate"))).withColumn("_mix_base", F.floor("_mix_rate"))
+    wide = 1 << (LEVELS * LEVEL_BITS)
+    place = F.floor((uniform(key, F.lit("mix")) - (F.col("_mix_rate") - F.col("_mix_base")) + 1) / 2 * wide).cast("long")
+    return rows.withColumn("_mix_place", F.when((F.col("_mix_size") > 0) & (F.col("_mix_base") < cap), place))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, cap: int = int(CAP)) -> DataFrame:
-    """``(id, source, size, source_size, target, rate, copies, taken)`` for every row.
+def _sized(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
+    return docs.withColumn("_mix_source", F.col(source_col)).withColumn("_mix_size", word_count(F.col(text_col)))
 
-    Null texts have size 0 and take no words; a null source is a source of its own, last in order.
-    Rows that repeat an id draw the same number and get the same copies. An empty table gives an empty
-    result; extra columns are ignored. ``copies`` is 0 to ``cap``.
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, cap: int = int(CAP)) -> DataFrame:
+    """``(source, source_size, target, lam, mean, cut)``: what decides over the rows of each source; a saved table.
+
+    ``cut`` is the priority below which a row gets one copy more than its rate's whole part.
     """
-    sized = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    sized = save(_sized(docs.select(id_col, text_col, source_col), text_col, source_col).select(F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), key.alias("key")), "mix-sizes")
     goals = save(targets(sized, weights, total, float(cap)), "mix-goals")
     solved = multipliers(sized, goals, float(cap))
-    plan = goals.alias("g").join(solved.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source")), "left").select("g.*", "lam", "mean")
-    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "source_size", "target", "lam", "mean")
-    rate = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("size") / F.col("mean")))).otherwise(0.0)
-    rows = rows.withColumn("rate", rate)
-    rows = rows.withColumn("rate", F.when(F.col("rate") > cap - 1e-9, float(cap)).otherwise(F.col("rate"))).withColumn("base", F.floor("rate"))
-    wide = 1 << (LEVELS * LEVEL_BITS)
-    place = F.floor((uniform(F.col("id"), F.lit("mix")) - (F.col("rate") - F.col("base")) + 1) / 2 * wide).cast("long")
-    rows = rows.withColumn("place", F.when((F.col("size") > 0) & (F.col("base") < cap), place))
-    rows = save(rows.drop("lam", "mean"), "mix-rates")
+    sources = goals.alias("g").join(solved.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source")), "left").select("g.source", "source_size", "target", "lam", "mean")
+    sources = save(sources, "mix-sources")
+    rows = _rates(sized.select(F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "key"), sources, F.col("key"), cap)
+    rows = save(rows.where("_mix_size > 0").select(F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_target").alias("target"), F.col("_mix_base").alias("base"), F.col("_mix_place").alias("place")), "mix-rates")
     # how many words each source's thresholds must add to those of the whole copies
     need = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("base"))).alias("need"))
     state = need.select("source", "need", F.lit(0).cast("long").alias("prefix"))
@@ -114,18 +131,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         by = Window.partitionBy("source").orderBy("bin")
         bins = bins.withColumn("before", F.coalesce(F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         # the first bin that reaches what is needed, or else the last
-        hit = F.min_by(F.struct("bin", "before", "words"), F.struct((F.col("before") + F.col("words") < F.col("need")).cast("int"), F.when(F.col("before") + F.col("words") < F.col("need"), -F.col("bin")).otherwise(F.col("bin"))))
-        state = save(bins.groupBy("source").agg(hit.alias("h"), F.first("need").alias("need")).select("source", (F.col("need") - F.col("h.before")).alias("need"), F.col("h.bin").alias("prefix"), F.col("h.words").alias("words")), "mix-cut")
+        short = F.col("before") + F.col("words") < F.col("need")
+        hit = F.min_by(F.struct("bin", "before", "words"), F.struct(short.cast("int"), F.when(short, -F.col("bin")).otherwise(F.col("bin"))))
+        nxt = save(bins.groupBy("source").agg(hit.alias("h"), F.first("need").alias("need")).select("source", (F.col("need") - F.col("h.before")).alias("need"), F.col("h.bin").alias("prefix"), F.col("h.words").alias("words")), "mix-cut")
+        drop_saved(state)
+        state = nxt
     # the last bin is taken as a whole if that comes nearer
     cut = state.select("source", (F.col("prefix") + (F.abs(F.col("words") - F.col("need")) <= F.abs(F.col("need"))).cast("long")).alias("cut"))
-    out = rows.alias("r").join(cut.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")), "left")
-    copies = (F.col("base") + F.coalesce((F.col("place") < F.col("cut")).cast("long"), F.lit(0))).cast("long")
-    return out.select(F.col("r.id").alias(id_col), F.col("r.source").alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    out = save(sources.alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").select("s.*", "cut"), "mix-plan")
+    drop_saved(sized, goals, solved, sources, rows, state)
+    return out
+
+
+def decide(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = int(CAP)) -> DataFrame:
+    """``docs`` with _mix_size, _mix_rate, _mix_copies, _mix_source_size and _mix_target by a plan made of them; no row is shuffled for it."""
+    rows = _rates(_sized(docs, text_col, source_col), made, F.xxhash64(F.col(id_col), F.col(text_col)), cap)
+    copies = (F.col("_mix_base") + F.coalesce((F.col("_mix_place") < F.col("_mix_cut")).cast("long"), F.lit(0))).cast("long")
+    return rows.withColumn("_mix_copies", copies).drop("_mix_own", "_mix_lam", "_mix_mean", "_mix_cut", "_mix_base", "_mix_place", "_mix_source")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, cap: int = int(CAP)) -> DataFrame:
+    """``(id, source, size, source_size, target, rate, copies, taken)`` for every row.
+
+    Null texts have size 0 and take no words; a null source is a source of its own, last in order.
+    Rows that repeat id, text and source get the same copies; rows that share an id only are decided each
+    for itself, also those without one. An empty table gives an empty result; extra columns are ignored.
+    ``copies`` is 0 to ``cap``.
+    """
+    own = docs.select(id_col, text_col, source_col)
+    rows = decide(own, plan(own, id_col, text_col, source_col, weights, total, cap), id_col, text_col, source_col, cap)
+    return rows.select(
+        id_col, source_col, F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_rate").alias("rate"),
+        F.col("_mix_copies").alias("copies"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"),
+    )
 
 
-def resample(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` says; rows with a null id appear once."""
-    copies = mixed.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    joined = docs.join(copies, docs[id_col] == copies["_mix_id"], "left")
-    times = F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.coalesce("_mix_copies", F.lit(0))).cast("int")
-    return joined.withColumn("_mix_n", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, cap: int = int(CAP)) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
+    rows = decide(docs, plan(docs, id_col, text_col, source_col, weights, total, cap), id_col, text_col, source_col, cap)
+    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int")))).select(*docs.columns)
