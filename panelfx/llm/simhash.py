@@ -1,14 +1,16 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint has eight positional bytes. Two fingerprints at Hamming distance 3 or less differ in
-at most three bytes, so they share at least five positional bytes: the guaranteed minimum. The index
-posts every fingerprint under each of the 56 sets of five positional bytes, which enforces that
-minimum at the posting list itself; the tally of shared bytes per pair names the one list that owns
-the pair, and a bit count verifies it. Only distinct fingerprints are posted.
-
-A list holds at most 2**24 distinct fingerprints (three free bytes), whatever the corpus. Short lists
-are compared pair by pair; long ones are searched breadth first and yield a spanning forest, never all
-pairs, with bit-flip probing where even one-against-the-rest comparison would be slow.
+at most three bytes, so they share at least five positional bytes: the guaranteed minimum. Of any five
+positions three lie in one half, so the index posts every distinct fingerprint under the eight triples of
+positions within a half, and each such pair meets in a list. Within a list the shared positional bytes are tallied
+per pair, pairs with five or more are retained, and a bit count verifies them. A pair that meets in
+several lists is reported by the first triple that it shares.
+
+Lists of more than LONG fingerprints are split before any task holds them: their members are posted again under
+each set of five positions that holds the triple. Short lists are compared pair by pair; long ones are searched breadth
+first and yield a spanning forest, never all pairs, with bit-flip probing where even
+one-against-the-rest comparison would be slow. A list of five positions has at most 2**24 members (three free bytes).
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import save
+from .common import drop_saved, save
 from .components import connected_components
 
 BITS, MAX_BITS_APART, BYTES = 64, 3, 8
 SEED = 42
-SETS = list(combinations(range(BYTES), BYTES - MAX_BITS_APART))
+#: Positional bytes that a pair shares at least.
+LEAST_SHARED = BYTES - MAX_BITS_APART
+TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
+FIVES = list(combinations(range(BYTES), LEAST_SHARED))
+SETS = TRIPLES + FIVES
 MASKS = np.array([sum(0xFF << (8 * p) for p in s) for s in SETS], dtype=np.uint64)
-#: Lists up to SHORT are compared pair by pair; beyond PROBE, members are found by flipping bits.
-SHORT, PROBE = 32, 20_000
+#: Lists up to SHORT are compared pair by pair; beyond PROBE, members are found by flipping bits; beyond LONG, a triple's list is split.
+SHORT, PROBE, LONG = 32, 20_000, 4_096
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
@@ -54,25 +60,29 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(id, fp)`` for every row; fp is the 64-bit fingerprint as a signed long."""
+    return _with_fingerprint(docs.select(id_col, text_col), text_col, width, "fp").select(id_col, "fp")
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str, width: int, name: str) -> DataFrame:
     ship(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    at, names = docs.columns.index(text_col), [*docs.columns, name]
+    carried = [k for k, c in enumerate(docs.columns) if c != text_col or name != "fp"]
+    types = ", ".join(f"`{docs.columns[k]}` {docs.dtypes[k][1]}" for k in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(at)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in carried), pa.array(fp)], names=[*(names[k] for k in carried), name])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp long")
+    return docs.mapInArrow(run, f"{types}, `{name}` long")
 
 
 def _owner_table() -> np.ndarray:
-    """For each bit set of equal positions, the number of the list that owns the pair (-1: too few)."""
-    number = {s: k for k, s in enumerate(SETS)}
+    """For each bit set of equal positions, the first triple in it, which reports the pair (-1: fewer than the guaranteed minimum)."""
     out = np.full(256, -1, dtype=np.int16)
     for m in range(256):
-        equal = tuple(p for p in range(BYTES) if m >> p & 1)
-        if len(equal) >= BYTES - MAX_BITS_APART:
-            out[m] = number[equal[: BYTES - MAX_BITS_APART]]
+        if m.bit_count() >= LEAST_SHARED:
+            out[m] = next(k for k, t in enumerate(TRIPLES) if all(m >> p & 1 for p in t))
     return out
 
 
@@ -82,6 +92,11 @@ def _tally(x: np.ndarray) -> np.ndarray:
     return np.packbits(same, axis=1, bitorder="little")[:, 0]
 
 
+def _shared(x: np.ndarray) -> np.ndarray:
+    """How many positional bytes pairs with these XORs share."""
+    return np.bitwise_count(_tally(x))
+
+
 def _flips(free: int) -> np.ndarray:
     """Every change of one to three of the bits that ``free`` leaves open."""
     bits = [np.uint64(1 << i) for i in range(BITS) if free >> i & 1]
@@ -105,10 +120,12 @@ def _forest(fps: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
                 if flips is not None:
                     probe = fps[f] ^ flips
                     at = np.minimum(np.searchsorted(fps, probe), len(fps) - 1)
-                    new = at[(fps[at] == probe) & left[at]]
+                    new = np.unique(at[(fps[at] == probe) & left[at] & (_shared(flips) >= LEAST_SHARED)])
                 else:
                     rest = np.flatnonzero(left)
-                    new = rest[np.bitwise_count(fps[rest] ^ fps[f]) <= MAX_BITS_APART]
+                    x = fps[rest] ^ fps[f]
+                    rest, x = rest[(kept := _shared(x) >= LEAST_SHARED)], x[kept]
+                    new = rest[np.bitwise_count(x) <= MAX_BITS_APART]
                 if len(new):
                     left[new] = False
                     child.append(fps[new])
@@ -120,7 +137,7 @@ def _forest(fps: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(s, fp)`` sorted by list to links ``(u, v)``; a list is held whole, and is at most 2**24 long."""
+    """Rows ``(s, fp)`` sorted by list to links ``(u, v)``; a list is held whole."""
     owner = _owner_table()
 
     def solve(s: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -137,7 +154,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(i):
                 break
             x = fp[i] ^ fp[i + k]
-            ok = (np.bitwise_count(x) <= MAX_BITS_APART) & (owner[_tally(x)] == s[i])
+            shared = _tally(x)
+            i, x, shared = i[(kept := np.bitwise_count(shared) >= LEAST_SHARED)], x[kept], shared[kept]
+            # a triple's list reports the pairs that it owns, be it whole or split into lists of five
+            ok = (np.bitwise_count(x) <= MAX_BITS_APART) & ((owner[shared] == s[i]) | (s[i] >= len(TRIPLES)))
             us.append(fp[i][ok])
             vs.append(fp[i + k][ok])
         for g in np.flatnonzero(sizes > SHORT):
@@ -169,16 +189,25 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
 
-def near_links(distinct_fps: DataFrame) -> DataFrame:
+def _posts(fps: DataFrame, sets: range) -> DataFrame:
+    """``(s, m, fp)``: each fingerprint under the bytes ``m`` that it has at the positions of each set."""
+    each = [F.struct(F.lit(k).cast("short").alias("s"), F.col("fp").bitwiseAND(F.lit(int(MASKS[k].view(np.int64)))).alias("m")) for k in sets]
+    return fps.select(*fps.columns, F.explode(F.array(*each)).alias("p")).select(*fps.columns, "p.s", "p.m")
+
+
+def near_links(distinct_fps: DataFrame, long: int = LONG) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints ``fp``: all components of distance 3 or less, not all pairs."""
-    posts = distinct_fps.select(
-        "fp",
-        F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("s"), F.col("fp").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("m")) for k, m in enumerate(MASKS)])).alias("p"),
-    ).select("p.s", "p.m", "fp")
-    spark = distinct_fps.sparkSession
-    ship(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    lists = posts.repartition(parts, "s", "m").sortWithinPartitions("s", "m", "fp").select("s", "fp")
+    ship(distinct_fps.sparkSession)
+    fps = distinct_fps.select("fp")
+    posts = _posts(fps, range(len(TRIPLES)))
+    # at most 8 / long of the fingerprints' number: lists to be split
+    heavy = posts.groupBy("s", "m").count().where(F.col("count") > long).select(F.col("s").alias("hs"), F.col("m").alias("hm"), F.lit(True).alias("heavy"))
+    marked = posts.join(save(heavy, "simhash-long"), (F.col("s") == F.col("hs")) & (F.col("m") == F.col("hm")), "left").select("s", "m", "fp", F.coalesce("heavy", F.lit(False)).alias("heavy"))
+    within = F.array(*[F.array(*[F.lit(len(TRIPLES) + n).cast("short") for n, five in enumerate(FIVES) if set(t) <= set(five)]) for t in TRIPLES])
+    mask = F.element_at(F.array(*[F.lit(int(m.view(np.int64))) for m in MASKS]), F.col("s") + 1)
+    again = F.when(F.col("heavy"), F.element_at(within, F.col("s") + 1)).otherwise(F.array("s"))
+    lists = marked.select(F.explode(again).alias("s"), "fp").withColumn("m", F.col("fp").bitwiseAND(mask))
+    lists = lists.repartition("s", "m").sortWithinPartitions("s", "m", "fp").select("s", "fp")
     return lists.mapInArrow(_links, "u long, v long")
 
 
@@ -190,25 +219,41 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are ignored; an empty table gives an empty result.
     """
     rows = save(fingerprints(docs, id_col, text_col, width), "simhash")
+    by_fp = _components(rows, id_col)
+    return rows.join(by_fp, "fp").select(id_col, "fp", F.col("rep").alias("component_id"))
+
+
+def _components(rows: DataFrame, id_col: str) -> DataFrame:
+    """``(fp, rep, rep_fp)`` for each fingerprint of ``rows(id, fp)``: its component's least id (nulls last) and the least fingerprint that has it."""
     nodes = save(rows.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-fps")
     roots = connected_components(near_links(nodes.select("fp")))
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = save(joined.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return rows.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    least = joined.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("r"))
+    out = save(joined.select("fp", "root").join(least, "root").select("fp", "r.rep", F.col("r.fp").alias("rep_fp")), "simhash-components")
+    drop_saved(nodes, roots)
+    return out
 
 
 def hex_fingerprint(col: str = "fp"):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate component: that with the least id; all columns of ``docs``.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """One row of each near-duplicate component, with all columns of ``docs``: that of the least id, nulls last, and of the
+    least fingerprint among rows that share it; of rows that share both, any one.
 
-    Of rows that repeat the least id, one stays. Rows with a null id stay: no decision can name them.
+    Rows are found by id where it is theirs alone. Those whose id is null or repeats are told apart by their fingerprint, so that no
+    component loses its last row to another with the same id. An empty table gives an empty result.
     """
-    found = simhash_components(docs.select(id_col, text_col), id_col, text_col)
-    ids = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(ids, named[id_col] == ids["_keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = save(fingerprints(docs, id_col, text_col, width), "simhash")
+    reps = _components(rows, id_col).select("rep", "rep_fp").distinct()
+    reps = save(reps, "simhash-reps")
+    often = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_sim_id")).agg((F.count("*") > 1).alias("_sim_again"))
+    named = reps.select("rep").where("rep IS NOT NULL").distinct()
+    kind = often.join(named, F.col("_sim_id") == F.col("rep"), "left").where("_sim_again OR rep IS NOT NULL").select("_sim_id", "_sim_again")
+    kind = save(kind, "simhash-kind")
+    once = docs.join(kind.where("NOT _sim_again"), F.col(id_col) == F.col("_sim_id"), "left_semi")
+    twice = docs.join(kind.where("_sim_again"), F.col(id_col) == F.col("_sim_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    named_fp = _with_fingerprint(twice, text_col, width, "_sim_fp")
+    rest = named_fp.join(reps, F.col(id_col).eqNullSafe(F.col("rep")) & (F.col("_sim_fp") == F.col("rep_fp")), "left_semi")
+    return once.unionByName(rest.dropDuplicates([id_col, "_sim_fp"]).select(*docs.columns))
