@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 #: The broadcast model has at most this many languages times 2**BUCKET_BITS floats.
 MOST_LANGUAGES = 400
+#: Languages whose counts a task holds at a time; bytes and words whose likelihoods are computed at a time.
+MOST_HELD, BYTES_AT_ONCE, WORDS_AT_ONCE = 32, 1 << 20, 1 << 17
+#: A language below this share of a text's mixture isn't tried in a set.
+LEAST_SHARE = 0.01
 UNDETERMINED = "und"
 _TABLE = bytes(32 if (c < 65 or 90 < c < 97 or 122 < c < 128) else c for c in range(256))
 _SALT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -50,8 +55,14 @@ def _grams(b: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (language, text) to (language, bucket, n): one row a bucket that the task has seen."""
+    """Rows (language, text) to (language, bucket, n), which hold every bucket once for each time that the task passed the language on."""
     seen: dict[str, np.ndarray] = {}
+
+    def passed(lang: str) -> pa.RecordBatch:
+        n = seen.pop(lang)
+        k = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[k])], names=["lang", "bucket", "n"])
+
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for at, texts in slices(batch.column(1)):
@@ -59,29 +70,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, text in zip(langs[at : at + len(texts)], texts, strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, own in by.items():
+                if lang not in seen and len(seen) >= MOST_HELD:
+                    yield passed(next(iter(seen)))
                 n = seen.setdefault(lang, np.zeros(1 << BUCKET_BITS, dtype=np.int64))
                 b, _ = _clean(own)
-                blank = b[: len(b) - max(ORDERS) + 1] == 32
-                for order, g in zip(ORDERS, _grams(b), strict=True):
-                    n += np.bincount(g[~blank] if order == 1 else g, minlength=1 << BUCKET_BITS)
-    for lang, n in seen.items():
-        k = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[k])], names=["lang", "bucket", "n"])
+                for c in range(0, len(b) - max(ORDERS) + 1, BYTES_AT_ONCE):
+                    part = b[c : c + BYTES_AT_ONCE + max(ORDERS) - 1]
+                    blank = part[: len(part) - max(ORDERS) + 1] == 32
+                    for order, g in zip(ORDERS, _grams(part), strict=True):
+                        n += np.bincount(g[~blank] if order == 1 else g, minlength=1 << BUCKET_BITS)
+    for lang in list(seen):
+        yield passed(lang)
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
-    """Count all rows with a language. The result is bounded by languages times buckets."""
+    """Count all rows with a language. The result is bounded by languages times buckets; too many languages are an error before any text is read."""
     ship(rows.sparkSession)
-    counts = rows.where(F.col(lang_col).isNotNull()).select(lang_col, text_col).mapInArrow(_count, "lang string, bucket int, n long")
-    got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = [r[0] for r in got.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    named = rows.where(F.col(lang_col).isNotNull())
+    langs = sorted(r[0] for r in named.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: raise MOST_LANGUAGES if executors can hold the model")
-    langs.sort()
     n = np.zeros((1 << BUCKET_BITS, max(len(langs), 1)))
     if langs:
-        found = got.toArrow()
-        column = np.searchsorted(np.array(langs, dtype=object), np.array(found.column("lang").to_pylist(), dtype=object))
+        counts = named.select(lang_col, text_col).mapInArrow(_count, "lang string, bucket int, n long")
+        found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        column = pc.index_in(found.column("lang"), value_set=pa.array(langs)).to_numpy()
         n[found.column("bucket").to_numpy(), column] = found.column("n").to_numpy()
     shared = n.sum(axis=1, keepdims=True)
     shared = (shared + 1) / (shared.sum() + len(shared))
@@ -90,74 +103,107 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     return Model(langs, np.log(p).astype(np.float32))
 
 
-def _em(like: np.ndarray, first: np.ndarray, doc: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihoods of documents; ``like``: (words, languages), ``allowed``: (documents, languages)."""
+def _sums(like: np.ndarray, doc: np.ndarray, out: np.ndarray, value) -> np.ndarray:
+    """Add ``value(rows)`` of blocks of words into their documents' rows of ``out``."""
+    for a in range(0, len(like), WORDS_AT_ONCE):
+        own = doc[a : a + WORDS_AT_ONCE]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[starts]] += np.add.reduceat(value(like[a : a + WORDS_AT_ONCE], own), starts, axis=0)
+    return out
+
+
+def _em(like: np.ndarray, doc: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihoods of documents; ``like``: (words, languages), ``doc``: each word's document, in order,
+    ``allowed``: (documents, languages). A document stops when its own proportions do, whatever its neighbours' need."""
     pi = allowed / allowed.sum(axis=1, keepdims=True)
-    n = np.maximum(np.diff(first), 1)[:, None]
+    n = np.maximum(np.bincount(doc, minlength=len(pi)), 1)[:, None]
+    active = np.ones(len(pi), dtype=bool)
+    rows, owner = like, doc
     for _ in range(rounds):
-        joint = like * pi[doc]
-        joint /= joint.sum(axis=1, keepdims=True) + 1e-30
-        new = np.add.reduceat(joint, first[:-1], axis=0) / n
-        moved = np.abs(new - pi).max()
-        pi = new
-        if moved < 1e-3:
+
+        def parts(block: np.ndarray, own: np.ndarray) -> np.ndarray:
+            joint = block * pi[own]
+            return joint / (joint.sum(axis=1, keepdims=True) + 1e-30)
+
+        new = _sums(rows, owner, np.zeros_like(pi), parts) / n
+        moved = np.abs(new - pi).max(axis=1)
+        pi[active] = new[active]
+        active &= moved >= 1e-3
+        if not active.any():
             break
-    total = np.log((like * pi[doc]).sum(axis=1) + 1e-30)
-    return pi, np.add.reduceat(total, first[:-1])
+        left = active[owner]
+        if left.sum() < 0.6 * len(left):
+            rows, owner = rows[left], owner[left]
+    total = _sums(like, doc, np.zeros(len(pi)), lambda block, own: np.log((block * pi[own]).sum(axis=1) + 1e-30))
+    return pi, total
+
+
+def _words(b: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihoods of each word under each language, relative to the best (float32), and the number of its text.
+
+    N-grams are scored by chunks of bytes, so that a very long text costs memory by its words only.
+    """
+    n = len(b) - max(ORDERS) + 1
+    blank = b[:n] == 32
+    begin = np.flatnonzero(blank[:-1] & ~blank[1:])  # a word's n-grams start at the blank before it
+    like = np.empty((len(begin), len(model.languages)), dtype=np.float32)
+    done = 0
+    while done < len(begin):
+        a = begin[done]
+        last = max(int(np.searchsorted(begin, a + BYTES_AT_ONCE)), done + 1)
+        z = begin[last] if last < len(begin) else n
+        part = b[a : z + max(ORDERS) - 1]
+        log = np.zeros((z - a, len(model.languages)), dtype=np.float32)
+        for order, g in zip(ORDERS, _grams(part), strict=True):
+            own = model.loglik[g]
+            if order == 1:
+                own[blank[a:z]] = 0
+            log += own
+        # n-grams of four overlapping orders count each letter about four times
+        word = np.add.reduceat(log, begin[done:last] - a, axis=0) / len(ORDERS)
+        like[done:last] = np.exp(word - word.max(axis=1, keepdims=True))
+        done = last
+    return like, np.searchsorted(ends, begin, side="right")
 
 
 def infer(texts: list[bytes], model: Model, rounds: int = 20, penalty: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: whether it has a letter, the selected proportions, and the number of languages selected."""
     k = len(model.languages)
     props, chosen = np.zeros((len(texts), k)), np.zeros(len(texts), dtype=np.int64)
-    b, ends = _clean(texts)
-    n = len(b) - max(ORDERS) + 1
-    log = np.zeros((n, k), dtype=np.float32)
-    blank = b[:n] == 32
-    for order, g in zip(ORDERS, _grams(b), strict=True):
-        part = model.loglik[g]
-        if order == 1:
-            part[blank] = 0
-        log += part
-    begin = np.flatnonzero(blank[:-1] & ~blank[1:])  # a word's n-grams start at the blank before it
-    if not len(begin) or not k:
-        return np.zeros(len(texts), dtype=bool), props, chosen
-    word = np.add.reduceat(log, begin, axis=0)
-    # n-grams of four overlapping orders count each letter about four times
-    word = word / len(ORDERS)
-    like = np.exp(word - word.max(axis=1, keepdims=True))
-    owner = np.searchsorted(ends, begin, side="right")
-    has, first, doc = np.unique(owner, return_index=True, return_inverse=True)
-    first = np.append(first, len(owner))
-    pi, _ = _em(like, first, doc, np.ones((len(has), k)), rounds)
+    letters = np.zeros(len(texts), dtype=bool)
+    like, owner = _words(*_clean(texts), model) if k else (np.zeros((0, 1)), np.zeros(0))
+    if not len(like):
+        return letters, props, chosen
+    has, doc = np.unique(owner, return_inverse=True)
+    words = np.bincount(doc)
+    pi, _ = _em(like, doc, np.ones((len(has), k)), rounds)
     order = np.argsort(-pi, axis=1, kind="stable")
-    words = np.diff(first)
-    one = np.zeros_like(pi)
-    one[np.arange(len(has)), order[:, 0]] = 1
-    best, size = one.copy(), np.ones(len(has), dtype=np.int64)
-    mixed = np.flatnonzero(pi[np.arange(len(has)), order[:, min(1, k - 1)]] >= 0.01) if k > 1 else np.empty(0, dtype=np.int64)
-    if len(mixed):
-        take = np.isin(doc, mixed)
-        sub_doc = np.searchsorted(mixed, doc[take])
-        sub_first = np.append(np.searchsorted(sub_doc, np.arange(len(mixed))), take.sum())
-        sub = like[take]
-        logs = np.log(sub + 1e-30)
-        score = np.add.reduceat(logs, sub_first[:-1], axis=0)
+    best, size = np.zeros_like(pi), np.ones(len(has), dtype=np.int64)
+    best[np.arange(len(has)), order[:, 0]] = 1
+    ranked = np.take_along_axis(pi, order, axis=1)
+    open_ = np.flatnonzero(ranked[:, min(1, k - 1)] >= LEAST_SHARE) if k > 1 else np.zeros(0, dtype=np.int64)
+    if len(open_):
+        rows = np.isin(doc, open_)
+        sub, sub_doc = like[rows], np.searchsorted(open_, doc[rows])
+        score = _sums(sub, sub_doc, np.zeros((len(open_), k)), lambda block, own: np.log(block + 1e-30))
         top = score.max(axis=1)
-        best[mixed] = 0
-        best[mixed, score.argmax(axis=1)] = 1
+        best[open_] = 0
+        best[open_, score.argmax(axis=1)] = 1
         for s in range(2, k + 1):
-            allowed = np.zeros((len(mixed), k))
-            np.put_along_axis(allowed, order[mixed, :s], 1, axis=1)
-            p, ll = _em(sub, sub_first, sub_doc, allowed, rounds)
-            ll -= penalty * (s - 1) * np.log(np.maximum(words[mixed], 2))
-            better = ll > top
-            if not better.any():
+            # a text tries the sets that its own proportions suggest
+            stays = ranked[open_, s - 1] >= LEAST_SHARE
+            if not stays.any():
                 break
+            rows = stays[sub_doc]
+            sub, sub_doc, open_, top = sub[rows], (np.cumsum(stays) - 1)[sub_doc[rows]], open_[stays], top[stays]
+            allowed = np.zeros((len(open_), k))
+            np.put_along_axis(allowed, order[open_, :s], 1, axis=1)
+            p, ll = _em(sub, sub_doc, allowed, rounds)
+            ll -= penalty * (s - 1) * np.log(np.maximum(words[open_], 2))
+            better = ll > top
             top = np.where(better, ll, top)
-            best[mixed[better]], size[mixed[better]] = p[better], s
+            best[open_[better]], size[open_[better]] = p[better], s
     props[has], chosen[has] = best, size
-    letters = np.zeros(len(texts), dtype=bool)
     letters[has] = True
     return letters, props, chosen
 
@@ -166,8 +212,9 @@ def detect(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
     """``id_cols`` (any columns to carry, the text too) and lang_pred, score, n_langs, mixture (language to proportion) for every row.
 
     A text that is null or has no letter is ``und`` with score 0 and an empty mixture; so is every
-    text if the model has no language. Very long texts are inferred whole. Ties go to the language
-    that sorts first. Extra columns are ignored.
+    text if the model has no language. Very long texts are inferred whole, with memory for a few numbers a word and
+    language. A text's result doesn't depend on the rows that it is read with. Ties go to the language that sorts
+    first. Other columns are ignored; ``id_cols`` may not be called as a result is.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -185,7 +232,7 @@ def detect(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
                     if has[i] and any(c.isalpha() for c in t.decode("utf-8", "replace")):
                         k = int(props[i].argmax())
                         lang.append(m.languages[k])
-                        score.append(min(1.0, float(props[i, k])))
+                        score.append(round(min(1.0, float(props[i, k])), 9))
                         mixture.append([(m.languages[j], float(props[i, j])) for j in np.flatnonzero(props[i] > 1e-6)])
                     else:
                         lang.append(UNDETERMINED)
