@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfx.llm import language_id, mixing, packing, secret_scan, simhash
-from panelfx.llm.common import drop_saved, save, table
+from panelfx.llm.common import drop_saved, keep_saved, save, scratch, table
 from panelfx.llm.queries import tokenizer_path
 
 #: A document stays if one language makes up at least this share of it: with less it has no main language.
@@ -39,7 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    return mixing.resample(docs, mixing.mix(docs))
+    return mixing.resample(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each stage's rows are written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs, f"stage-{name}")
-            drop_saved(before)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        before = docs
+        with scratch():  # what the stage has written goes once its result is written
+            docs = keep_saved(save(stage(spark, docs, sf_dir), f"stage-{name}"))
+        drop_saved(before)
     return docs
 
 
