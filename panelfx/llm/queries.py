@@ -95,7 +95,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -119,6 +119,49 @@ def test_beams_widen_to_the_whole_cluster():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     built = hnsw.Graph.build(x)
     g = hnsw.Graph.load(x, built.rows())
-    assert all((a[1] == b[1]).all() for a, b in zip([(0, np.sort(n, axis=1)) for _, n in built.layers], [(0, np.sort(n, axis=1)) for _, n in g.layers], strict=True))
+    for a, b in zip(built.layers, g.layers, strict=True):
+        assert (a.rows == b.rows).all() and all(set(p) - {-1} == set(q) - {-1} for p, q in zip(a.near, b.near, strict=True))
     q, row = hnsw._hits(g, x[:5].astype(np.float32), 0.95, 16)
     assert len(q) >= 0.99 * (x[:5] @ x.T >= 0.95).sum()
+
+
+@pytest.mark.parametrize("kind", ["random", "copies", "islands"])
+def test_every_row_is_found(kind):
+    """Graphs of any size are built alike, and each row finds itself."""
+    r = np.random.default_rng(2)
+    x = {"random": lambda: r.normal(size=(5000, 64)), "copies": lambda: np.repeat(r.normal(size=(60, 32)), 40, axis=0) + r.normal(size=(2400, 32)) * 1e-3, "islands": lambda: np.eye(24)[r.integers(0, 24, 3000)] + r.normal(size=(3000, 24)) * 1e-4}[kind]()
+    x = hnsw._unit(x).astype(np.float32)
+    g = hnsw.Graph.build(x)
+    first = g.layers[0]
+    seen = np.zeros(len(x), dtype=bool)
+    front = np.array([0])
+    while len(front):
+        seen[front] = True
+        front = np.unique(first.near[front])
+        front = front[(front >= 0)]
+        front = front[~seen[front]]
+    assert seen.all()
+    ids, sims = g.search(x[::7], 64)
+    assert (sims.max(axis=1) > 0.9999).mean() > 0.99
+
+
+def test_sparse_links_and_audit(spark):
+    """Few links among many vectors: the audit has evidence without them, and nearly all are found."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(6000, 128))
+    for k in range(0, 300, 2):
+        x[k + 1] = x[k] / np.linalg.norm(x[k]) + r.normal(size=128) * 0.02
+    df = spark.createDataFrame([(k, [float(c) for c in a]) for k, a in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {g["vec_id"]: g for g in hnsw.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 200
+    assert sum(g["n_links"] for g in got.values()) >= 0.99 * near.sum()
+    assert got[0]["audit_recall"] >= 0.99
+
+
+def test_extreme_sizes_link(spark):
+    rows = [(1, [1e300, 2e300]), (2, [1e-300, 2e-300]), (3, [5e-324, 0.0]), (4, [1.0, 0.0]), (5, [-0.0, 1.0]), (6, [0.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5)}
