@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..spec import SearchFailed
 from .distance import pair_stats
-from .index import valid
+from .index import units, valid
+from .weights import joint_unit, shape
 
 INF = float("inf")
 #: The preset grids of the time, unit and norm penalties.
@@ -49,6 +50,12 @@ def scores_zero(cells: DataFrame, grid: DataFrame) -> DataFrame:
     at = c.select(F.col("u").alias("j"), "t", "y").join(sums, ["j", "t"])
     # what is left of each cell by its unit's mean, with the cell (as a neighbour) and without it (as the target)
     at = at.select("lam_time", "t", "j", "y", (F.col("y") - F.col("swy") / F.col("sw")).alias("r"), F.when(F.col("sw") - 1 > 1e-12, (F.col("swy") - F.col("y")) / (F.col("sw") - 1)).otherwise(0.0).alias("alpha"))
+    keep = ["g_id", "lam_time", "lam_unit", "u", "t", "y", "alpha", "sw", "swr"]
+    g = grid.withColumnRenamed("lam_time", "g_time")
+    # rows that weight all units alike: a period's sums less the cell's own
+    per = at.groupBy("lam_time", "t").agg(F.count("*").cast("double").alias("n"), F.sum("r").alias("sr"))
+    alike = at.withColumnRenamed("j", "u").join(per, ["lam_time", "t"]).withColumn("sw", F.col("n") - 1).withColumn("swr", F.col("sr") - F.col("r"))
+    alike = alike.join(F.broadcast(g.where("lam_unit = 0")), F.col("lam_time") == F.col("g_time")).select(*keep)
     a, b = at.alias("a"), at.alias("b")
     pairs = pair_stats(cells).alias("p")
     j = a.join(b, (F.col("a.lam_time") == F.col("b.lam_time")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.j") != F.col("b.j")))
@@ -56,11 +63,50 @@ def scores_zero(cells: DataFrame, grid: DataFrame) -> DataFrame:
     n = F.col("p.n") - 1
     dist = F.when(n > 0, F.sqrt(F.greatest(F.col("p.sum_sq") - (F.col("a.y") - F.col("b.y")) ** 2, F.lit(0.0)) / n))
     j = j.select(F.col("a.lam_time").alias("lam_time"), F.col("a.j").alias("u"), F.col("a.t").alias("t"), F.col("a.y").alias("y"), F.col("a.alpha").alias("alpha"), F.col("b.r").alias("r"), dist.alias("dist"))
-    j = j.join(F.broadcast(grid.withColumnRenamed("lam_time", "g_time")), F.col("lam_time") == F.col("g_time"))
-    w = F.when(F.col("lam_unit") == 0, 1.0).when(F.col("dist").isNull(), 0.0).otherwise(F.exp(-F.col("lam_unit") * F.col("dist")))
-    cell = j.groupBy("g_id", "lam_time", "lam_unit", "u", "t", "y", "alpha").agg(F.sum(w).alias("sw"), F.sum(w * F.col("r")).alias("swr"))
+    j = j.join(F.broadcast(g.where("lam_unit <> 0")), F.col("lam_time") == F.col("g_time"))
+    w = F.when(F.col("dist").isNull(), 0.0).otherwise(F.exp(-F.col("lam_unit") * F.col("dist")))
+    cell = j.groupBy("g_id", "lam_time", "lam_unit", "u", "t", "y", "alpha").agg(F.sum(w).alias("sw"), F.sum(w * F.col("r")).alias("swr")).select(*keep).unionByName(alike)
     tau = F.col("y") - F.col("alpha") - F.when(F.col("sw") > 0, F.col("swr") / F.col("sw")).otherwise(0.0)
-    return cell.withColumn("tau", tau).groupBy("g_id", "lam_time", "lam_unit").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"))
+    return _score(cell.withColumn("tau", tau))
+
+
+def _score(cell: DataFrame) -> DataFrame:
+    return cell.groupBy("g_id", "lam_time", "lam_unit").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"))
+
+
+def scores_joint(cells: DataFrame, grid: DataFrame) -> DataFrame:
+    """Leave-one-out score of the joint estimator without a low-rank part, for every row of ``grid(g_id, lam_time, lam_unit)``.
+
+    For a complete panel with simultaneous adoption. Its weights are a product a_t b_i on three blocks of
+    cells (controls before and after, treated before), so unit and period effects have closed forms; a cell that is
+    left out is missed by e / (1 - h) with e its residual and h its leverage, which is its
+    weight times the effective resistance between its unit and its period. No fit is repeated.
+    """
+    rmse = joint_unit(cells, 0.0).select(F.col("j").alias("u"), "rmse")
+    c = cells.join(units(cells).select("u", "treated"), "u").join(rmse, "u").crossJoin(F.broadcast(shape(cells))).crossJoin(F.broadcast(grid))
+    c = c.withColumn("pre", F.col("t") < F.col("n_t") - F.col("t_post")).where("NOT treated OR pre")
+    c = c.withColumn("a", F.exp(-F.col("lam_time") * F.abs(F.col("t") - (F.col("n_t") - F.col("t_post") / 2)))).withColumn("b", F.when(F.col("rmse").isNull(), 0.0).otherwise(F.exp(-F.col("lam_unit") * F.col("rmse"))))
+    g = ["g_id", "lam_time", "lam_unit"]
+    c = c.select(*g, "u", "t", "y", "treated", "pre", "a", "b")
+    by_unit = c.groupBy("g_id", "u").agg((F.sum(F.col("a") * F.col("y")) / F.sum("a")).alias("m"), F.first("treated").alias("tr"), F.first("b").alias("bu"))
+    by_time = c.groupBy("g_id", "t").agg((F.sum(F.col("b") * F.col("y")) / F.sum("b")).alias("n"), F.first("pre").alias("pr"), F.first("a").alias("at"))
+    w = F.col("a") * F.col("b")
+    mean = lambda k: F.sum(F.when(k, w * F.col("y"))) / F.sum(F.when(k, w))
+    control, pre = ~F.col("treated"), F.col("pre")
+    means = c.groupBy("g_id").agg(mean(control).alias("mc"), mean(control & pre).alias("mc0"), mean(~control).alias("mt0"))
+    sums = by_unit.groupBy("g_id").agg(F.sum("bu").alias("bb"), F.sum(F.when(F.col("tr"), F.col("bu"))).alias("bt")).join(by_time.groupBy("g_id").agg(F.sum("at").alias("aa"), F.sum(F.when(F.col("pr"), F.col("at"))).alias("a0")), "g_id")
+    c = c.join(by_unit.select("g_id", "u", "m"), ["g_id", "u"]).join(by_time.select("g_id", "t", "n"), ["g_id", "t"]).join(F.broadcast(means.join(sums, "g_id")), "g_id")
+    x = {k: F.col(k) for k in ("a", "b", "aa", "a0", "bb", "bt", "m", "n", "mc", "mc0", "mt0", "y")}
+    bc = x["bb"] - x["bt"]
+    shift = x["bt"] / x["bb"] * (x["mt0"] - x["mc0"])
+    e = F.when(control & ~pre, x["y"] - (x["m"] - x["mc"]) - x["n"]).when(control, x["y"] - (x["m"] - x["mc"]) - x["n"] + shift).otherwise(x["y"] - (x["m"] - x["mc0"]) - x["n"] + shift)
+    r = (
+        F.when(control & ~pre, 1 / (x["b"] * x["aa"]) + 1 / (x["a"] * bc) - 1 / (x["aa"] * bc))
+        .when(control, 1 / (x["b"] * x["aa"]) - 1 / (x["aa"] * bc) + 1 / (x["a"] * x["bb"]) + x["bt"] / (x["bb"] * x["a0"] * bc))
+        .otherwise(1 / (x["b"] * x["a0"]) - 1 / (x["a0"] * x["bb"]) + 1 / (x["a"] * x["bb"]))
+    )
+    left = 1 - w * r
+    return _score(c.withColumn("tau", F.when(left > 1e-10, e / left)))
 
 
 def select(scores: list[dict]) -> dict:
@@ -110,6 +156,20 @@ def top(scores: DataFrame, k: int = 5) -> DataFrame:
     return scores.orderBy("q", "g_id").limit(k)
 
 
+def exhaust(score, grids: tuple[list[float], list[float], list[float]]) -> tuple[dict, list[dict]]:
+    """Every combination, in one call of ``score``."""
+    rows = [tuple(map(float, c)) for c in product(*grids)]
+    found = [{"g_id": g, "lam_time": r[0], "lam_unit": r[1], "lam_norm": r[2], "q": q} for g, (r, q) in enumerate(zip(rows, score(rows), strict=True))]
+    return select(found), [{k: v for k, v in f.items() if k != "g_id"} for f in found]
+
+
+def stability(best: dict, grids: tuple[list[float], list[float], list[float]]) -> dict:
+    """Which penalties lie on an edge of their axis, how many combinations there are, and whether trying all of them is cheap."""
+    n = len(grids[0]) * len(grids[1]) * len(grids[2])
+    edge = {k: best[k] in (min(v), max(v)) for k, v in zip(("lam_time", "lam_unit", "lam_norm"), grids, strict=True)}
+    return {"on_edge": [k for k, v in edge.items() if v], "combinations": n, "exhaustive_is_cheap": n <= 125}
+
+
 def cycle(score, grids: tuple[list[float], list[float], list[float]], rounds: int = 10, tol: float = 1e-6) -> tuple[dict, list[dict]]:
     """Coordinate search. ``score(rows)`` gives q for rows (lam_time, lam_unit, lam_norm); each is asked for once.
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dist import chi2_sf, normal_cdf_column, normal_quantile
+from ..functions.dist import chi2_sf, normal_cdf, normal_cdf_column, normal_quantile
 from .index import units
 
 
@@ -40,7 +40,7 @@ def event_study(cells: DataFrame, tau: DataFrame, level: float = 95.0, low: int
     return g.withColumn("se", se).select("h", "n", "att", "se", (F.col("att") - z * F.col("se")).alias("low"), (F.col("att") + z * F.col("se")).alias("high"))
 
 
-def placebo(cells: DataFrame, alpha: DataFrame, beta: DataFrame, leads: int = 5, low: DataFrame | None = None) -> DataFrame:
+def placebo(cells: DataFrame, alpha: DataFrame, beta: DataFrame, leads: int = 5, low: DataFrame | None = None, gamma: list[float] | None = None) -> DataFrame:
     """``(h, n, gap, se)``: residuals of treated units in the last periods before adoption."""
     t = cells.join(units(cells).where("treated").select("u", "first_t"), "u").withColumn("h", F.col("t") - F.col("first_t")).where(f"h BETWEEN {-leads} AND -1 AND y IS NOT NULL")
     t = t.join(alpha, "u").join(beta, "t")
@@ -48,6 +48,9 @@ def placebo(cells: DataFrame, alpha: DataFrame, beta: DataFrame, leads: int = 5,
     if low is not None:
         t = t.join(low, ["u", "t"], "left")
         rest = rest - F.coalesce("low", F.lit(0.0))
+    if gamma and "x" in cells.columns:
+        for k, c in enumerate(gamma):
+            rest = rest - F.coalesce(F.get("x", F.lit(k)), F.lit(0.0)) * c
     g = t.withColumn("r", rest).groupBy("h").agg(F.count("r").alias("n"), F.avg("r").alias("gap"), F.stddev_samp("r").alias("sd"))
     return g.select("h", "n", "gap", F.when(F.col("n") >= 2, F.col("sd") / F.sqrt(F.col("n").cast("double"))).alias("se"))
 
@@ -67,6 +70,11 @@ def z_tests(effects: DataFrame, value: str, se: str) -> DataFrame:
     return effects.where(F.col(se) > 0).withColumn("z", z).withColumn("p", 2 * (1 - normal_cdf_column(F.abs(z))))
 
 
+def cell_tests(tau: DataFrame, se: float | None) -> DataFrame:
+    """Each treated cell's effect against the estimate's standard error; no rows without one."""
+    return z_tests(tau.where("tau IS NOT NULL").select("u", "t", "tau", F.lit(se).cast("double").alias("se")), "tau", "se")
+
+
 def multiple(tests: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """Bonferroni, Holm (running maximum from the least p) and Benjamini-Hochberg (running minimum from the greatest)."""
     k = tests.agg(F.count(p).alias("k"))
@@ -91,6 +99,29 @@ def moments(boot: DataFrame) -> DataFrame:
     return a.drop("g1", "g2").withColumn("jb_p", F.exp(-F.col("jb") / 2))
 
 
+def shapiro_wilk(x: list[float]) -> tuple[float, float] | None:
+    """Royston's W and its p-value for 12 to 5000 values, None outside or without spread.
+
+    Fixed values: the published coefficients of the polynomials for the two outer weights and the moments of log(1 - W).
+    """
+    n, x = len(x), np.sort(np.asarray(x, dtype=float))
+    if not 12 <= n <= 5000 or x[0] == x[-1]:
+        return None
+    m = np.array([normal_quantile((k - 0.375) / (n + 0.25)) for k in range(1, n + 1)])
+    mm, u = m @ m, 1 / np.sqrt(n)
+    last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, m[-1] / np.sqrt(mm)], u)
+    next_ = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / np.sqrt(mm)], u)
+    phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * next_**2)
+    a = m / np.sqrt(phi)
+    a[-1], a[-2], a[0], a[1] = last, next_, -last, -next_
+    w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()))
+    log_n = np.log(n)
+    mean = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n)
+    sd = np.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
+    z = (np.log(max(1 - w, 1e-300)) - mean) / sd
+    return w, 1 - normal_cdf(z)
+
+
 def moment_flags(m: DataFrame, att: float, se: float) -> DataFrame:
     return m.select((F.abs("skew") > 2).alias("skewed"), (F.abs(F.col("kurt") - 3) > 7).alias("heavy"), (F.col("jb_p") < 0.01).alias("not_normal"), (F.abs(F.col("mean") - att) / se > 0.3).alias("biased"))
 

@@ -41,7 +41,13 @@ def distances_without(cells: DataFrame, targets: DataFrame) -> DataFrame:
     shared = F.col("y_own").isNotNull() & F.col("y_other").isNotNull()
     n = F.col("n") - shared.cast("int")
     left = F.greatest(F.col("sum_sq") - F.when(shared, (F.col("y_own") - F.col("y_other")) ** 2).otherwise(0.0), F.lit(0.0))
-    return x.select("u", "t", "j", n.alias("n"), F.when(n > 0, F.sqrt(left / n)).alias("dist"))
+    x = x.select("u", "t", "j", "sum_sq", n.alias("n"), left.alias("left"), shared.alias("shared"))
+    # where one period makes up nearly all of the sum, subtraction loses the rest: these few are summed anew
+    lost = x.where(F.col("shared") & (F.col("n") > 0) & (F.col("left") <= 1e-8 * F.col("sum_sq"))).select("u", "t", "j")
+    one, two = c.select("u", F.col("t").alias("s"), F.col("y").alias("y1")), c.select(F.col("u").alias("j"), F.col("t").alias("s"), F.col("y").alias("y2"))
+    exact = lost.join(one, "u").where("s <> t").join(two, ["j", "s"]).groupBy("u", "t", "j").agg(F.sum((F.col("y1") - F.col("y2")) ** 2).alias("exact"))
+    x = x.join(exact, ["u", "t", "j"], "left")
+    return x.select("u", "t", "j", "n", F.when(F.col("n") > 0, F.sqrt(F.coalesce("exact", "left") / F.col("n"))).alias("dist"))
 
 
 def distance_summary(cells: DataFrame, lam: float = 0.1) -> DataFrame:

@@ -101,22 +101,27 @@ def fit_joint(y: np.ndarray, d: np.ndarray, delta: np.ndarray, lam: float, x: np
     w = np.where(ok, delta, 0.0)
     if w.sum() < 1e-10:
         raise InvalidPanel("no control cell has weight")
-    rows = np.flatnonzero(ok.ravel())
-    design = np.zeros((t * n, n + t - 1 + (0 if x is None else x.shape[2])))
-    i, s = np.tile(np.arange(n), t), np.repeat(np.arange(t), n)
-    design[:, 0] = 1
-    at = np.flatnonzero(i > 0)
-    design[at, i[at]] = 1
-    at = np.flatnonzero(s > 0)
-    design[at, n - 1 + s[at]] = 1
-    if x is not None:
-        design[:, n + t - 1 :] = np.nan_to_num(x).reshape(t * n, -1)
-    root = np.sqrt(w.ravel()[rows])[:, None]
-    pinv = np.linalg.pinv(design[rows] * root, rcond=max(np.finfo(float).eps * max(len(rows), design.shape[1]), 1e-12))
+    xs = np.zeros((t, n, 0)) if x is None else np.nan_to_num(x)
+    p = xs.shape[2]
+    # normal equations of unit effects, period effects and covariates: as many rows as there are of these
+    m = np.zeros((n + t + p, n + t + p))
+    m[:n, :n], m[n : n + t, n : n + t] = np.diag(w.sum(axis=0)), np.diag(w.sum(axis=1))
+    m[n : n + t, :n], m[:n, n : n + t] = w, w.T
+    if p:
+        m[:n, n + t :], m[n : n + t, n + t :] = np.einsum("tn,tnp->np", w, xs), np.einsum("tn,tnp->tp", w, xs)
+        m[n + t :, : n + t] = m[: n + t, n + t :].T
+        m[n + t :, n + t :] = np.einsum("tnp,tn,tnq->pq", xs, w, xs)
+    scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+    eigen = np.linalg.eigvalsh(m / np.outer(scale, scale))
+    pinv = np.linalg.pinv(m / np.outer(scale, scale), rcond=1e-11, hermitian=True) / np.outer(scale, scale)
     low, flat = np.zeros((t, n)), np.where(ok, y, 0.0)
 
     def solve(low: np.ndarray) -> np.ndarray:
-        return pinv @ ((flat - low).ravel()[rows] * root[:, 0])
+        rest = w * (flat - low)
+        return pinv @ np.concatenate((rest.sum(axis=0), rest.sum(axis=1), np.einsum("tn,tnp->p", rest, xs)))
+
+    def fit(b: np.ndarray) -> np.ndarray:
+        return b[:n] + b[n : n + t, None] + xs @ b[n + t :]
 
     b = solve(low)
     converged, it = 1, 1
@@ -124,15 +129,19 @@ def fit_joint(y: np.ndarray, d: np.ndarray, delta: np.ndarray, lam: float, x: np
         converged = 0
         for it in range(1, maxiter + 1):
             old = b, low
-            rest = flat - (design @ b).reshape(t, n)
+            rest = flat - fit(b)
             low = np.where(ok, rest, low) if lam == 0 else _accelerated(low, rest, w, lam, 100 if lam < SMALL else 20, tol)
             b = solve(low)
-            if max(np.abs(b - old[0]).max(), np.abs(low - old[1]).max()) < tol:
+            if max(np.abs(fit(b) - fit(old[0])).max(), np.abs(b[n + t :] - old[0][n + t :]).max(initial=0), np.abs(low - old[1]).max()) < tol:
                 converged = 1
                 break
-    fitted = (design @ b).reshape(t, n) + low
+    fitted = fit(b) + low
     tau = np.where((d == 1) & np.isfinite(y), y - fitted, np.nan)
-    return {"mu": b[0], "alpha": np.concatenate(([0.0], b[1:n])), "beta": np.concatenate(([0.0], b[n : n + t - 1])), "gamma": b[n + t - 1 :], "low": low, "tau": tau, "att": float(np.nanmean(tau)) if np.isfinite(tau).any() else np.nan, "iters": it, "converged": converged}
+    kept = eigen[eigen > 1e-11 * eigen[-1]]
+    return {
+        "mu": b[0] + b[n], "alpha": b[:n] - b[0], "beta": b[n : n + t] - b[n], "gamma": b[n + t :], "low": low, "tau": tau, "fitted": fitted,
+        "att": float(np.nanmean(tau)) if np.isfinite(tau).any() else np.nan, "iters": it, "converged": converged, "condition": float(np.sqrt(kept[-1] / kept[0])),
+    }
 
 
 def dense(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -251,6 +260,38 @@ def joint_weights(y: np.ndarray, d: np.ndarray, lam_time: float, lam_unit: float
     return np.outer(time, unit) * (np.nan_to_num(1 - d))
 
 
+def cv_joint(cells: DataFrame, grid: DataFrame, tol: float = 1e-6, maxiter: int = 500) -> DataFrame:
+    """Joint leave-one-out scores: each control cell in turn has weight 0 and the panel is fitted anew; columns as ``cv_lowrank``."""
+    spark = cells.sparkSession
+    ship(spark)
+    panel = spark.sparkContext.broadcast(dense(cells))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        y, d, x = panel.value
+        made: dict[tuple[float, float], np.ndarray] = {}
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                tau = None
+                try:
+                    pair = (r.lam_time, r.lam_unit)
+                    if pair not in made:
+                        made[pair] = joint_weights(y, d, *pair)
+                    delta = made[pair].copy()
+                    delta[r.t, r.u] = 0.0
+                    got = fit_joint(y, d, delta, effective_penalty(r.lam_norm), x, tol, maxiter)
+                    tau = float(y[r.t, r.u] - got["fitted"][r.t, r.u])
+                except (ArithmeticError, np.linalg.LinAlgError, InvalidPanel):
+                    pass
+                out.append((r.g_id, r.lam_time, r.lam_unit, r.lam_norm, tau))
+            yield pd.DataFrame(out, columns=["g_id", "lam_time", "lam_unit", "lam_norm", "tau"])
+
+    keyed = cells.where("d = 0 AND y IS NOT NULL").select("u", "t").crossJoin(F.broadcast(grid))
+    dealt = keyed.repartition(spark.sparkContext.defaultParallelism * 4, F.xxhash64("u", "t", "g_id"))
+    fits = dealt.mapInPandas(run, "g_id int, lam_time double, lam_unit double, lam_norm double, tau double")
+    return fits.groupBy("g_id", "lam_time", "lam_unit", "lam_norm").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"))
+
+
 def joint_fit(cells: DataFrame, lam_time: float, lam_unit: float, lam_norm: float, tol: float = 1e-6, maxiter: int = 500) -> dict:
     """The joint fit of a checked panel: one task, so it runs on the driver's copy."""
     y, d, x = dense(cells)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .index import treated_cells, units, valid
-from .weights import joint_unit, omega, shape, theta
+from .weights import joint_time, joint_unit, omega, shape, theta
 
 
 def unit_sums(cells: DataFrame, targets: DataFrame, lam_time: float) -> DataFrame:
@@ -34,8 +34,13 @@ def twostep_zero(cells: DataFrame, targets: DataFrame, lam_time: float, lam_unit
     sw, swy = F.coalesce("sw", F.lit(0.0)) - held, F.coalesce("swy", F.lit(0.0)) - held * F.col("y")
     own = own.select("u", "t", "y", F.when(sw > 1e-12, swy / sw).otherwise(0.0).alias("alpha"))
     left = c.select(F.col("u").alias("j"), "t", F.col("y").alias("y_j")).join(sums, ["t", "j"]).select("j", "t", (F.col("y_j") - F.col("swy") / F.col("sw")).alias("r"))
-    w = omega(targets, cells, lam_unit).where("u <> j")
-    beta = w.join(left, ["j", "t"]).groupBy("u", "t").agg(F.sum("omega").alias("sw"), F.sum(F.col("omega") * F.col("r")).alias("swr"))
+    if lam_unit == 0:  # all others count alike: a period's sums less the unit's own
+        per = left.groupBy("t").agg(F.count("*").cast("double").alias("n"), F.sum("r").alias("sr"))
+        mine = t0.select("u", "t").join(per, "t").join(left.withColumnRenamed("j", "u"), ["u", "t"], "left")
+        beta = mine.select("u", "t", (F.col("n") - F.col("r").isNotNull().cast("int")).alias("sw"), (F.col("sr") - F.coalesce("r", F.lit(0.0))).alias("swr"))
+    else:
+        w = omega(targets, cells, lam_unit).where("u <> j")
+        beta = w.join(left, ["j", "t"]).groupBy("u", "t").agg(F.sum("omega").alias("sw"), F.sum(F.col("omega") * F.col("r")).alias("swr"))
     out = own.join(beta, ["u", "t"], "left").withColumn("beta", F.when(F.col("sw") > 0, F.col("swr") / F.col("sw")).otherwise(0.0))
     return out.select("u", "t", "y", "alpha", "beta", (F.col("y") - F.col("alpha") - F.col("beta")).alias("tau"))
 
@@ -79,6 +84,24 @@ def joint_inf_grid(cells: DataFrame, grid: DataFrame) -> DataFrame:
     return a.select("lam_time", "lam_unit", (F.col("t_post") - F.col("t_pre") - F.col("c_post") + F.col("c_pre")).alias("att"))
 
 
+def joint_inf_tau(cells: DataFrame, lam_time: float, lam_unit: float) -> DataFrame:
+    """``(u, t, y, tau)``: each treated cell's own residual of the joint fit without a low-rank part.
+
+    A cell's outcome, less its unit's time-weighted mean before adoption, less what the controls' weighted
+    mean of the period exceeds their weighted mean before adoption by. The mean of tau is the joint effect.
+    """
+    one = F.broadcast(shape(cells))
+    time, unit = joint_time(cells, lam_time), joint_unit(cells, lam_unit).select(F.col("j").alias("u"), "delta_unit")
+    per = cells.join(units(cells).select("u", "treated"), "u").join(unit, "u").join(time, F.col("t") == F.col("s")).crossJoin(one)
+    per = per.withColumn("pre", F.col("t") < F.col("n_t") - F.col("t_post"))
+    own = per.where("treated AND pre").groupBy("u").agg(F.try_divide(F.sum(F.col("delta_time") * F.col("y")), F.sum("delta_time")).alias("own_pre"))
+    w = F.col("delta_time") * F.col("delta_unit")
+    before = per.where("NOT treated AND pre").agg(F.try_divide(F.sum(w * F.col("y")), F.sum(w)).alias("c_pre"))
+    now = per.where("NOT treated AND NOT pre").groupBy("t").agg(F.try_divide(F.sum(F.col("delta_unit") * F.col("y")), F.sum("delta_unit")).alias("c_now"))
+    t = treated_cells(cells).select("u", "t", "y").join(own, "u").join(now, "t").crossJoin(F.broadcast(before))
+    return t.select("u", "t", "y", (F.col("y") - F.col("own_pre") - F.col("c_now") + F.col("c_pre")).alias("tau"))
+
+
 def did(cells: DataFrame) -> DataFrame:
     """Difference in differences of a block design and its four means."""
     per = cells.join(units(cells).select("u", "treated"), "u").crossJoin(F.broadcast(shape(cells)))

@@ -10,17 +10,21 @@ from ..spec import InvalidSpec
 TYPES = ("y0", "xb", "counterfactual", "y1", "te", "att", "residuals", "fitted", "alpha", "beta", "mu")
 
 
-def predictions(cells: DataFrame, alpha: DataFrame, beta: DataFrame, tau: DataFrame, low: DataFrame | None = None, mu: float | None = None, att: float | None = None) -> DataFrame:
+def predictions(cells: DataFrame, alpha: DataFrame, beta: DataFrame, tau: DataFrame, low: DataFrame | None = None, mu: float | None = None, att: float | None = None, gamma: list[float] | None = None) -> DataFrame:
     """All predictions of every cell, from ``alpha(u, alpha)``, ``beta(t, beta)``, ``tau(u, t, tau)``, ``low(u, t, low)``.
 
     Without ``mu`` (two-step) a treated cell's counterfactual is its outcome less its effect, or the sum
-    of the parts where the effect is missing. With ``mu`` (joint) it is the sum everywhere.
+    of the parts where the effect is missing. With ``mu`` (joint) it is the sum everywhere. ``gamma`` are the
+    coefficients of the cells' covariates.
     """
     d = cells.join(alpha, "u", "left").join(beta, "t", "left").join(tau.select("u", "t", "tau"), ["u", "t"], "left")
     parts = F.coalesce("alpha", F.lit(0.0)) + F.coalesce("beta", F.lit(0.0)) + F.lit(mu or 0.0)
     if low is not None:
         d = d.join(low, ["u", "t"], "left")
         parts = parts + F.coalesce("low", F.lit(0.0))
+    if gamma and "x" in d.columns:
+        for k, g in enumerate(gamma):
+            parts = parts + F.coalesce(F.get("x", F.lit(k)), F.lit(0.0)) * g
     joint = mu is not None
     y0 = parts if joint else F.when((F.col("d") == 1) & F.col("tau").isNotNull() & F.col("y").isNotNull(), F.col("y") - F.col("tau")).otherwise(parts)
     effect = F.lit(att).cast("double") if joint else F.coalesce(F.col("tau"), F.lit(att).cast("double"))

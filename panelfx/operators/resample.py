@@ -13,9 +13,12 @@ from .native import unit_sums
 MODULUS, ROUNDS = 2147483647, (48271, 69621, 16807)
 
 
-def draw(b: Column, k: Column, seed: int) -> Column:
-    """A pseudo-random whole number from replicate and slot in 64-bit integer arithmetic, alike on every engine and partitioning."""
-    x = F.pmod(b.cast("long") * 7919 + k.cast("long") * 104729 + F.lit(seed * 613 + 1), F.lit(MODULUS))
+def draw(b: Column, k: Column, seed: int, group: Column | None = None) -> Column:
+    """A pseudo-random whole number from replicate and slot in 64-bit integer arithmetic, alike on every engine and partitioning.
+
+    ``group`` is a number drawn for the slot's group, which sets the slots of groups of any size apart.
+    """
+    x = F.pmod(b.cast("long") * 7919 + k.cast("long") * 104729 + F.lit(seed * 613 + 1) + (0 if group is None else group), F.lit(MODULUS))
     for c in ROUNDS:
         x = F.pmod(F.pmod(x * x, F.lit(MODULUS)) + x * c + c, F.lit(MODULUS))
     return x
@@ -90,11 +93,12 @@ def rao_wu(design: DataFrame, n_boot: int, seed: int = 42, options: SurveyDesign
         raise InvalidPanel("a stratum has one sampling unit")
     psu = design.select("stratum", "psu").distinct()
     psu = psu.withColumn("i", F.row_number().over(Window.partitionBy("stratum").orderBy("psu")) - 1)
-    order = s.withColumn("h", F.row_number().over(Window.orderBy("stratum")) - 1)
+    order = s.withColumn("h", F.row_number().over(Window.orderBy("stratum")) - 1)  # one row a stratum
+    order = order.withColumn("h", draw(F.col("h"), F.lit(0), seed + 1))
     open_ = order.where("n > 1 AND coalesce(f, 0) < 1")
     slots = open_.select("stratum", "h", "n", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
     b = replicates(design, n_boot)
-    drawn = b.crossJoin(slots).withColumn("i", (draw(F.col("b"), F.col("h") * 1009 + F.col("k"), seed) % F.col("n")).cast("int"))
+    drawn = b.crossJoin(slots).withColumn("i", (draw(F.col("b"), F.col("k"), seed, F.col("h")) % F.col("n")).cast("int"))
     r = drawn.groupBy("b", "stratum", "i").agg(F.count("*").alias("r")).join(psu, ["stratum", "i"]).select("b", "stratum", "psu", "r")
     rows = b.crossJoin(design.join(order, "stratum").select("u", "stratum", "psu", "w", "n", "m", "h", order.f))
     rows = rows.join(r, ["b", "stratum", "psu"], "left")
@@ -103,7 +107,7 @@ def rao_wu(design: DataFrame, n_boot: int, seed: int = 42, options: SurveyDesign
     if lonely == "centered":
         mean = design.groupBy("stratum", "psu").agg(F.sum("w").alias("t")).agg(F.avg("t").alias("mean_psu"))
         rows = rows.crossJoin(F.broadcast(mean))
-        sign = F.when(draw(F.col("b"), F.col("h") * 1009 + 1000003, seed) % 2 == 0, 1.0).otherwise(-1.0)
+        sign = F.when(draw(F.col("b"), F.lit(0), seed + 2, F.col("h")) % 2 == 0, 1.0).otherwise(-1.0)
         base = F.when(F.col("n") == 1, F.greatest(F.lit(0.0), F.col("w") + sign * (F.col("w") - F.col("mean_psu")))).otherwise(base)
     w = F.when(held, base).otherwise(F.col("w") * F.col("n") / F.col("m") * F.coalesce("r", F.lit(0)))
     return rows.select("b", "u", w.alias("w"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import units, valid
+from ..spec import PanelSpec
+from .index import finite, units, valid
 
 ERROR_SHARE, WARN_SHARE = 0.30, 0.10
 
@@ -81,21 +82,44 @@ def simultaneous(cells: DataFrame) -> DataFrame:
     return a.select(ok.alias("simultaneous"), "t1", (F.col("n_t") - F.col("t1")).alias("t_post"))
 
 
+def quartile(y: DataFrame, p: float, name: str) -> DataFrame:
+    """One row: the order statistic of ``y(y)`` at n*p, or the mean of it and the next where n*p is a whole number.
+
+    Only values between two approximate percentiles around p are ranked, distinct ones once.
+    """
+    near = y.agg(F.count("*").alias("n"), F.percentile_approx("y", [max(0.0, p - 2e-4), min(1.0, p + 2e-4)], 10_000).alias("at"))
+    lo, hi = F.col("at")[0], F.col("at")[1]
+    # the two ranks asked for may lie just beyond: the next distinct value on either side comes along
+    edge = y.crossJoin(F.broadcast(near)).agg(F.max(F.when(F.col("y") < lo, F.col("y"))).alias("lo2"), F.min(F.when(F.col("y") > hi, F.col("y"))).alias("hi2"))
+    near = near.crossJoin(edge).select("n", F.coalesce("lo2", lo).alias("lo"), F.coalesce("hi2", hi).alias("hi"))
+    rows = y.crossJoin(F.broadcast(near))
+    below = rows.agg(F.count(F.when(F.col("y") < F.col("lo"), 1)).alias("below"))
+    held = rows.where("y BETWEEN lo AND hi").groupBy("y", "n").agg(F.count("*").alias("k")).crossJoin(F.broadcast(below))
+    last = F.col("below") + F.sum("k").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("last", last).withColumn("first", F.col("last") - F.col("k") + 1)
+    rank, whole = F.ceil(F.col("n") * p), F.col("n") * p == F.floor(F.col("n") * p)
+    at = lambda r: F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("y")))
+    got = held.agg(at(F.greatest(rank, F.lit(1))).alias("a"), at(rank + 1).alias("b"), F.max(whole).alias("whole"))
+    return got.select(F.when(F.col("whole") & F.col("b").isNotNull(), (F.col("a") + F.col("b")) / 2).otherwise(F.col("a")).alias(name))
+
+
 def outliers(cells: DataFrame, k: float = 10.0) -> DataFrame:
     """Tukey fences by quartiles that average two order statistics where n*p is a whole number."""
     y = cells.where("y IS NOT NULL").select("y")
-    r = y.withColumn("r", F.row_number().over(Window.orderBy("y"))).crossJoin(y.agg(F.count("*").alias("n")))
-
-    def at(p: float) -> Column:
-        np_ = F.col("n") * p
-        whole = np_ == F.floor(np_)
-        return F.avg(F.when(F.when(whole, F.col("r").between(np_, np_ + 1)).otherwise(F.col("r") == F.ceil(np_)), F.col("y")))
-
-    q = r.agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    q = quartile(y, 0.25, "q1").crossJoin(quartile(y, 0.75, "q3"))
     q = q.select("q1", "q3", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("high"))
     return y.crossJoin(F.broadcast(q)).groupBy("q1", "q3", "low", "high").agg(F.count(F.when((F.col("y") < F.col("low")) | (F.col("y") > F.col("high")), 1)).alias("n_outliers"))
 
 
+def raw_problems(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """One row of counts before any cast: treatments that are neither 0 nor 1, and rows with a covariate that is null or not finite."""
+    d = F.col(spec.treatment).cast("double")
+    missing = F.lit(False)
+    for c in spec.covariates:
+        missing = missing | finite(F.col(c)).isNull()
+    return df.dropna(subset=[spec.unit, spec.time, spec.treatment]).agg(F.count(F.when(~d.isin(0.0, 1.0) | F.isnan(d), 1)).alias("n_not_binary"), F.count(F.when(missing, 1)).alias("n_no_covariate"))
+
+
 def balance(cells: DataFrame, column: str = "x") -> DataFrame:
     """Standardised difference of a covariate between ever-treated and other units before the first treatment."""
     first = cells.agg(F.min(F.when(F.col("d") == 1, F.col("t"))).alias("t1"))

@@ -81,17 +81,20 @@ def rao(b: int, design: str = "design", lonely: str = "skip") -> str:
     if lonely == "centered":
         extra = f"""
 mean AS (SELECT avg(s) AS mean_psu FROM (SELECT sum(w) AS s FROM {design} GROUP BY stratum, psu)),
-g0 AS (SELECT b, h, (b * 7919 + (h * 1009 + 1000003) * 104729 + {42 * 613 + 1}) % 2147483647 AS x FROM range({b}) r(b) CROSS JOIN strata),
+g0 AS (SELECT b, h, (b * 7919 + {44 * 613 + 1} + h) % 2147483647 AS x FROM range({b}) r(b) CROSS JOIN strata),
 g1 AS (SELECT b, h, ((x * x) % 2147483647 + x * 48271 + 48271) % 2147483647 AS x FROM g0),
 g2 AS (SELECT b, h, ((x * x) % 2147483647 + x * 69621 + 69621) % 2147483647 AS x FROM g1),
 sign AS (SELECT b, h, CASE WHEN ((x * x) % 2147483647 + x * 16807 + 16807) % 2147483647 % 2 = 0 THEN 1.0 ELSE -1.0 END AS sg FROM g2),"""
         base = "CASE WHEN s.n = 1 THEN greatest(0, w + (SELECT sg FROM sign WHERE sign.b = q.b AND sign.h = s.h) * (w - (SELECT mean_psu FROM mean))) ELSE w END"
     return f"""
-strata AS (SELECT stratum, n, fpc, n / fpc AS f, CASE WHEN fpc IS NULL THEN n - 1 ELSE greatest(1, round((1 - n / fpc) * (n - 1))::INT) END AS m,
-                  row_number() OVER (ORDER BY stratum) - 1 AS h
+h0 AS (SELECT stratum, n, fpc, n / fpc AS f, CASE WHEN fpc IS NULL THEN n - 1 ELSE greatest(1, round((1 - n / fpc) * (n - 1))::INT) END AS m,
+                  ((row_number() OVER (ORDER BY stratum) - 1) * 7919 + {43 * 613 + 1}) % 2147483647 AS h
            FROM (SELECT stratum, count(DISTINCT psu) AS n, max(fpc) AS fpc FROM {design} GROUP BY 1)),
+h1 AS (SELECT * REPLACE (((h * h) % 2147483647 + h * 48271 + 48271) % 2147483647 AS h) FROM h0),
+h2 AS (SELECT * REPLACE (((h * h) % 2147483647 + h * 69621 + 69621) % 2147483647 AS h) FROM h1),
+strata AS (SELECT * REPLACE (((h * h) % 2147483647 + h * 16807 + 16807) % 2147483647 AS h) FROM h2),
 psus AS (SELECT stratum, psu, row_number() OVER (PARTITION BY stratum ORDER BY psu) - 1 AS i FROM (SELECT DISTINCT stratum, psu FROM {design})),
-y0 AS (SELECT b, s.stratum, s.n, (b * 7919 + (s.h * 1009 + k) * 104729 + {42 * 613 + 1}) % 2147483647 AS x
+y0 AS (SELECT b, s.stratum, s.n, (b * 7919 + k * 104729 + {42 * 613 + 1} + s.h) % 2147483647 AS x
        FROM range({b}) r(b) CROSS JOIN (SELECT *, unnest(range(m)) AS k FROM strata WHERE n > 1 AND coalesce(f, 0) < 1) s),
 y1 AS (SELECT b, stratum, n, ((x * x) % 2147483647 + x * 48271 + 48271) % 2147483647 AS x FROM y0),
 y2 AS (SELECT b, stratum, n, ((x * x) % 2147483647 + x * 69621 + 69621) % 2147483647 AS x FROM y1),
@@ -135,6 +138,34 @@ ja AS (SELECT lam_time, lam_unit, avg(y) FILTER (tr AND NOT pre) - sum(dt * y) F
               - sum(du * y) FILTER (NOT tr AND NOT pre) / sum(du) FILTER (NOT tr AND NOT pre) + sum(dt * du * y) FILTER (NOT tr AND pre) / sum(dt * du) FILTER (NOT tr AND pre) AS att
        FROM jr GROUP BY 1, 2)"""
 
+#: The joint estimator's own effects, by sums over its weighted cells.
+JOINT_TAU = """
+jw AS (SELECT c.u, c.t, c.y, units.treated AS tr, c.t < n_t - t_post AS pre, delta_time AS dt, delta_unit AS du
+       FROM cells c JOIN units USING (u) JOIN jt ON jt.s = c.t JOIN ju ON ju.j = c.u CROSS JOIN shape),
+jtau AS (SELECT x.u, x.t, x.y, x.y - (SELECT sum(p.dt * p.y) / sum(p.dt) FROM jw p WHERE p.u = x.u AND p.pre) - (SELECT sum(p.du * p.y) / sum(p.du) FROM jw p WHERE p.t = x.t AND NOT p.tr)
+                + (SELECT sum(p.dt * p.du * p.y) / sum(p.dt * p.du) FROM jw p WHERE p.pre AND NOT p.tr) AS tau
+         FROM treated x)"""
+
+#: Leave-one-out misses of the joint fit by its effects and leverages: a, b are time and unit weights, capitals their sums.
+CV_JOINT = """
+grid AS (SELECT row_number() OVER (ORDER BY lam_time, lam_unit) - 1 AS g_id, lam_time, lam_unit
+         FROM (VALUES (0.0::DOUBLE), (0.1), (0.5)) a(lam_time) CROSS JOIN (VALUES (0.0::DOUBLE), (0.05)) b(lam_unit)),
+k AS (SELECT g_id, lam_time, lam_unit, cells.u, t, y, units.treated AS tr, t < n_t - t_post AS pre, exp(-lam_time * abs(t - (n_t - t_post / 2.0))) AS a, coalesce(exp(-lam_unit * rmse), 0) AS b
+      FROM cells JOIN units USING (u) LEFT JOIN rm USING (u) CROSS JOIN shape CROSS JOIN grid WHERE NOT units.treated OR t < n_t - t_post),
+ku AS (SELECT g_id, u, any_value(tr) AS tr, any_value(b) AS b, sum(a * y) / sum(a) AS m FROM k GROUP BY 1, 2),
+kt AS (SELECT g_id, t, any_value(pre) AS pre, any_value(a) AS a, sum(b * y) / sum(b) AS n FROM k GROUP BY 1, 2),
+su AS (SELECT g_id, sum(b) AS sb, sum(b) FILTER (tr) AS sbt FROM ku GROUP BY 1),
+st AS (SELECT g_id, sum(a) AS sa, sum(a) FILTER (pre) AS sa0 FROM kt GROUP BY 1),
+km AS (SELECT g_id, sum(a * b * y) FILTER (NOT tr) / sum(a * b) FILTER (NOT tr) AS mc, sum(a * b * y) FILTER (NOT tr AND pre) / sum(a * b) FILTER (NOT tr AND pre) AS mc0,
+              sum(a * b * y) FILTER (tr) / sum(a * b) FILTER (tr) AS mt0 FROM k GROUP BY 1),
+ke AS (SELECT k.g_id, k.lam_time, k.lam_unit,
+              k.y - (ku.m - CASE WHEN k.tr THEN mc0 ELSE mc END) - kt.n + CASE WHEN k.pre THEN sbt / sb * (mt0 - mc0) ELSE 0 END AS e,
+              k.a * k.b * CASE WHEN k.tr THEN 1 / (k.b * sa0) - 1 / (sa0 * sb) + 1 / (k.a * sb)
+                               WHEN k.pre THEN 1 / (k.b * sa) - 1 / (sa * (sb - sbt)) + 1 / (k.a * sb) + sbt / (sb * sa0 * (sb - sbt))
+                               ELSE 1 / (k.b * sa) + 1 / (k.a * (sb - sbt)) - 1 / (sa * (sb - sbt)) END AS h
+       FROM k JOIN ku ON ku.g_id = k.g_id AND ku.u = k.u JOIN kt ON kt.g_id = k.g_id AND kt.t = k.t JOIN su ON su.g_id = k.g_id JOIN st ON st.g_id = k.g_id JOIN km ON km.g_id = k.g_id),
+jscores AS (SELECT g_id, lam_time, lam_unit, sum((e / (1 - h)) ** 2) AS q, count(*) AS n_valid, count(*) AS n_attempted FROM ke GROUP BY 1, 2, 3)"""
+
 PARAMS = f"""
 fits AS (SELECT t AS ft, count(*) AS k FROM treated GROUP BY 1),
 alphas AS (SELECT s.u, sum(s.swy / s.sw * k) / sum(k) AS alpha FROM sums s JOIN fits ON ft = s.t GROUP BY 1),
@@ -279,6 +310,16 @@ ORACLE_SQL: dict[str, str] = {
     "did_block": sql([C, "m AS (SELECT avg(y) FILTER (treated AND t >= n_t - t_post) AS treated_post, avg(y) FILTER (treated AND t < n_t - t_post) AS treated_pre, avg(y) FILTER (NOT treated AND t >= n_t - t_post) AS control_post, avg(y) FILTER (NOT treated AND t < n_t - t_post) AS control_pre FROM cells JOIN units USING (u) CROSS JOIN shape)"], f"SELECT {r('treated_post', 'treated_pre', 'control_post', 'control_pre')}, round(treated_post - treated_pre - control_post + control_pre, 6) + 0.0 AS did FROM m"),
     "joint_inf": sql([C, JOINT, JOINT_GRID], f"SELECT lam_time, lam_unit, {r('att')} FROM ja WHERE lam_time = {LT} AND lam_unit = {LU}"),
     "joint_inf_grid": sql([C, JOINT, JOINT_GRID], f"SELECT lam_time, lam_unit, {r('att')} FROM ja"),
+    "joint_tau": sql([C, JOINT, JOINT_TAU], f"SELECT u, t, {r('y', 'tau')} FROM jtau"),
+    "joint_weighted_att": sql([C, JOINT, JOINT_TAU, DESIGN], "SELECT round(sum(w * tau) / sum(w), 6) + 0.0 AS att, sum(w) AS sum_w FROM jtau JOIN design USING (u)"),
+    "joint_rao_wu_att": sql([C, JOINT, JOINT_TAU, DESIGN, rao(50)], "SELECT b, round(sum(w * tau) / sum(w), 6) + 0.0 AS att FROM rw JOIN jtau USING (u) WHERE w > 0 GROUP BY b"),
+    "predict_joint": sql([C, JOINT, JOINT_TAU], "SELECT u, t, round(y - tau, 6) + 0.0 AS y0, round(tau, 6) + 0.0 AS te FROM jtau"),
+    "cv_joint_grid": sql([C, JOINT, CV_JOINT], f"SELECT g_id, lam_time, lam_unit, {r('q')}, n_valid, n_attempted FROM jscores"),
+    "cv_joint_select": sql([C, JOINT, CV_JOINT], f"SELECT g_id, lam_time, lam_unit, {r('q')}, n_valid, n_attempted FROM jscores ORDER BY jscores.q LIMIT 1"),
+    "mht_cells": sql(
+        [C, zero(), "es AS (SELECT u * 100 + t AS h, 2 AS n, tau AS att, 5.0::DOUBLE AS se FROM tau)", MHT],
+        f"SELECT h // 100 AS u, h % 100 AS t, {r('tau')}, {r('se', 'z', 'p')}, round(least(p * k, 1), 6) + 0.0 AS bonferroni, round(max(least(p * (k - i + 1), 1)) OVER (ORDER BY i), 6) + 0.0 AS holm, round(min(least(p * k / i, 1)) OVER (ORDER BY i DESC), 6) + 0.0 AS bh FROM (SELECT *, att AS tau FROM rk)",
+    ),
     "twostep_inf": sql(
         [C, pairs(), f"bm AS (SELECT p.t, c.u, sum(exp(-{LT} * abs(p.t - c.t)) * c.y) / sum(exp(-{LT} * abs(p.t - c.t))) AS m FROM (SELECT DISTINCT t FROM treated) p CROSS JOIN cells c CROSS JOIN shape WHERE c.t < n_t - t_post GROUP BY 1, 2)",
          f"cg AS (SELECT x.u, x.t, sum(exp(-{LU} * sqrt(p.sum_sq / p.n)) * (c.y - bm.m)) / sum(exp(-{LU} * sqrt(p.sum_sq / p.n))) AS gain FROM treated x JOIN units n ON NOT n.treated JOIN pairs p ON p.i = x.u AND p.j = n.u JOIN cells c ON c.u = n.u AND c.t = x.t JOIN bm ON bm.t = x.t AND bm.u = n.u GROUP BY 1, 2)"],

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cv, infer, kernels, native, resample, validate
+from ..operators import cv, diagnose, distance, infer, kernels, native, predict, resample, validate
+from ..operators import weights as native_weights
 from ..operators.index import index_cells, treated_cells, units
-from ..spec import FitOptions, InvalidPanel, NoTreatedCell, PanelSpec, SurveyDesign, effective_penalty
+from ..spec import LARGE_PENALTY, FitOptions, InvalidPanel, InvalidSpec, NoControlCell, NoTreatedCell, PanelSpec, SurveyDesign, effective_penalty, search_mode
 
 
 def choose_path(method: str, lam_norm: float, simultaneous: bool, complete: bool, covariates: bool = False) -> str:
@@ -19,14 +20,30 @@ def choose_path(method: str, lam_norm: float, simultaneous: bool, complete: bool
         return "kernel"
     if method == "twostep" and lam_norm == 0:
         return "zero"
-    if effective_penalty(lam_norm) >= 1e10 and simultaneous and complete:
+    if effective_penalty(lam_norm) >= LARGE_PENALTY and simultaneous and complete:
         return "inf"
     return "kernel"
 
 
+@dataclass
+class Parameters:
+    """The parts of a fit: averages over the cells' fits for twostep, one fit's for joint (which has ``mu``, else None).
+
+    ``cells`` has a row for each treated cell's fit: tau, iters, converged (1, 0 at the limit, -1 failed).
+    """
+
+    alpha: DataFrame
+    beta: DataFrame
+    low: DataFrame
+    gamma: list[float]
+    mu: float | None
+    cells: DataFrame
+    condition: float | None = None
+
+
 @dataclass
 class Fit:
-    """An estimate, its inference, and the tables behind it."""
+    """An estimate, its inference, and the tables behind it. ``failures`` counts treated cells and replicates without a result."""
 
     options: FitOptions
     cells: DataFrame
@@ -40,41 +57,122 @@ class Fit:
     weights: DataFrame | None = None
     design: DataFrame | None = None
     survey: SurveyDesign | None = None
+    failures: dict = field(default_factory=dict)
 
     def bootstrap(self, n: int = 1000, seed: int | None = None) -> Fit:
         """The same fit with a new bootstrap; penalties, weights and survey design stay."""
         options = replace(self.options, n_boot=n, seed=self.options.seed if seed is None else seed)
-        boot, se, interval = resampled(self.cells, options, self.lambdas, self.path, self.tau, self.weights, self.design, self.survey)
+        boot, se, interval, failed = resampled(self.cells, options, self.lambdas, self.path, self.tau, self.weights, self.design, self.survey)
+        if self.boot is not None:
+            self.boot.unpersist()
         n1 = units(self.cells).where("treated").count()
-        return replace(self, options=options, boot=boot, inference=infer.intervals(self.att, se, n1, options.level, options.ci, interval))
+        return replace(self, options=options, boot=boot, inference=infer.intervals(self.att, se, n1, options.level, options.ci, interval), failures=self.failures | {"replicates": failed})
+
+    def parameters(self) -> Parameters:
+        """Unit and period effects, low-rank part and covariate coefficients, fitted by the kernel for every path."""
+        spark, lam = self.cells.sparkSession, self.lambdas
+        if self.options.method == "joint":
+            got = kernels.joint_fit(self.cells, *lam, self.options.tol, self.options.maxiter)
+            table = lambda v, k, name: spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], f"{k} int, {name} double")
+            low = spark.createDataFrame([(int(u), int(t), float(got["low"][t, u])) for t, u in _places(got["low"])], "u int, t int, low double")
+            cells = self.tau.select("u", "t", "tau", F.lit(got["iters"]).alias("iters"), F.lit(got["converged"]).alias("converged"))
+            return Parameters(table(got["alpha"], "u", "alpha"), table(got["beta"], "t", "beta"), low, [float(g) for g in got["gamma"]], float(got["mu"]), cells, got["condition"])
+        grid = spark.createDataFrame([(0, *map(float, lam))], "g_id int, lam_time double, lam_unit double, lam_norm double")
+        fits = kernels.cell_fits(self.cells, kernels.tasks_for(treated_cells(self.cells), grid), True, self.options.tol, self.options.maxiter).persist()
+        n = self.cells.agg(F.max("u")).first()[0] + 1
+        alpha, beta, low = (f.persist() for f in kernels.averages(fits, n))
+        gamma = fits.where("converged >= 0").select(F.posexplode("gamma").alias("k", "g")).groupBy("k").agg(F.avg("g").alias("g")).orderBy("k").collect()
+        for f in (alpha, beta, low):
+            f.count()
+        cells = fits.select("u", "t", "tau", "iters", "converged").persist()
+        cells.count()
+        fits.unpersist()
+        return Parameters(alpha, beta, low, [r["g"] for r in gamma], None, cells)
+
+    def predictions(self) -> DataFrame:
+        """Every prediction of every cell (see ``operators.predict``); with covariates, their share is in the counterfactual."""
+        p = self.parameters()
+        return predict.predictions(self.cells, p.alpha, p.beta, self.tau, p.low, p.mu, self.att, p.gamma)
+
+    def predict(self, kind: str = "y0") -> DataFrame:
+        return predict.predict(self.predictions(), kind)
+
+    def diagnose(self, verb: str, **options) -> DataFrame | dict:
+        """By name: summarize, eventstudy, placebo, pretrend, bootstrap, factors, unconverged, loocv, mht, weights, distance."""
+        if verb == "summarize":
+            return diagnose.summarize(self.cells)
+        if verb == "eventstudy":
+            return diagnose.event_study(self.cells, self.tau, **options)
+        if verb in ("placebo", "pretrend"):
+            p = self.parameters()
+            mu = p.mu or 0.0
+            gaps = diagnose.placebo(self.cells, p.alpha.withColumn("alpha", F.col("alpha") + mu), p.beta, low=p.low, gamma=p.gamma, **options)
+            return gaps if verb == "placebo" else diagnose.pretrend(gaps)
+        if verb == "bootstrap":
+            return diagnose.moments(self.boot)
+        if verb == "factors":
+            import numpy as np
+
+            size = self.cells.agg((F.max("u") + 1).alias("n"), (F.max("t") + 1).alias("t")).first()
+            low = np.zeros((size["t"], size["n"]))
+            for r in self.parameters().low.collect():  # as many rows as the dense panel, whose size is checked
+                low[r["t"], r["u"]] = r["low"]
+            return diagnose.factors(low)
+        if verb == "unconverged":
+            return diagnose.unconverged(self.parameters().cells)
+        if verb == "loocv":
+            spread = [r["q"] for r in self.scores if math.isfinite(r["q"])]
+            return {"lambdas": self.lambdas, "n_scores": len(self.scores), "n_failed": len(self.scores) - len(spread), "q_min": min(spread, default=None), "q_max": max(spread, default=None)}
+        if verb == "mht":
+            return diagnose.multiple(diagnose.cell_tests(self.tau, self.inference["se"]), ["u", "t"])
+        if verb == "weights":
+            return native_weights.joint_unit(self.cells, self.lambdas[1]) if self.options.method == "joint" else native_weights.theta(treated_cells(self.cells), self.cells, self.lambdas[0])
+        if verb == "distance":
+            return distance.distance_summary(self.cells, self.lambdas[1])
+        raise InvalidSpec(f"no diagnosis {verb}")
+
+
+def _places(m) -> list[tuple[int, int]]:
+    import numpy as np
+
+    return [tuple(i) for i in np.argwhere(np.isfinite(m))]
 
 
 def estimate(df: DataFrame, spec: PanelSpec | None = None, options: FitOptions | None = None, grid: str | tuple = "default", survey: SurveyDesign | None = None) -> Fit:
     """Validate, choose penalties (given ones, or by leave-one-out search), estimate and bootstrap.
 
-    A weight in the spec weights effects, not fits. With a survey design the bootstrap rescales weights
+    Every failed check of ``validate.report`` is an error, and so are treatments other than 0 and 1 and covariates that are
+    missing. A weight in the spec weights effects, not fits. With a survey design the bootstrap rescales weights
     (1 each where the spec names none) and fits nothing again.
     """
     spec, options = spec or PanelSpec(), options or FitOptions()
     spec.check(df.schema)
+    raw = validate.raw_problems(df, spec).first()
+    if raw["n_not_binary"]:
+        raise InvalidPanel(f"{raw['n_not_binary']} rows have a treatment other than 0 and 1")
+    if raw["n_no_covariate"]:
+        raise InvalidPanel(f"{raw['n_no_covariate']} rows lack a covariate")
     cells = index_cells(df, spec).persist()
     if not cells.where("d = 1 AND y IS NOT NULL").limit(1).count():
         raise NoTreatedCell("no treated cell")
-    checks = {r["check"]: r["ok"] for r in validate.report(cells).collect()}
-    if not checks["unique_cells"] or not checks["feasible"] or not checks["missing_share"]:
-        raise InvalidPanel(", ".join(k for k, ok in checks.items() if not ok))
+    if not cells.where("d = 0 AND y IS NOT NULL").limit(1).count():
+        raise NoControlCell("no control cell")
+    failed = [r["check"] for r in validate.report(cells).collect() if not r["ok"]]
+    if failed:
+        raise InvalidPanel(", ".join(sorted(failed)))
     sim = bool(validate.simultaneous(cells).first()["simultaneous"])
     complete = bool(validate.dims(cells).first()["balanced"])
     if options.method == "joint" and not sim:
         raise InvalidPanel("the joint method needs simultaneous, absorbing adoption")
     scores: list[dict] = []
     if options.lambdas is None:
-        best, scores = search(cells, options, grid)
+        best, scores = search(cells, options, grid, sim and complete)
         lam = (best["lam_time"], best["lam_unit"], best["lam_norm"])
     else:
         lam = options.lambdas
     path = choose_path(options.method, lam[2], sim, complete, bool(spec.covariates))
     tau, att = effects(cells, options, lam, path)
+    lost = treated_cells(cells).count() - tau.where("tau IS NOT NULL").count()
     weights = design = None
     if spec.weight:
         if validate.weight_check(cells).first()["n_bad"]:
@@ -85,9 +183,9 @@ def estimate(df: DataFrame, spec: PanelSpec | None = None, options: FitOptions |
         design = survey_table(df, cells, spec, survey, weights)
         if validate.design_check(design, nest=True).where("NOT ok").limit(1).count():
             raise InvalidPanel("a stratum has fewer units in its population than in the sample, or several populations")
-    boot, se, interval = resampled(cells, options, lam, path, tau, weights, design, survey)
+    boot, se, interval, missed = resampled(cells, options, lam, path, tau, weights, design, survey)
     n1 = units(cells).where("treated").count()
-    return Fit(options, cells, path, lam, att, tau, infer.intervals(att, se, n1, options.level, options.ci, interval), boot, scores, weights, design, survey)
+    return Fit(options, cells, path, lam, att, tau, infer.intervals(att, se, n1, options.level, options.ci, interval), boot, scores, weights, design, survey, {"cells": lost, "replicates": missed})
 
 
 def survey_table(df: DataFrame, cells: DataFrame, spec: PanelSpec, survey: SurveyDesign, weights: DataFrame | None) -> DataFrame:
@@ -104,20 +202,20 @@ def survey_table(df: DataFrame, cells: DataFrame, spec: PanelSpec, survey: Surve
     return own.join(w, "u").select("u", "stratum", "psu", "w", "fpc")
 
 
-def resampled(cells, options, lam, path, tau, weights=None, design=None, survey=None) -> tuple[DataFrame | None, float | None, tuple[float, float] | None]:
-    """Replicates, their standard error and percentile interval."""
+def resampled(cells, options, lam, path, tau, weights=None, design=None, survey=None) -> tuple[DataFrame | None, float | None, tuple[float, float] | None, int]:
+    """Replicates, their standard error and percentile interval, and how many have no effect."""
     if not options.n_boot:
-        return None, None, None
+        return None, None, None, 0
     if design is not None:
         boot = resample.rao_wu_att(tau, resample.rao_wu(design, options.n_boot, options.seed, survey))
     elif path == "zero" and lam[1] == 0:
         boot = resample.boot_zero(cells, lam[0], resample.unit_draws(cells, options.n_boot, options.seed), weights)
     else:
         boot = boot_refit(cells, options, lam, weights)
-    boot = boot.persist()
-    se = resample.variance(boot, options.ddof).first()["se"]
+    boot = boot.where("att IS NOT NULL AND NOT isnan(att)").persist()
+    got = resample.variance(boot, options.ddof).first()
     r = resample.percentile_interval(boot, options.level).first()
-    return boot, se, (r["low"], r["high"]) if r["low"] is not None else None
+    return boot, got["se"], (r["low"], r["high"]) if r["low"] is not None else None, options.n_boot - got["n"]
 
 
 def effects(cells: DataFrame, options: FitOptions, lam: tuple[float, float, float], path: str) -> tuple[DataFrame, float]:
@@ -131,8 +229,7 @@ def effects(cells: DataFrame, options: FitOptions, lam: tuple[float, float, floa
         grid = spark.createDataFrame([(0, *map(float, lam))], "g_id int, lam_time double, lam_unit double, lam_norm double")
         tau = kernels.cell_fits(cells, kernels.tasks_for(targets, grid), tol=options.tol, maxiter=options.maxiter)
     elif path == "inf":
-        att = native.joint_inf(cells, lam[0], lam[1]).first()["att"]
-        return targets.select("u", "t", F.lit(att).alias("tau")), att
+        tau = native.joint_inf_tau(cells, lam[0], lam[1])
     else:
         fit = kernels.joint_fit(cells, *lam, options.tol, options.maxiter)
         rows = [(int(u), int(t), float(v)) for (t, u), v in _finite(fit["tau"])]
@@ -147,23 +244,50 @@ def _finite(m):
     return [(tuple(i), m[tuple(i)]) for i in np.argwhere(np.isfinite(m))]
 
 
-def search(cells: DataFrame, options: FitOptions, grid: str | tuple) -> tuple[dict, list[dict]]:
-    """Coordinate search by leave-one-out; every score that was asked for is returned."""
+def search(cells: DataFrame, options: FitOptions, grid: str | tuple, block: bool = False) -> tuple[dict, list[dict]]:
+    """Search by the method's own leave-one-out score; every score that was asked for is returned.
+
+    ``block``: the panel is complete with simultaneous adoption, so the joint scores at infinite norm have a closed form.
+    """
     preset = grid if isinstance(grid, tuple) else cv.GRIDS[cv.ALIASES.get(grid, grid)]
-    spark = cells.sparkSession
+    spark, joint = cells.sparkSession, options.method == "joint"
+    closed = "x" not in cells.columns
 
     def score(rows: list[tuple]) -> list[float]:
         frame = spark.createDataFrame([(g, *map(float, r)) for g, r in enumerate(rows)], "g_id int, lam_time double, lam_unit double, lam_norm double").persist()
-        zero = frame.where("lam_norm = 0").select("g_id", "lam_time", "lam_unit")
-        found: dict[int, float] = {}
-        if any(r[2] == 0 for r in rows):
-            found |= {r["g_id"]: r["q"] for r in cv.scores_zero(cells, zero).collect()}
-        if any(r[2] != 0 for r in rows):
-            got = kernels.cv_lowrank(cells, frame.where("lam_norm <> 0"), options.tol, options.maxiter).collect()
-            found |= {r["g_id"]: r["q"] if r["n_valid"] == r["n_attempted"] else math.inf for r in got}
-        return [found.get(g, math.inf) for g in range(len(rows))]
+        plain = (lambda n: block and closed and effective_penalty(n) >= LARGE_PENALTY) if joint else (lambda n: closed and n == 0)
+        easy = {g for g, r in enumerate(rows) if plain(r[2])}
+        found: list = []
+        if easy:
+            own = frame.where(F.col("g_id").isin(sorted(easy))).select("g_id", "lam_time", "lam_unit")
+            found += (cv.scores_joint if joint else cv.scores_zero)(cells, own).collect()
+        if len(easy) < len(rows):
+            rest = frame.where(~F.col("g_id").isin(sorted(easy))) if easy else frame
+            found += (kernels.cv_joint if joint else kernels.cv_lowrank)(cells, rest, options.tol, options.maxiter).collect()
+        frame.unpersist()
+        q = {r["g_id"]: r["q"] if r["n_valid"] == r["n_attempted"] and r["q"] is not None else math.inf for r in found}
+        return [q.get(g, math.inf) for g in range(len(rows))]
+
+    return (cv.exhaust if search_mode(options) == "exhaustive" else cv.cycle)(score, preset)
+
+
+def environment() -> dict:
+    """Versions that a fit depends on."""
+    import sys
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    import pyspark
+
+    return {"python": sys.version.split()[0], "pyspark": pyspark.__version__, "numpy": np.__version__, "pandas": pd.__version__, "pyarrow": pa.__version__}
+
 
-    return cv.cycle(score, preset)
+def expected_seconds(n_units: int, n_periods: int, n_fits: int, iterations: int = 30, operations: float = 5e7) -> float | None:
+    """A rough run time on one core for panels of 50,000 cells and more (None below): singular value decompositions prevail."""
+    if n_units * n_periods < 50_000:
+        return None
+    return n_fits * iterations * n_units * n_periods * min(n_units, n_periods) / operations
 
 
 def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, float], weights: DataFrame | None = None) -> DataFrame:
@@ -211,4 +335,4 @@ def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, f
             yield pd.DataFrame(out, columns=["b", "att"])
 
     parts = min(options.n_boot, spark.sparkContext.defaultParallelism * 4)
-    return lists.repartition(parts, F.xxhash64("b")).mapInPandas(run, "b int, att double").where("att IS NOT NULL")
+    return lists.repartition(parts, F.xxhash64("b")).mapInPandas(run, "b int, att double")

@@ -129,6 +129,9 @@ simple("weight_stats", lambda c: weights.stats(weights.joint_unit(c, LAM_UNIT),
 simple("did_block", native.did)
 simple("joint_inf", lambda c: native.joint_inf(c, LAM_TIME, LAM_UNIT))
 query("joint_inf_grid")(lambda s, d, c: native.joint_inf_grid(c, _grid(s).select("lam_time", "lam_unit")))
+simple("joint_tau", lambda c: native.joint_inf_tau(c, LAM_TIME, LAM_UNIT))
+query("joint_weighted_att")(lambda s, d, c: native.weighted_att(native.joint_inf_tau(c, LAM_TIME, LAM_UNIT), survey(s, d, c).select("u", "w")))
+query("joint_rao_wu_att")(lambda s, d, c: resample.rao_wu_att(native.joint_inf_tau(c, LAM_TIME, LAM_UNIT), resample.rao_wu(survey(s, d, c), 50)))
 simple("twostep_inf", lambda c: native.twostep_inf(c, LAM_TIME, LAM_UNIT))
 simple("twostep_zero", lambda c: zero_tau(c, LAM_UNIT))
 simple("twostep_zero_staggered", zero_tau, "staggered")
@@ -140,6 +143,8 @@ query("cv_zero_grid")(lambda s, d, c: cv.scores_zero(c, _grid(s)))
 query("cv_select")(lambda s, d, c: cv.best_row(cv.scores_zero(c, _grid(s))))
 query("cv_summary")(lambda s, d, c: cv.summary(cv.scores_zero(c, _grid(s))))
 query("cv_sensitivity")(lambda s, d, c: cv.sensitivity(cv.scores_zero(c, _grid(s))))
+query("cv_joint_grid")(lambda s, d, c: cv.scores_joint(c, _grid(s)))
+query("cv_joint_select")(lambda s, d, c: cv.best_row(cv.scores_joint(c, _grid(s))))
 query("cv_top")(lambda s, d, c: cv.top(cv.scores_zero(c, _grid(s)), 3))
 
 query("grid_default", None)(lambda s, d, c: cv.grid_frame(s, *cv.GRIDS["default"]))
@@ -185,6 +190,15 @@ def _tests(c: DataFrame) -> DataFrame:
 
 
 simple("mht", _tests, "staggered")
+simple("mht_cells", lambda c: diagnose.multiple(diagnose.cell_tests(zero_tau(c), 5.0), ["u", "t"]).drop("y"))
+
+
+def _joint_predicted(c: DataFrame) -> DataFrame:
+    """Counterfactuals of treated cells by the joint fit at infinite norm: the outcome less the cell's own effect."""
+    return native.joint_inf_tau(c, LAM_TIME, LAM_UNIT).select("u", "t", (F.col("y") - F.col("tau")).alias("y0"), F.col("tau").alias("te"))
+
+
+simple("predict_joint", _joint_predicted)
 
 
 # fits without a closed form: rows only
@@ -241,4 +255,4 @@ def _boot_joint(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame
     full = cells.groupBy().agg((F.count("*") == F.countDistinct("u") * F.countDistinct("t")).alias("full")).first()["full"]
     if not full:  # the joint method needs every treated cell
         return spark.createDataFrame([], "b int, att double")
-    return boot_refit(cells, FitOptions(method="joint"), (LAM_TIME, LAM_UNIT, 1e10))
+    return boot_refit(cells, FitOptions(method="joint"), (LAM_TIME, LAM_UNIT, 1e10)).where("att IS NOT NULL")

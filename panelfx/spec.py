@@ -87,12 +87,16 @@ class FitOptions:
     ddof: int = 1
     ci: str = "percentile"
     level: float = 95.0
+    #: How penalties are searched: ``cycling`` or ``exhaustive``; by default the first for twostep, the second for joint.
+    cv: str | None = None
 
     def __post_init__(self) -> None:
         method = {"local": "twostep", "global": "joint"}.get(self.method, self.method)
         object.__setattr__(self, "method", method)
         if method not in ("twostep", "joint"):
             raise InvalidSpec("method is twostep or joint")
+        if self.cv not in (None, "cycling", "exhaustive"):
+            raise InvalidSpec("cv is cycling or exhaustive")
         if self.tol <= 0 or self.maxiter <= 0:
             raise InvalidSpec("tol and maxiter must be positive")
         if self.n_boot < 0 or self.n_boot == 1:
@@ -105,6 +109,10 @@ class FitOptions:
                 raise InvalidSpec("penalties are not negative, and only the last may be infinite")
 
 
+def search_mode(options: FitOptions) -> str:
+    return options.cv or ("exhaustive" if options.method == "joint" else "cycling")
+
+
 def effective_penalty(ln: float) -> float:
     """An infinite (or missing) nuclear-norm penalty as the large number that kernels use."""
     return LARGE_PENALTY if ln is None or math.isinf(ln) or ln >= 1e99 else float(ln)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelfx.functions import dist
 from panelfx.operators import cv, diagnose, distance, infer, kernels, native, predict, resample, validate
 from panelfx.operators.index import index_cells, treated_cells
-from panelfx.plans.strategy import choose_path, estimate
+from panelfx.plans.strategy import choose_path, environment, estimate, expected_seconds, search
 from panelfx.spec import FitOptions, InvalidPanel, InvalidSpec, NoTreatedCell, PanelSpec, SurveyDesign, effective_penalty
 
 
@@ -275,3 +275,117 @@ def test_average_parameters(small):
     assert got[3] == pytest.approx(np.mean([r["alpha"][3] for r in rows]))
     assert {(r["u"], r["t"]): r["low"] for r in low.collect()}[2, 4] == pytest.approx(np.mean([r["low"][4 * y.shape[1] + 2] for r in rows]))
     assert beta.count() == y.shape[0]
+
+
+def test_joint_effects_by_cell(small, spark):
+    """At infinite norm the API gives each cell its own effect, as the kernel does, and weights them."""
+    y, d, cells = small
+    for lams in ((0.0, 0.0), (0.2, 0.7)):
+        want = kernels.joint_fit(cells, *lams, math.inf)["tau"]
+        for r in native.joint_inf_tau(cells, *lams).collect():
+            assert r["tau"] == pytest.approx(want[r["t"], r["u"]], abs=1e-9)
+    rows = [(int(i), int(s), float(y[s, i]), int(d[s, i]), 1.0 + 4 * (i == 0), int(i) // 4, int(i), 20.0) for s in range(y.shape[0]) for i in range(y.shape[1])]
+    df = spark.createDataFrame(rows, "unit int, time int, y double, d int, w double, stratum int, psu int, fpc double")
+    fit = estimate(df, PanelSpec(weight="w"), FitOptions(method="joint", lambdas=(0.2, 0.7, math.inf), n_boot=20), survey=SurveyDesign("stratum", "psu", "fpc"))
+    w = np.where(np.arange(y.shape[1]) == 0, 5.0, 1.0)
+    ok = np.isfinite(want)
+    assert fit.path == "inf" and fit.att == pytest.approx((want * w)[ok].sum() / np.broadcast_to(w, want.shape)[ok].sum())
+    assert fit.inference["se"] > 0 and fit.boot.select("att").distinct().count() > 1
+
+
+@pytest.mark.parametrize("lams", [(0.0, 0.0), (0.3, 0.5)])
+def test_joint_search_score_is_brute_force(spark, small, lams):
+    y, d, cells = small
+    grid = spark.createDataFrame([(0, *lams)], "g_id int, lam_time double, lam_unit double")
+    got = cv.scores_joint(cells, grid).first()
+    q = 0.0
+    for t, u in np.argwhere(d == 0):
+        delta = kernels.joint_weights(y, d, *lams)
+        delta[t, u] = 0.0
+        q += (y[t, u] - kernels.fit_joint(y, d, delta, 1e10)["fitted"][t, u]) ** 2
+    assert got["q"] == pytest.approx(q, rel=1e-8) and got["n_valid"] == got["n_attempted"] == (d == 0).sum()
+    full = grid.selectExpr("g_id", "lam_time", "lam_unit", "1e10 AS lam_norm")
+    assert kernels.cv_joint(cells, full).first()["q"] == pytest.approx(q, rel=1e-8)
+
+
+def test_joint_search_uses_the_joint_score(spark, small):
+    _, _, cells = small
+    grids = ([0.0, 0.5], [0.0, 0.4], [1.0, math.inf])
+    best, scores = search(cells, FitOptions(method="joint", maxiter=60), grids, True)
+    assert len(scores) == 8 and best["q"] == min(r["q"] for r in scores)
+    by = {(r["lam_time"], r["lam_unit"], r["lam_norm"]): r["q"] for r in scores}
+    some = spark.createDataFrame([(0, 0.5, 0.4, 1.0), (1, 0.0, 0.4, 1e10)], "g_id int, lam_time double, lam_unit double, lam_norm double")
+    got = {r["g_id"]: r["q"] for r in kernels.cv_joint(cells, some, maxiter=60).collect()}
+    assert by[0.5, 0.4, 1.0] == pytest.approx(got[0]) and by[0.0, 0.4, math.inf] == pytest.approx(got[1])
+    cycled, seen = search(cells, FitOptions(cv="cycling", maxiter=40), ([0.0, 0.5], [0.0], [0.0, math.inf]), True)
+    assert math.isfinite(cycled["q"]) and len(seen) <= 4
+    assert cv.stability(best, grids)["combinations"] == 8
+
+
+def test_panels_are_refused(spark):
+    y, d = block()
+    df = frame(spark, y, d)
+    for bad in (df.withColumn("d", F.col("d") * 0.9), df.withColumn("d", F.col("d") * 2), df.withColumn("d", F.when(F.col("d") == 1, 1.9).otherwise(0.0))):
+        with pytest.raises(InvalidPanel):
+            estimate(bad, options=FitOptions(lambdas=(0, 0, 0), n_boot=0))
+    x = df.withColumn("x", F.when(F.col("unit") > 0, F.rand(1)))
+    with pytest.raises(InvalidPanel):
+        estimate(x, PanelSpec(covariates=("x",)), FitOptions(lambdas=(0, 0, math.inf), n_boot=0))
+    y[:, 5] = np.nan
+    with pytest.raises(InvalidPanel):
+        estimate(frame(spark, y, d), options=FitOptions(lambdas=(0, 0, 0), n_boot=0))
+
+
+@pytest.mark.parametrize("method", ["twostep", "joint"])
+def test_fit_predicts_and_diagnoses(spark, method):
+    y, d = block(10, 12, 3, 8, 6, effect=1.0)
+    fit = estimate(frame(spark, y, d), options=FitOptions(method=method, lambdas=(0.1, 0.1, 2.0), n_boot=6, maxiter=80))
+    assert fit.path == "kernel" and fit.failures == {"cells": 0, "replicates": 0}
+    p = fit.parameters()
+    assert p.alpha.count() == 10 and p.beta.count() == 12 and p.low.count() == 120
+    rows = {(r["u"], r["t"]): r for r in fit.predictions().collect()}
+    tau = {(r["u"], r["t"]): r["tau"] for r in fit.tau.collect()}
+    for (u, t), v in tau.items():
+        assert rows[u, t]["y0"] == pytest.approx(y[t, u] - v, abs=1e-3)
+    assert fit.predict("te").where("te IS NOT NULL").count() == 12
+    for verb in ("summarize", "eventstudy", "placebo", "pretrend", "bootstrap", "unconverged", "mht", "weights", "distance"):
+        fit.diagnose(verb).collect()
+    assert fit.diagnose("factors")["nuclear"] >= 0 and fit.diagnose("loocv")["n_scores"] == 0
+    with pytest.raises(InvalidSpec):
+        fit.diagnose("nothing")
+
+
+def test_draws_of_large_strata_differ(spark):
+    """Slots beyond 1009 of one stratum aren't the first of the next, and draws are spread evenly."""
+    design = spark.range(3000).selectExpr("int(id) AS u", "id div 1500 AS stratum", "id AS psu", "1.0D AS w", "CAST(NULL AS DOUBLE) AS fpc")
+    got = [r["w"] for r in resample.rao_wu(design, 1).orderBy("u").collect()]
+    assert got[1009 - 1500 :] != got[: 1500 - 1009] and sum(got[:1500]) == pytest.approx(1500)
+    cells = spark.range(40).selectExpr("int(id % 20) AS u", "int(id div 20) AS t", "1.0D AS y", "0 AS d")
+    n = {r["u"]: r["n"] for r in resample.unit_draws(cells, 500).groupBy("u").agg(F.count("*").alias("n")).collect()}
+    assert sum((v - 500) ** 2 / 500 for v in n.values()) < 45  # chi-square, 19 degrees of freedom
+
+
+def test_distance_keeps_small_terms(spark):
+    """One huge period must not swallow the others when it is left out."""
+    y = np.array([[1e9, -1e9, 0.0], [1.0, 1.001, 5.0], [2.0, 2.002, 1.0], [3.0, 3.0, 0.0]])
+    cells = index_cells(frame(spark, y, np.zeros((4, 3), dtype=int)))
+    got = {r["j"]: r["dist"] for r in distance.distances_without(cells, cells.where("u = 0 AND t = 0")).collect()}
+    assert got[1] == pytest.approx(math.sqrt((0.001**2 + 0.002**2) / 3), rel=1e-6)
+
+
+def test_quartiles_of_ties(spark):
+    for values in ([1.0], [1.0, 2.0], [1, 2, 3, 4], [5.0] * 40, [1, 1, 2, 2, 2, 9, 9, 10], list(range(101))):
+        y = spark.createDataFrame([(float(v),) for v in values], "y double")
+        v, n = sorted(values), len(values)
+        for p in (0.25, 0.75):
+            want = (v[int(n * p) - 1] + v[int(n * p)]) / 2 if n * p == int(n * p) else v[math.ceil(n * p) - 1]
+            assert validate.quartile(y, p, "q").first()["q"] == want
+
+
+def test_shapiro_wilk_and_helpers():
+    r = np.random.default_rng(0)
+    assert diagnose.shapiro_wilk(r.normal(size=200))[1] > 0.01 and diagnose.shapiro_wilk(r.exponential(size=200))[1] < 1e-6
+    assert diagnose.shapiro_wilk([1.0] * 20) is None
+    p = [diagnose.shapiro_wilk(r.normal(size=50))[1] for _ in range(400)]
+    assert 0.01 < np.mean(np.array(p) < 0.05) < 0.1
+    assert environment()["pyspark"] and expected_seconds(10, 10, 5) is None and expected_seconds(1000, 100, 10) > 0
