@@ -251,7 +251,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     often = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_sim_id")).agg((F.count("*") > 1).alias("_sim_again"))
     named = reps.select("rep").where("rep IS NOT NULL").distinct()
     kind = often.join(named, F.col("_sim_id") == F.col("rep"), "left").where("_sim_again OR rep IS NOT NULL").select("_sim_id", "_sim_again")
-    kind = save(kind, "simhash-kind")
+    # joined alike at every size: a table with a row for nearly every document isn't one to broadcast
+    kind = save(kind, "simhash-kind").hint("merge")
     once = docs.join(kind.where("NOT _sim_again"), F.col(id_col) == F.col("_sim_id"), "left_semi")
     twice = docs.join(kind.where("_sim_again"), F.col(id_col) == F.col("_sim_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     named_fp = _with_fingerprint(twice, text_col, width, "_sim_fp")
