@@ -147,8 +147,9 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
     rows = findings.where("token IS NOT NULL AND label IS NOT NULL")
     rows = rows.orderBy(F.xxhash64("left", "token", "right"), "label").limit(MOST_FINDINGS)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    made = rows.select(F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in features(F.col("token"), empty("left"), empty("right")).items()])
+    made = rows.select(F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in features(F.col("token"), empty("left"), empty("right")).items()]).persist()
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=False).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(made))
+    made.unpersist()
     return [_parse(iter(t.toDebugString.splitlines()[1:])) for t in model.trees]
 
 
@@ -162,15 +163,15 @@ def _parse(lines) -> tuple | float:
     return FEATURES[int(m[1])], float(m[2]), low, _parse(lines)
 
 
-def forest_column(forest: list, described: Column) -> Column:
-    """The share of trees that vote for a secret, as a conditional expression on a struct of features."""
+def forest_sql(forest: list, described: str) -> str:
+    """The share of trees that vote for a secret, as a conditional SQL expression on a struct of features. Parsed at once: built node by node it takes longer than a small scan."""
 
-    def node(t) -> Column:
+    def node(t) -> str:
         if isinstance(t, float):
-            return F.lit(t)
-        return F.when(described[t[0]] <= t[1], node(t[2])).otherwise(node(t[3]))
+            return f"{t!r}D"
+        return f"CASE WHEN {described}.{t[0]} <= {t[1]!r}D THEN {node(t[2])} ELSE {node(t[3])} END"
 
-    return reduce(lambda a, b: a + b, [node(t) for t in forest]) / len(forest)
+    return f"({' + '.join(map(node, forest))}) / {len(forest)}D"
 
 
 def scan(docs: DataFrame, forest: list, text_col: str = "text", least_votes: float = 0.5, prefix: str = "secret_") -> DataFrame:
@@ -196,7 +197,7 @@ def scan(docs: DataFrame, forest: list, text_col: str = "text", least_votes: flo
 
     out = out.withColumn("_places", F.transform("_tokens", describe))
     out = out.withColumn("_described", F.transform("_places", lambda p: F.struct(*[c.cast("double").alias(k) for k, c in features(p["token"], p["left"], p["right"]).items()])))
-    out = out.withColumn("_votes", F.transform("_described", lambda d: forest_column(forest, d)))
+    out = out.withColumn("_votes", F.expr(f"transform(_described, d -> {forest_sql(forest, 'd')})"))
     # entries: each place (k 0) and the long parts of its token (k from 1, without votes of their own); those of one string form a run, most votes first
     entry = lambda t, v, i, k: F.struct(t.alias("t"), v.alias("v"), i.alias("i"), k.alias("k"))
     parts = lambda t: F.filter(F.split(t, "[^A-Za-z0-9]+"), lambda x: (F.length(x) >= LEAST_PART) & (x != t))
