@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language_id, mixing, packing, quality_fm, quality_rules, secret_scan, simhash, toxicity, url_filters
+from . import hnsw, language_id, line_dedup, mixing, packing, quality_fm, quality_rules, secret_scan, simhash, toxicity, url_filters, vector_codes, whitening
 from .common import id_remainder, table
 
 
@@ -98,6 +98,21 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = line_dedup.create(docs)
+    out = line_dedup.dedup_lines(docs, index, postings=index.postings)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -109,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_hnsw": op10_hnsw,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 _LINK = r"<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*\bhref\s*=\s*[\"'']?([^\"''\s>]+)"
@@ -152,5 +170,45 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS
 FROM embeddings LEFT JOIN least ON least.u = vec_id LEFT JOIN many ON many.u = vec_id
 """
 
+#: A line's key as white space stripped and A-Z lower-cased.
+LINE_SQL = """
+WITH
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+keyed AS (SELECT doc_id, place, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+held AS (SELECT k, count(DISTINCT doc_id) AS n, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k),
+judged AS (SELECT doc_id, place, line, coalesce(n >= 3 AND doc_id <> last, false) AS gone FROM keyed LEFT JOIN held USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Plain assignment of every part to every entry, round by round."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT p.k, p.r, min([list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.e]) AS m FROM p JOIN b{i} b USING (k) GROUP BY p.k, p.r)"
+        )
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT a.k, a.m[2] AS e, j, sum(p.v[j])::BIGINT AS s, count(*) AS n FROM a{i} a JOIN p USING (k, r), LATERAL (SELECT unnest(range(1, len(p.v) + 1)) AS j) GROUP BY ALL)")
+            steps.append(f"u{i} AS (SELECT k, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{i} GROUP BY k, e)")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(u.v, b.v) AS v FROM b{i} b LEFT JOIN u{i} u USING (k, e))")
+    return f"""
+WITH
+x AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT r, vec_id, label, k, x[k * len(x) // 4 + 1:(k + 1) * len(x) // 4] AS v FROM x, range(4) t(k)),
+b0 AS MATERIALIZED (SELECT k, r AS e, v FROM p WHERE r < 256),
+{", ".join(steps)},
+e AS (SELECT p.vec_id, p.label, string_agg(printf('%02x', m[2]), '' ORDER BY k) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} JOIN p USING (k, r) GROUP BY p.r, p.vec_id, p.label),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM e, h
+"""
+
+
+CODES_SQL = _codes_sql()
+
 #: The others learn a model, hash or tokenize: tests hold them against brute force or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": URL_SQL, "op10_hnsw": EMBEDDING_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": URL_SQL, "op10_hnsw": EMBEDDING_SQL, "op11_vector_codes": CODES_SQL, "op12_line_dedup": LINE_SQL}
