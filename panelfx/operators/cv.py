@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..spec import SearchFailed
-from .distance import pair_stats
+from .distance import neighbour_sums
 from .index import units, valid
 from .weights import joint_unit, shape
 
@@ -39,7 +39,7 @@ def scores_zero(cells: DataFrame, grid: DataFrame) -> DataFrame:
     """Leave-one-out score at norm penalty 0 of every grid row: ``(g_id, lam_time, lam_unit, q, n_valid, n_attempted)``.
 
     Every control cell is left out of its own fit; all cells and grid rows are one plan. Fits start
-    afresh, so the result doesn't depend on an order. Distances are shared by all rows of the grid.
+    afresh, so the result doesn't depend on an order. Distances are shared by all rows of the grid, whose combinations are read here.
     """
     c = valid(cells)
     times = grid.select("lam_time").distinct()
@@ -56,16 +56,16 @@ def scores_zero(cells: DataFrame, grid: DataFrame) -> DataFrame:
     per = at.groupBy("lam_time", "t").agg(F.count("*").cast("double").alias("n"), F.sum("r").alias("sr"))
     alike = at.withColumnRenamed("j", "u").join(per, ["lam_time", "t"]).withColumn("sw", F.col("n") - 1).withColumn("swr", F.col("sr") - F.col("r"))
     alike = alike.join(F.broadcast(g.where("lam_unit = 0")), F.col("lam_time") == F.col("g_time")).select(*keep)
-    a, b = at.alias("a"), at.alias("b")
-    pairs = pair_stats(cells).alias("p")
-    j = a.join(b, (F.col("a.lam_time") == F.col("b.lam_time")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.j") != F.col("b.j")))
-    j = j.join(pairs, (F.col("p.i") == F.col("a.j")) & (F.col("p.j") == F.col("b.j")), "left")
-    n = F.col("p.n") - 1
-    dist = F.when(n > 0, F.sqrt(F.greatest(F.col("p.sum_sq") - (F.col("a.y") - F.col("b.y")) ** 2, F.lit(0.0)) / n))
-    j = j.select(F.col("a.lam_time").alias("lam_time"), F.col("a.j").alias("u"), F.col("a.t").alias("t"), F.col("a.y").alias("y"), F.col("a.alpha").alias("alpha"), F.col("b.r").alias("r"), dist.alias("dist"))
-    j = j.join(F.broadcast(g.where("lam_unit <> 0")), F.col("lam_time") == F.col("g_time"))
-    w = F.when(F.col("dist").isNull(), 0.0).otherwise(F.exp(-F.col("lam_unit") * F.col("dist")))
-    cell = j.groupBy("g_id", "lam_time", "lam_unit", "u", "t", "y", "alpha").agg(F.sum(w).alias("sw"), F.sum(w * F.col("r")).alias("swr")).select(*keep).unionByName(alike)
+    # the others by tiles of units: no join has a period alone as its key
+    rows = grid.where("lam_unit <> 0").select("lam_time", "lam_unit").distinct().collect()  # no more than the grid
+    cell = alike
+    if rows:
+        order = sorted({r["lam_time"] for r in rows})
+        wide = at.withColumnRenamed("j", "u").groupBy("u", "t").agg(F.first("y").alias("y"), *[F.max(F.when(F.col("lam_time") == lt, F.col("r"))).alias(f"r{k}") for k, lt in enumerate(order)])
+        size = cells.agg((F.max("u") + 1).alias("n"), (F.max("t") + 1).alias("t")).first()
+        sums = neighbour_sums(wide, size["n"] or 0, size["t"] or 0, order, [(r["lam_time"], r["lam_unit"]) for r in rows])
+        weighted = at.withColumnRenamed("j", "u").select("lam_time", "u", "t", "y", "alpha").join(F.broadcast(g.where("lam_unit <> 0")), F.col("lam_time") == F.col("g_time"))
+        cell = weighted.join(sums, ["lam_time", "lam_unit", "u", "t"], "left").select(*keep).unionByName(alike)
     tau = F.col("y") - F.col("alpha") - F.when(F.col("sw") > 0, F.col("swr") / F.col("sw")).otherwise(0.0)
     return _score(cell.withColumn("tau", tau))
 
@@ -156,11 +156,61 @@ def top(scores: DataFrame, k: int = 5) -> DataFrame:
     return scores.orderBy("q", "g_id").limit(k)
 
 
-def exhaust(score, grids: tuple[list[float], list[float], list[float]]) -> tuple[dict, list[dict]]:
-    """Every combination, in one call of ``score``."""
+#: Shares of the control cells (of 64) that a bounded search looks at in turn.
+WAVES = (1, 3, 4, 8, 16, 32)
+
+
+def bounded(ids: list[int], wave, bound: float = INF) -> tuple[dict[int, float], dict[int, float], int]:
+    """Exact scores of the combinations that may be best, lower bounds of those that can't, and how many fits that took.
+
+    ``wave(ids, first, last)`` gives (sum of squares, fits that succeeded, fits tried) for the control cells in those buckets. Once
+    some are in, the combination that promises the least is scored in full, and its score bounds the others: sums only grow, so a
+    combination goes as soon as its sum passes the bound. A combination with a failed fit has no finite score.
+    """
+    alive, exact, below, fits = {g: 0.0 for g in ids}, {}, {}, 0
+
+    def look(some: list[int], lo: int, hi: int) -> None:
+        nonlocal fits
+        if not some or lo >= hi:
+            return
+        for g, (q, ok, tried) in wave(some, lo, hi).items():
+            fits += tried
+            if ok < tried or q is None and tried:
+                alive.pop(g)
+                exact[g] = INF
+            else:
+                alive[g] += q or 0.0
+
+    at = 0
+    for k, size in enumerate(WAVES):
+        look(sorted(alive), at, at + size)
+        at += size
+        first = min(alive, key=lambda g: (alive[g], g), default=None)
+        if k and first is not None and alive[first] * sum(WAVES) / at < bound:
+            look([first], at, sum(WAVES))
+            if first in alive:
+                exact[first] = alive.pop(first)
+                bound = min(bound, exact[first])
+        for g in [g for g, q in alive.items() if q > bound + TIE]:
+            below[g] = alive.pop(g)
+    return exact | alive, below, fits
+
+
+def _scored(row: tuple, q: float, low: float | None) -> dict:
+    """A score, or (infinite) one that is known to exceed the best by the part of it that was summed."""
+    r = {"lam_time": row[0], "lam_unit": row[1], "lam_norm": row[2], "q": q}
+    return r if low is None else r | {"at_least": low}
+
+
+def _pairs_of(score, bounding: bool):
+    return score if bounding else lambda rows, _: [(q, None) for q in score(rows)]
+
+
+def exhaust(score, grids: tuple[list[float], list[float], list[float]], bounding: bool = False) -> tuple[dict, list[dict]]:
+    """Every combination, in one call of ``score(rows)``, or of ``score(rows, bound)`` if ``bounding``: that gives pairs of a score and, where it gave up, a lower bound."""
     rows = [tuple(map(float, c)) for c in product(*grids)]
-    found = [{"g_id": g, "lam_time": r[0], "lam_unit": r[1], "lam_norm": r[2], "q": q} for g, (r, q) in enumerate(zip(rows, score(rows), strict=True))]
-    return select(found), [{k: v for k, v in f.items() if k != "g_id"} for f in found]
+    found = [_scored(r, *q) for r, q in zip(rows, _pairs_of(score, bounding)(rows, INF), strict=True)]
+    return {k: v for k, v in select([f | {"g_id": g} for g, f in enumerate(found)]).items() if k != "at_least"}, found
 
 
 def stability(best: dict, grids: tuple[list[float], list[float], list[float]]) -> dict:
@@ -170,20 +220,28 @@ def stability(best: dict, grids: tuple[list[float], list[float], list[float]]) -
     return {"on_edge": [k for k, v in edge.items() if v], "combinations": n, "exhaustive_is_cheap": n <= 125}
 
 
-def cycle(score, grids: tuple[list[float], list[float], list[float]], rounds: int = 10, tol: float = 1e-6) -> tuple[dict, list[dict]]:
-    """Coordinate search. ``score(rows)`` gives q for rows (lam_time, lam_unit, lam_norm); each is asked for once.
+def cycle(score, grids: tuple[list[float], list[float], list[float]], rounds: int = 10, tol: float = 1e-6, bounding: bool = False) -> tuple[dict, list[dict]]:
+    """Coordinate search. ``score`` as for ``exhaust``, for rows (lam_time, lam_unit, lam_norm); each is scored once.
 
     Seeds are one-dimensional: time at (unit 0, norm infinite), norm at (0, 0), unit at (time 0, norm
-    infinite); then unit, time and norm in turn until q settles. All scores evaluated are returned.
+    infinite); then unit, time and norm in turn until q settles. What is known bounds what is asked; a row that was given up
+    against one bound is asked again where it competes anew. All rows evaluated are returned.
     """
     times, units_, norms = grids
+    score = _pairs_of(score, bounding)
     known: dict[tuple, float] = {}
+    given_up: dict[tuple, float] = {}
 
     def ask(rows: list[tuple]) -> list[dict]:
-        new = [r for r in dict.fromkeys(rows) if r not in known]
-        if new:
-            known.update(zip(new, score(new), strict=True))
-        return [{"g_id": g, "lam_time": r[0], "lam_unit": r[1], "lam_norm": r[2], "q": known[r]} for g, r in enumerate(rows)]
+        bound = min((known[r] for r in rows if r in known), default=INF)
+        new = [r for r in dict.fromkeys(rows) if r not in known and given_up.get(r, -INF) <= bound + TIE]
+        for r, (q, low) in zip(new, score(new, bound) if new else [], strict=True):
+            if low is None:
+                known[r] = q
+                given_up.pop(r, None)
+            else:
+                given_up[r] = low
+        return [{"g_id": g, "lam_time": r[0], "lam_unit": r[1], "lam_norm": r[2], "q": known.get(r, INF)} for g, r in enumerate(rows)]
 
     at = {
         "lam_time": select(ask([(t, 0.0, INF) for t in times]))["lam_time"],
@@ -200,4 +258,4 @@ def cycle(score, grids: tuple[list[float], list[float], list[float]], rounds: in
         if abs(last - best["q"]) < tol:
             break
         last = best["q"]
-    return best, [{"lam_time": r[0], "lam_unit": r[1], "lam_norm": r[2], "q": q} for r, q in known.items()]
+    return best, [_scored(r, q, None) for r, q in known.items()] + [_scored(r, INF, low) for r, low in given_up.items()]

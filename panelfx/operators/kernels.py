@@ -8,16 +8,21 @@ DataFrame, dealt at random over partitions so that costly penalties don't meet i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.threads import one_thread
+from ..functions.vectors import tree_sum
 from ..shipping import ship
 from ..spec import LARGE_PENALTY, InvalidPanel, effective_penalty
+from . import factored
 
-INNER, INNER_SMALL, SMALL = 10, 50, 0.1
 #: A panel that is broadcast has at most this many cells.
 MOST_CELLS = 4_000_000
 
@@ -36,34 +41,19 @@ def shrink(m: np.ndarray, lam: float) -> np.ndarray:
     return (u[:, keep] * (s[keep] - lam)) @ vt[keep]
 
 
-def _accelerated(low: np.ndarray, goal: np.ndarray, w: np.ndarray, lam: float, cap: int, tol: float) -> np.ndarray:
-    """Proximal gradient with momentum (restarted where it points uphill) for w (goal - L)^2 + lam |L|_*."""
-    top = w.max()
-    if top <= 0:
-        return low
-    share, x, y, k = w / top, low, low, 1.0
-    for _ in range(cap):
-        new = shrink(y + share * (goal - y), lam / (2 * top))
-        k2 = (1 + np.sqrt(1 + 4 * k * k)) / 2
-        if np.sum((y - new) * (new - x)) > 0:
-            k2, y = 1.0, new
-        else:
-            y = new + (k - 1) / k2 * (new - x)
-        moved = np.abs(new - x).max()
-        x, k = new, k2
-        if moved < tol:
-            break
-    return x
-
-
 def fit_cell(y: np.ndarray, w: np.ndarray, lam: float, x: np.ndarray | None = None, tol: float = 1e-6, maxiter: int = 500) -> dict:
     """Weighted two-way effects and a low-rank part on periods x units; ``w`` is 0 where a cell isn't used.
 
-    Alternates unit means, period means, covariates and the low-rank part from a cold start.
+    From a cold start: in factors at interior penalties; at 0 and infinity unit means, period means and covariates alternate.
     """
     ok = (w > 0) & np.isfinite(y)
     w, y0 = np.where(ok, w, 0.0), np.where(ok, y, 0.0)
     t, n = y.shape
+    if 0 < lam < LARGE_PENALTY:
+        panel = factored.Panel(y0, w, None if x is None else np.nan_to_num(x))
+        got = factored.solve(panel, lam, tol, maxiter)
+        alpha, low = panel.parts(got.state, lam)
+        return {"alpha": alpha, "beta": got.state.beta, "low": low, "gamma": got.state.gamma, "iters": got.passes, "converged": int(got.converged)}
     alpha, beta, low = np.zeros(n), np.zeros(t), np.zeros((t, n))
     gamma = np.zeros(0 if x is None else x.shape[2])
     xs = None if x is None else np.nan_to_num(x)
@@ -79,12 +69,7 @@ def fit_cell(y: np.ndarray, w: np.ndarray, lam: float, x: np.ndarray | None = No
             a = np.einsum("tnp,tn,tnq->pq", xs, w, xs)
             gamma = np.linalg.lstsq(a, np.einsum("tnp,tn->p", xs, w * (rest - low)), rcond=1e-10)[0]
             xg = xs @ gamma
-        if lam >= LARGE_PENALTY:
-            low = np.zeros((t, n))
-        elif lam == 0:
-            low = np.where(ok, rest - xg, low)
-        else:
-            low = _accelerated(low, rest - xg, w, lam, INNER_SMALL if lam < SMALL else INNER, tol)
+        low = np.where(ok, rest - xg, low) if lam == 0 else np.zeros((t, n))
         moved = max((np.abs(a - b).max(initial=0) for a, b in zip((alpha, beta, low, gamma), old, strict=True)), default=0)
         if not np.isfinite(moved):
             raise FloatingPointError("fit diverged")
@@ -94,7 +79,46 @@ def fit_cell(y: np.ndarray, w: np.ndarray, lam: float, x: np.ndarray | None = No
     return {"alpha": alpha, "beta": beta, "low": low, "gamma": gamma, "iters": it, "converged": converged}
 
 
-def fit_joint(y: np.ndarray, d: np.ndarray, delta: np.ndarray, lam: float, x: np.ndarray | None = None, tol: float = 1e-6, maxiter: int = 500) -> dict:
+@dataclass
+class Effects:
+    """Weighted unit and period effects and covariates of a panel without a low-rank part; ``inverse`` is that of the normal equations."""
+
+    w: np.ndarray
+    x: np.ndarray
+    inverse: np.ndarray
+    eigen: np.ndarray
+
+    @classmethod
+    def of(cls, w: np.ndarray, x: np.ndarray) -> Effects:
+        (t, n), p = w.shape, x.shape[2]
+        m = np.zeros((n + t + p, n + t + p))
+        m[:n, :n], m[n : n + t, n : n + t] = np.diag(w.sum(axis=0)), np.diag(w.sum(axis=1))
+        m[n : n + t, :n], m[:n, n : n + t] = w, w.T
+        if p:
+            m[:n, n + t :], m[n : n + t, n + t :] = np.einsum("tn,tnp->np", w, x), np.einsum("tn,tnp->tp", w, x)
+            m[n + t :, : n + t] = m[: n + t, n + t :].T
+            m[n + t :, n + t :] = np.einsum("tnp,tn,tnq->pq", x, w, x)
+        scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+        eigen, v = np.linalg.eigh(m / np.outer(scale, scale))
+        real = eigen > 1e-11 * eigen[-1]
+        v = v[:, real] / scale[:, None]
+        return cls(w, x, (v / eigen[real]) @ v.T, eigen[real])
+
+    def solve(self, goal: np.ndarray) -> np.ndarray:
+        rest = self.w * goal
+        return self.inverse @ np.concatenate((rest.sum(axis=0), rest.sum(axis=1), np.einsum("tn,tnp->p", rest, self.x)))
+
+    def fitted(self, b: np.ndarray) -> np.ndarray:
+        t, n = self.w.shape
+        return b[:n] + b[n : n + t, None] + self.x @ b[n + t :]
+
+    def towards(self, u: int, t: int) -> np.ndarray:
+        """The inverse times the design row of a cell."""
+        n = self.w.shape[1]
+        return self.inverse[:, u] + self.inverse[:, n + t] + self.inverse[:, n + self.w.shape[0] :] @ self.x[t, u]
+
+
+def fit_joint(y: np.ndarray, d: np.ndarray, delta: np.ndarray, lam: float, x: np.ndarray | None = None, tol: float = 1e-6, maxiter: int = 500, condition: bool = True) -> dict:
     """One weighted fit of intercept, unit and period effects, covariates and a low-rank part; the effect is the mean residual of treated cells."""
     t, n = y.shape
     ok = (delta > 0) & np.isfinite(y) & (d == 0)
@@ -102,45 +126,25 @@ def fit_joint(y: np.ndarray, d: np.ndarray, delta: np.ndarray, lam: float, x: np
     if w.sum() < 1e-10:
         raise InvalidPanel("no control cell has weight")
     xs = np.zeros((t, n, 0)) if x is None else np.nan_to_num(x)
-    p = xs.shape[2]
-    # normal equations of unit effects, period effects and covariates: as many rows as there are of these
-    m = np.zeros((n + t + p, n + t + p))
-    m[:n, :n], m[n : n + t, n : n + t] = np.diag(w.sum(axis=0)), np.diag(w.sum(axis=1))
-    m[n : n + t, :n], m[:n, n : n + t] = w, w.T
-    if p:
-        m[:n, n + t :], m[n : n + t, n + t :] = np.einsum("tn,tnp->np", w, xs), np.einsum("tn,tnp->tp", w, xs)
-        m[n + t :, : n + t] = m[: n + t, n + t :].T
-        m[n + t :, n + t :] = np.einsum("tnp,tn,tnq->pq", xs, w, xs)
-    scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
-    eigen = np.linalg.eigvalsh(m / np.outer(scale, scale))
-    pinv = np.linalg.pinv(m / np.outer(scale, scale), rcond=1e-11, hermitian=True) / np.outer(scale, scale)
-    low, flat = np.zeros((t, n)), np.where(ok, y, 0.0)
-
-    def solve(low: np.ndarray) -> np.ndarray:
-        rest = w * (flat - low)
-        return pinv @ np.concatenate((rest.sum(axis=0), rest.sum(axis=1), np.einsum("tn,tnp->p", rest, xs)))
-
-    def fit(b: np.ndarray) -> np.ndarray:
-        return b[:n] + b[n : n + t, None] + xs @ b[n + t :]
-
-    b = solve(low)
-    converged, it = 1, 1
-    if lam < LARGE_PENALTY:
-        converged = 0
-        for it in range(1, maxiter + 1):
-            old = b, low
-            rest = flat - fit(b)
-            low = np.where(ok, rest, low) if lam == 0 else _accelerated(low, rest, w, lam, 100 if lam < SMALL else 20, tol)
-            b = solve(low)
-            if max(np.abs(fit(b) - fit(old[0])).max(), np.abs(b[n + t :] - old[0][n + t :]).max(initial=0), np.abs(low - old[1]).max()) < tol:
-                converged = 1
-                break
-    fitted = fit(b) + low
+    flat = np.where(ok, y, 0.0)
+    inner = 0 < lam < LARGE_PENALTY
+    effects = Effects.of(w, xs) if condition or not inner else None
+    low, converged, it = np.zeros((t, n)), 1, 1
+    if inner:
+        panel = factored.Panel(flat, w, xs)
+        got = factored.solve(panel, lam, tol, maxiter)
+        alpha, low = panel.parts(got.state, lam)
+        b, converged, it = np.concatenate((alpha, got.state.beta, got.state.gamma)), int(got.converged), got.passes
+    else:
+        b = effects.solve(flat)
+    fitted = b[:n] + b[n : n + t, None] + xs @ b[n + t :]
+    if lam == 0:  # takes up all that is left of the fitted cells, and nothing elsewhere
+        low = np.where(ok, flat - fitted, 0.0)
+    fitted = fitted + low
     tau = np.where((d == 1) & np.isfinite(y), y - fitted, np.nan)
-    kept = eigen[eigen > 1e-11 * eigen[-1]]
     return {
         "mu": b[0] + b[n], "alpha": b[:n] - b[0], "beta": b[n : n + t] - b[n], "gamma": b[n + t :], "low": low, "tau": tau, "fitted": fitted,
-        "att": float(np.nanmean(tau)) if np.isfinite(tau).any() else np.nan, "iters": it, "converged": converged, "condition": float(np.sqrt(kept[-1] / kept[0])),
+        "att": float(np.nanmean(tau)) if np.isfinite(tau).any() else np.nan, "iters": it, "converged": converged, "condition": None if effects is None else float(np.sqrt(effects.eigen[-1] / effects.eigen[0])),
     }
 
 
@@ -179,7 +183,12 @@ def cell_weights(y: np.ndarray, d: np.ndarray, u: int, t: int, lam_time: float,
     return w
 
 
-def cell_fits(cells: DataFrame, tasks: DataFrame, with_parameters: bool = False, tol: float = 1e-6, maxiter: int = 500) -> DataFrame:
+def share(cells: DataFrame) -> Broadcast:
+    """The dense panel for all tasks. Whoever asks for it destroys it when its last result is there."""
+    return cells.sparkSession.sparkContext.broadcast(dense(cells))
+
+
+def cell_fits(cells: DataFrame, tasks: DataFrame, with_parameters: bool = False, tol: float = 1e-6, maxiter: int = 500, panel: Broadcast | None = None) -> DataFrame:
     """Two-step fits for ``tasks(task_id, u, t, lam_time, lam_unit, lam_norm)``.
 
     Returns ``(task_id, u, t, tau, iters, converged)``, with_parameters also alpha, beta and low (flat,
@@ -187,10 +196,11 @@ def cell_fits(cells: DataFrame, tasks: DataFrame, with_parameters: bool = False,
     """
     spark = cells.sparkSession
     ship(spark)
-    panel = spark.sparkContext.broadcast(dense(cells))
+    panel = panel or share(cells)
     extra = ", alpha array<double>, beta array<double>, low array<double>, gamma array<double>" if with_parameters else ""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         y, d, x = panel.value
         for f in frames:
             out = []
@@ -217,15 +227,30 @@ def cell_fits(cells: DataFrame, tasks: DataFrame, with_parameters: bool = False,
 
 
 def averages(fits: DataFrame, n_units: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Means over the fits that succeeded: ``(u, alpha)``, ``(t, beta)``, ``(u, t, low)``."""
-    ok = fits.where("converged >= 0")
+    """Means over the fits that succeeded: ``(u, alpha)``, ``(t, beta)``, ``(u, t, low)``.
 
-    def mean(column: str) -> DataFrame:
-        return ok.select(F.posexplode(column).alias("at", "v")).groupBy("at").agg(F.avg("v").alias("v"))
-
-    place = F.col("at")
-    low = mean("low").select((place % n_units).cast("int").alias("u"), F.floor(place / n_units).cast("int").alias("t"), F.col("v").alias("low"))
-    return mean("alpha").select(place.alias("u"), F.col("v").alias("alpha")), mean("beta").select(place.alias("t"), F.col("v").alias("beta")), low
+    Each task adds its fits' vectors to one; the tasks' vectors are added in a tree.
+    """
+    spark = fits.sparkSession
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for row in zip(*(b.column(k) for k in range(3)), strict=True):
+                v = np.concatenate([[1.0], *(c.values.to_numpy() for c in row)])
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], type=pa.int32()), pa.array([total], type=pa.list_(pa.float64()))], names=["part", "v"])
+
+    total = tree_sum(fits.where("converged >= 0").select("alpha", "beta", "low").mapInArrow(add, "part int, v array<double>"))
+    n = n_units if total is not None else 0
+    t = 0 if total is None else (len(total) - 1 - n) // (n + 1)
+    mean = np.zeros(0) if total is None else total[1:] / total[0]
+    frame = lambda cols, kinds: spark.createDataFrame(pd.DataFrame(cols), kinds)
+    alpha = frame({"u": np.arange(n, dtype=np.int32), "alpha": mean[:n]}, "u int, alpha double")
+    beta = frame({"t": np.arange(t, dtype=np.int32), "beta": mean[n : n + t]}, "t int, beta double")
+    ts, us = np.indices((t, n)).reshape(2, -1).astype(np.int32)
+    return alpha, beta, frame({"u": us, "t": ts, "low": mean[n + t :]}, "u int, t int, low double")
 
 
 def tasks_for(targets: DataFrame, grid: DataFrame) -> DataFrame:
@@ -234,12 +259,23 @@ def tasks_for(targets: DataFrame, grid: DataFrame) -> DataFrame:
     return t.withColumn("task_id", F.monotonically_increasing_id())
 
 
-def cv_lowrank(cells: DataFrame, grid: DataFrame, tol: float = 1e-6, maxiter: int = 500) -> DataFrame:
+#: Control cells fall into so many buckets by hash, so that a search may look at some of them first.
+BUCKETS = 64
+
+
+def controls(cells: DataFrame, buckets: tuple[int, int] | None = None) -> DataFrame:
+    """``(u, t)`` of the cells that are left out in turn, or of those in buckets from the first number up to the second."""
+    c = cells.where("d = 0 AND y IS NOT NULL").select("u", "t")
+    at: Column = F.pmod(F.xxhash64("u", "t"), F.lit(BUCKETS))
+    return c if buckets is None else c.where((at >= buckets[0]) & (at < buckets[1]))
+
+
+def cv_lowrank(cells: DataFrame, grid: DataFrame, tol: float = 1e-6, maxiter: int = 500, panel: Broadcast | None = None, buckets: tuple[int, int] | None = None) -> DataFrame:
     """Leave-one-out scores of interior penalties: ``(g_id, lam_time, lam_unit, lam_norm, q, n_valid, n_attempted)``."""
-    control = cells.where("d = 0 AND y IS NOT NULL")
+    control = controls(cells, buckets)
     keyed = control.select("u", "t").crossJoin(F.broadcast(grid))
     keyed = keyed.withColumn("task_id", F.xxhash64("u", "t", "g_id"))
-    fits = cell_fits(cells, keyed, tol=tol, maxiter=maxiter).select("task_id", "tau")
+    fits = cell_fits(cells, keyed, tol=tol, maxiter=maxiter, panel=panel).select("task_id", "tau")
     return keyed.join(fits, "task_id").groupBy("g_id", "lam_time", "lam_unit", "lam_norm").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"))
 
 
@@ -260,39 +296,81 @@ def joint_weights(y: np.ndarray, d: np.ndarray, lam_time: float, lam_unit: float
     return np.outer(time, unit) * (np.nan_to_num(1 - d))
 
 
-def cv_joint(cells: DataFrame, grid: DataFrame, tol: float = 1e-6, maxiter: int = 500) -> DataFrame:
+class HeldOut:
+    """Leave-one-out residuals of the joint fit for one combination of penalties.
+
+    The normal equations are inverted once, and a cell is taken out by a rank-one change. Where its
+    weighted residuals then have a spectral norm of at most half the penalty, the low-rank part is zero and the residual is e / (1 - h). Else the panel
+    without the cell is fitted from where the whole panel's fit ended, until it is certified itself.
+    """
+
+    def __init__(self, y: np.ndarray, d: np.ndarray, x: np.ndarray | None, lam_time: float, lam_unit: float, lam: float, tol: float, maxiter: int) -> None:
+        ok = np.isfinite(y) & (d == 0)
+        self.w = np.where(ok, joint_weights(y, d, lam_time, lam_unit), 0.0)
+        self.y, self.lam, self.tol, self.maxiter = np.where(ok, y, 0.0), lam, tol, maxiter
+        self.x = np.zeros((*y.shape, 0)) if x is None else np.nan_to_num(x)
+        self.effects = Effects.of(self.w, self.x)
+        self.rest = self.y - self.effects.fitted(self.effects.solve(self.y))
+        self.whole: factored.State | None = None
+        self.fits = 0
+
+    def residual(self, u: int, t: int) -> float | None:
+        w, lam = self.w, self.lam
+        if w.sum() - w[t, u] < 1e-10:
+            return None
+        q = self.effects.towards(u, t)
+        moved = self.effects.fitted(q)
+        left = 1 - w[t, u] * moved[t, u]
+        plain = self.rest[t, u] / left if left > 1e-10 else None
+        if lam == 0 or lam >= LARGE_PENALTY:
+            return plain
+        without = w.copy()
+        without[t, u] = 0.0
+        if plain is not None:
+            rest = without * (self.rest + w[t, u] * plain * moved)
+            if np.linalg.norm(rest) <= lam / 2 or np.linalg.norm(rest, 2) <= lam / 2:
+                return float(plain)
+        if self.whole is None:
+            self.whole = factored.solve(factored.Panel(self.y, w, self.x), lam, self.tol, self.maxiter).state
+        self.fits += 1
+        panel = factored.Panel(self.y, without, self.x)
+        got = factored.solve(panel, lam, self.tol, self.maxiter, self.whole)
+        alpha, low = panel.parts(got.state, lam)
+        return float(self.y[t, u] - alpha[u] - got.state.beta[t] - low[t, u] - self.x[t, u] @ got.state.gamma)
+
+
+def cv_joint(cells: DataFrame, grid: DataFrame, tol: float = 1e-6, maxiter: int = 500, panel: Broadcast | None = None, buckets: tuple[int, int] | None = None) -> DataFrame:
     """Joint leave-one-out scores: each control cell in turn has weight 0 and the panel is fitted anew; columns as ``cv_lowrank``."""
     spark = cells.sparkSession
     ship(spark)
-    panel = spark.sparkContext.broadcast(dense(cells))
+    panel = panel or share(cells)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         y, d, x = panel.value
-        made: dict[tuple[float, float], np.ndarray] = {}
+        held: HeldOut | None = None
+        key = None
         for f in frames:
             out = []
             for r in f.itertuples():
                 tau = None
                 try:
-                    pair = (r.lam_time, r.lam_unit)
-                    if pair not in made:
-                        made[pair] = joint_weights(y, d, *pair)
-                    delta = made[pair].copy()
-                    delta[r.t, r.u] = 0.0
-                    got = fit_joint(y, d, delta, effective_penalty(r.lam_norm), x, tol, maxiter)
-                    tau = float(y[r.t, r.u] - got["fitted"][r.t, r.u])
+                    if key != r.g_id:  # rows are sorted by combination
+                        key, held = r.g_id, None
+                        held = HeldOut(y, d, x, r.lam_time, r.lam_unit, effective_penalty(r.lam_norm), tol, maxiter)
+                    tau = held.residual(r.u, r.t) if held is not None else None
                 except (ArithmeticError, np.linalg.LinAlgError, InvalidPanel):
                     pass
                 out.append((r.g_id, r.lam_time, r.lam_unit, r.lam_norm, tau))
             yield pd.DataFrame(out, columns=["g_id", "lam_time", "lam_unit", "lam_norm", "tau"])
 
-    keyed = cells.where("d = 0 AND y IS NOT NULL").select("u", "t").crossJoin(F.broadcast(grid))
-    dealt = keyed.repartition(spark.sparkContext.defaultParallelism * 4, F.xxhash64("u", "t", "g_id"))
+    keyed = controls(cells, buckets).crossJoin(F.broadcast(grid))
+    dealt = keyed.repartition(spark.sparkContext.defaultParallelism * 4, F.xxhash64("u", "t", "g_id")).sortWithinPartitions("g_id")
     fits = dealt.mapInPandas(run, "g_id int, lam_time double, lam_unit double, lam_norm double, tau double")
     return fits.groupBy("g_id", "lam_time", "lam_unit", "lam_norm").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"))
 
 
 def joint_fit(cells: DataFrame, lam_time: float, lam_unit: float, lam_norm: float, tol: float = 1e-6, maxiter: int = 500) -> dict:
-    """The joint fit of a checked panel: one task, so it runs on the driver's copy."""
+    """The joint fit of a dense panel held here, whose size is checked; ``operators.joint`` fits any."""
     y, d, x = dense(cells)
     return fit_joint(y, d, joint_weights(y, d, lam_time, lam_unit), effective_penalty(lam_norm), x, tol, maxiter)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import PanelSpec
-from .index import finite, units, valid
+from .distance import pair_stats
+from .index import finite, units
 
 ERROR_SHARE, WARN_SHARE = 0.30, 0.10
 
@@ -145,10 +146,7 @@ def feasibility(cells: DataFrame) -> DataFrame:
 
 def min_valid_pairs(cells: DataFrame) -> DataFrame:
     """Least over treated units of the most control periods shared with another unit."""
-    c = valid(cells).select("u", "t")
-    a, b = c.alias("a"), c.alias("b")
-    n = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.u") != F.col("b.u"))).groupBy(F.col("a.u").alias("u"), F.col("b.u").alias("j")).agg(F.count("*").alias("n"))
-    best = n.groupBy("u").agg(F.max("n").alias("n"))
+    best = pair_stats(cells).groupBy(F.col("i").alias("u")).agg(F.max("n").alias("n"))
     return units(cells).where("treated").join(best, "u", "left").agg(F.min(F.coalesce("n", F.lit(0))).alias("min_valid_pairs"))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cv, diagnose, distance, infer, kernels, native, predict, resample, validate
+from ..operators import cv, diagnose, distance, infer, joint, kernels, native, predict, resample, validate
 from ..operators import weights as native_weights
 from ..operators.index import index_cells, treated_cells, units
 from ..spec import LARGE_PENALTY, FitOptions, InvalidPanel, InvalidSpec, NoControlCell, NoTreatedCell, PanelSpec, SurveyDesign, effective_penalty, search_mode
@@ -68,15 +70,31 @@ class Fit:
         n1 = units(self.cells).where("treated").count()
         return replace(self, options=options, boot=boot, inference=infer.intervals(self.att, se, n1, options.level, options.ci, interval), failures=self.failures | {"replicates": failed})
 
+    def release(self) -> None:
+        """Free what the fit keeps in the executors' storage; it works on from its sources."""
+        distance.drop_pairs(self.cells)
+        for held in (self.tau, self.boot, self.cells):
+            if held is not None:
+                held.unpersist()
+
     def parameters(self) -> Parameters:
-        """Unit and period effects, low-rank part and covariate coefficients, fitted by the kernel for every path."""
+        """Unit and period effects, low-rank part and covariate coefficients: the joint method's from its fit over blocks, two-step ones in closed form where all units weigh alike, else by the kernel."""
         spark, lam = self.cells.sparkSession, self.lambdas
+        if self.options.method == "joint" and effective_penalty(lam[2]) > 0:
+            got = joint.fit(self.cells, *lam, self.options.tol, self.options.maxiter)
+            cells = got.tau.select("u", "t", "tau", F.lit(got.iters).alias("iters"), F.lit(got.converged).alias("converged"))
+            return Parameters(got.alpha, got.beta, got.low, got.gamma, got.mu, cells)
         if self.options.method == "joint":
             got = kernels.joint_fit(self.cells, *lam, self.options.tol, self.options.maxiter)
             table = lambda v, k, name: spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], f"{k} int, {name} double")
-            low = spark.createDataFrame([(int(u), int(t), float(got["low"][t, u])) for t, u in _places(got["low"])], "u int, t int, low double")
+            t, u = np.indices(got["low"].shape).reshape(2, -1).astype(np.int32)
+            low = spark.createDataFrame(pd.DataFrame({"u": u, "t": t, "low": got["low"].ravel()}), "u int, t int, low double")
             cells = self.tau.select("u", "t", "tau", F.lit(got["iters"]).alias("iters"), F.lit(got["converged"]).alias("converged"))
             return Parameters(table(got["alpha"], "u", "alpha"), table(got["beta"], "t", "beta"), low, [float(g) for g in got["gamma"]], float(got["mu"]), cells, got["condition"])
+        if self.path == "zero" and lam[1] == 0:
+            alpha, beta = predict.zero_parameters(self.cells, lam[0])
+            cells = self.tau.select("u", "t", "tau", F.lit(1).alias("iters"), F.lit(1).alias("converged"))
+            return Parameters(alpha, beta, zero_low(self.cells, lam[0]), [], None, cells)
         grid = spark.createDataFrame([(0, *map(float, lam))], "g_id int, lam_time double, lam_unit double, lam_norm double")
         fits = kernels.cell_fits(self.cells, kernels.tasks_for(treated_cells(self.cells), grid), True, self.options.tol, self.options.maxiter).persist()
         n = self.cells.agg(F.max("u")).first()[0] + 1
@@ -111,8 +129,6 @@ class Fit:
         if verb == "bootstrap":
             return diagnose.moments(self.boot)
         if verb == "factors":
-            import numpy as np
-
             size = self.cells.agg((F.max("u") + 1).alias("n"), (F.max("t") + 1).alias("t")).first()
             low = np.zeros((size["t"], size["n"]))
             for r in self.parameters().low.collect():  # as many rows as the dense panel, whose size is checked
@@ -132,10 +148,11 @@ class Fit:
         raise InvalidSpec(f"no diagnosis {verb}")
 
 
-def _places(m) -> list[tuple[int, int]]:
-    import numpy as np
-
-    return [tuple(i) for i in np.argwhere(np.isfinite(m))]
+def zero_low(cells: DataFrame, lam_time: float) -> DataFrame:
+    """``(u, t, low)``: at norm penalty 0 the low-rank part is what a fit's effects leave of the control cells; averages over all fits."""
+    alpha, beta = predict.zero_parameters(cells, lam_time)
+    rest = cells.join(alpha, "u", "left").join(beta, "t", "left")
+    return rest.select("u", "t", F.when((F.col("d") == 0) & F.col("y").isNotNull(), F.col("y") - F.col("alpha") - F.col("beta")).otherwise(0.0).alias("low"))
 
 
 def estimate(df: DataFrame, spec: PanelSpec | None = None, options: FitOptions | None = None, grid: str | tuple = "default", survey: SurveyDesign | None = None) -> Fit:
@@ -152,7 +169,7 @@ def estimate(df: DataFrame, spec: PanelSpec | None = None, options: FitOptions |
         raise InvalidPanel(f"{raw['n_not_binary']} rows have a treatment other than 0 and 1")
     if raw["n_no_covariate"]:
         raise InvalidPanel(f"{raw['n_no_covariate']} rows lack a covariate")
-    cells = index_cells(df, spec).persist()
+    cells = distance.keep_pairs(index_cells(df, spec).persist())
     if not cells.where("d = 1 AND y IS NOT NULL").limit(1).count():
         raise NoTreatedCell("no treated cell")
     if not cells.where("d = 0 AND y IS NOT NULL").limit(1).count():
@@ -230,6 +247,12 @@ def effects(cells: DataFrame, options: FitOptions, lam: tuple[float, float, floa
         tau = kernels.cell_fits(cells, kernels.tasks_for(targets, grid), tol=options.tol, maxiter=options.maxiter)
     elif path == "inf":
         tau = native.joint_inf_tau(cells, lam[0], lam[1])
+    elif effective_penalty(lam[2]) > 0:
+        fit = joint.fit(cells, *lam, options.tol, options.maxiter)
+        tau = fit.tau.persist()
+        att = native.att(tau).first()["att"]
+        fit.release()
+        return tau, att
     else:
         fit = kernels.joint_fit(cells, *lam, options.tol, options.maxiter)
         rows = [(int(u), int(t), float(v)) for (t, u), v in _finite(fit["tau"])]
@@ -239,44 +262,55 @@ def effects(cells: DataFrame, options: FitOptions, lam: tuple[float, float, floa
 
 
 def _finite(m):
-    import numpy as np
-
     return [(tuple(i), m[tuple(i)]) for i in np.argwhere(np.isfinite(m))]
 
 
 def search(cells: DataFrame, options: FitOptions, grid: str | tuple, block: bool = False) -> tuple[dict, list[dict]]:
-    """Search by the method's own leave-one-out score; every score that was asked for is returned.
+    """Search by the method's own leave-one-out score; every combination that was asked for is returned.
 
-    ``block``: the panel is complete with simultaneous adoption, so the joint scores at infinite norm have a closed form.
+    With pruning (``options.prune``) a combination is given up once its sum over some cells exceeds the best: it has an infinite score then and
+    the sum as ``at_least``. The winner is the same. ``block``: the panel is complete with simultaneous adoption, so the joint scores at infinite norm have a closed form.
     """
     preset = grid if isinstance(grid, tuple) else cv.GRIDS[cv.ALIASES.get(grid, grid)]
-    spark, joint = cells.sparkSession, options.method == "joint"
+    spark, by_joint = cells.sparkSession, options.method == "joint"
     closed = "x" not in cells.columns
-
-    def score(rows: list[tuple]) -> list[float]:
-        frame = spark.createDataFrame([(g, *map(float, r)) for g, r in enumerate(rows)], "g_id int, lam_time double, lam_unit double, lam_norm double").persist()
-        plain = (lambda n: block and closed and effective_penalty(n) >= LARGE_PENALTY) if joint else (lambda n: closed and n == 0)
-        easy = {g for g, r in enumerate(rows) if plain(r[2])}
-        found: list = []
+    plain = (lambda n: block and closed and effective_penalty(n) >= LARGE_PENALTY) if by_joint else (lambda n: closed and n == 0)
+    cycling = search_mode(options) == "cycling"
+    prune = cycling if options.prune is None else options.prune
+    fitted = kernels.cv_joint if by_joint else kernels.cv_lowrank
+    panel = None
+
+    def score(rows: list[tuple], bound: float) -> list[tuple[float, float | None]]:
+        nonlocal panel
+        make = lambda ids: spark.createDataFrame([(g, *map(float, rows[g])) for g in ids], "g_id int, lam_time double, lam_unit double, lam_norm double")
+        easy = [g for g, r in enumerate(rows) if plain(r[2])]
+        rest = [g for g, r in enumerate(rows) if not plain(r[2])]
+        exact: dict[int, float] = {}
+        below: dict[int, float] = {}
         if easy:
-            own = frame.where(F.col("g_id").isin(sorted(easy))).select("g_id", "lam_time", "lam_unit")
-            found += (cv.scores_joint if joint else cv.scores_zero)(cells, own).collect()
-        if len(easy) < len(rows):
-            rest = frame.where(~F.col("g_id").isin(sorted(easy))) if easy else frame
-            found += (kernels.cv_joint if joint else kernels.cv_lowrank)(cells, rest, options.tol, options.maxiter).collect()
-        frame.unpersist()
-        q = {r["g_id"]: r["q"] if r["n_valid"] == r["n_attempted"] and r["q"] is not None else math.inf for r in found}
-        return [q.get(g, math.inf) for g in range(len(rows))]
-
-    return (cv.exhaust if search_mode(options) == "exhaustive" else cv.cycle)(score, preset)
+            found = (cv.scores_joint if by_joint else cv.scores_zero)(cells, make(easy).select("g_id", "lam_time", "lam_unit")).collect()
+            exact |= {r["g_id"]: r["q"] if r["n_valid"] == r["n_attempted"] and r["q"] is not None else math.inf for r in found}
+        if rest:
+            panel = panel or kernels.share(cells)
+            wave = lambda ids, lo, hi: {r["g_id"]: (r["q"], r["n_valid"], r["n_attempted"]) for r in fitted(cells, make(ids), options.tol, options.maxiter, panel, (lo, hi)).collect()}
+            if prune:
+                some, below, _ = cv.bounded(rest, wave, min([bound, *exact.values()]))
+            else:
+                some = {g: q if ok == tried and q is not None else math.inf for g, (q, ok, tried) in wave(rest, 0, kernels.BUCKETS).items()}
+            exact |= some
+        return [(exact.get(g, math.inf), below.get(g)) for g in range(len(rows))]
+
+    try:
+        return (cv.cycle if cycling else cv.exhaust)(score, preset, bounding=True)
+    finally:
+        if panel is not None:
+            panel.destroy()
 
 
 def environment() -> dict:
     """Versions that a fit depends on."""
     import sys
 
-    import numpy as np
-    import pandas as pd
     import pyarrow as pa
     import pyspark
 
@@ -292,9 +326,7 @@ def expected_seconds(n_units: int, n_periods: int, n_fits: int, iterations: int
 
 def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, float], weights: DataFrame | None = None) -> DataFrame:
     """``(b, att)``: each replicate's panel is gathered from the broadcast one and fitted anew, penalties held."""
-    import numpy as np
-    import pandas as pd
-
+    from ..functions.threads import one_thread
     from ..shipping import ship
 
     spark = cells.sparkSession
@@ -306,6 +338,7 @@ def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, f
     by_unit = None if weights is None else {r["u"]: r["w"] for r in weights.collect()}  # no more than the panel's units
 
     def run(frames):
+        one_thread()
         y0, d0, x0 = shared.value
         for f in frames:
             out = []
@@ -315,7 +348,7 @@ def boot_refit(cells: DataFrame, options: FitOptions, lam: tuple[float, float, f
                 att = None
                 try:
                     if method == "joint":
-                        fit = kernels.fit_joint(y, d, kernels.joint_weights(y, d, lam[0], lam[1]), effective_penalty(lam[2]), x, tol, maxiter)
+                        fit = kernels.fit_joint(y, d, kernels.joint_weights(y, d, lam[0], lam[1]), effective_penalty(lam[2]), x, tol, maxiter, condition=False)
                         att = fit["att"]
                         if by_unit:
                             cell = np.argwhere(np.isfinite(fit["tau"]))

@@ -89,6 +89,8 @@ class FitOptions:
     level: float = 95.0
     #: How penalties are searched: ``cycling`` or ``exhaustive``; by default the first for twostep, the second for joint.
     cv: str | None = None
+    #: Give up a combination once its score exceeds the best one's: the winner is the same. By default where the search is cycling.
+    prune: bool | None = None
 
     def __post_init__(self) -> None:
         method = {"local": "twostep", "global": "joint"}.get(self.method, self.method)
