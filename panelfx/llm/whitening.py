@@ -16,16 +16,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ..functions.vectors import matrix, tree_sum
+from ..functions.vectors import matrix, subspace, tree_sum
 from ..shipping import ship
 from .common import drop_saved, save
 from .vectors import grid_vectors
 
 SCALE, COMPONENTS = 256, 4
-#: Columns of a block, columns kept before a new start, passes before giving up.
-BLOCK, WIDEST, PASSES = 16, 128, 500
-#: A pair is certified when its residual is below this share of the largest value.
-RESIDUAL = 2e-13
 #: Values below this share of the largest belong to no component.
 RANK = 1e-11
 #: Whole numbers are cut here, so that sums stay exact.
@@ -57,42 +53,6 @@ def _totals(rows: DataFrame, task: Callable[[Iterator[np.ndarray]], np.ndarray],
     return tree_sum(rows.select("x").mapInArrow(run, f"part int, v array<{kind}>"))
 
 
-def _extend(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Orthonormal columns for what ``block`` adds to the orthonormal ``basis``; those that add nothing go."""
-    size = np.linalg.norm(block, axis=0)
-    new = block[:, size > 0] / size[size > 0]
-    for _ in range(2):
-        new = new - basis @ (basis.T @ new)
-        if new.shape[1]:
-            q, r = np.linalg.qr(new)
-            new = q[:, np.abs(np.diag(r)) > 1e-12]
-    return new - basis @ (basis.T @ new)
-
-
-def subspace(product: Callable[[np.ndarray], np.ndarray], dim: int, k: int, block: int = BLOCK, widest: int = WIDEST) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Leading ``k`` eigenvectors of ``product``, their values by falling size, the largest residual's share of the first, and the passes."""
-    rng = np.random.default_rng(7)
-    q = np.linalg.qr(rng.normal(size=(dim, min(dim, max(block, k + 1)))))[0]
-    basis, image = np.empty((dim, 0)), np.empty((dim, 0))
-    for step in range(1, PASSES + 1):
-        basis, image = np.hstack([basis, q]), np.hstack([image, product(q)])
-        h = basis.T @ image
-        values, z = np.linalg.eigh((h + h.T) / 2)
-        values, z = values[::-1], z[:, ::-1]
-        ritz, moved = basis @ z, image @ z
-        rest = moved - ritz * values
-        share = float(np.linalg.norm(rest[:, :k], axis=0).max(initial=0) / max(values[0], 1e-300)) if k else 0.0
-        wide = min(block, basis.shape[1])
-        if share <= RESIDUAL or basis.shape[1] >= dim:
-            return ritz[:, :k], values[:k], share, step
-        if basis.shape[1] + wide > max(widest, 3 * wide):
-            basis, image = ritz[:, :wide], moved[:, :wide]
-        q = _extend(moved[:, :wide] - ritz[:, :wide] * values[:wide], basis)[:, : dim - basis.shape[1]]
-        if not q.shape[1]:  # the span is invariant
-            q = _extend(rng.normal(size=(dim, min(wide, dim - basis.shape[1]))), basis)
-    raise RuntimeError(f"{PASSES} passes did not certify {k} components")
-
-
 def fit(distinct: DataFrame, dim: int, k: int = COMPONENTS) -> Whitening | None:
     """Components of the covariance of ``distinct(x)``; None without rows. Values that are zero for rounding give no component."""
     ship(distinct.sparkSession)
