@@ -18,7 +18,7 @@ from typing import Protocol
 import numpy as np
 
 #: Steps that are mixed, and how much beyond half the penalty the residual's norm may be: while the rank grows, and at the end.
-MIXED, LOOSE, CERTAIN = 8, 1e-3, 1e-5
+MIXED, LOOSE, CERTAIN = 15, 1e-3, 1e-5
 
 
 @dataclass

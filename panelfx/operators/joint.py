@@ -1,7 +1,7 @@
 """The joint fit over a panel of any number of units: blocks of whole units in Spark, only sums over them anywhere else.
 
 The longer side of the panel is cut into blocks, each a row with its outcomes, weights and covariates as arrays. A pass of
-``operators.factored`` is one job over the blocks, whose sums are added in a tree; the certificate of the low-rank part is block subspace
+``operators.factored`` is one job over the blocks, whose sums are added in a tree (a panel of one block is solved within its task); the certificate of the low-rank part is block subspace
 iteration on the weighted residual. What is carried between passes, and what the driver holds, has the shorter side's length.
 """
 
@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import subspace, tree_sum
+from ..functions.threads import one_thread
+from ..functions.vectors import FEW, subspace, tree_sum
 from ..shipping import ship
 from ..spec import LARGE_PENALTY, InvalidPanel, effective_penalty
 from . import factored
@@ -123,6 +124,21 @@ class Spread:
         return u, np.sqrt(np.maximum(s, 0))
 
 
+def _in_one_task(blocks: DataFrame, n_short: int, p: int, lam: float, tol: float, maxiter: int) -> factored.Solved:
+    """The same passes over a panel of a single block, all within its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        for _, y, w, _, x in _unpack(batches, n_short, p):
+            got = factored.solve(factored.Panel(np.where(w > 0, y, 0.0), w, x), lam, tol, maxiter)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (got.objective, got.passes, got.converged, got.dual)] + [pa.array([got.state.flat()], type=pa.list_(pa.float64()))], names=["objective", "passes", "converged", "dual", "state"])
+
+    r = blocks.mapInArrow(run, "objective double, passes long, converged boolean, dual double, state array<double>").first()
+    rank = (len(r["state"]) - p) // n_short - 1
+    like = factored.State(np.zeros(n_short), np.zeros((n_short, rank)), np.zeros(p))
+    return factored.Solved(like.like(np.array(r["state"])), r["objective"], r["passes"], r["converged"], r["dual"])
+
+
 def fit(cells: DataFrame, lam_time: float, lam_unit: float, lam_norm: float, tol: float = 1e-6, maxiter: int = 500) -> JointFit:
     """Intercept, unit and period effects, covariates' coefficients and low-rank part of the joint method at a penalty above 0.
 
@@ -137,13 +153,16 @@ def fit(cells: DataFrame, lam_time: float, lam_unit: float, lam_norm: float, tol
     size = cells.agg(F.max("u").alias("u"), F.max("t").alias("t"), *([F.max(F.size("x")).alias("p")] if "x" in cells.columns else [])).first()
     n, t, p = size["u"] + 1, size["t"] + 1, size["p"] if "x" in cells.columns else 0
     line, across, n_long, n_short = ("u", "t", n, t) if n >= t else ("t", "u", t, n)
-    blocks = unit_blocks(weighted_cells(cells, lam_time, lam_unit), n_short, p, line, across).persist()
+    count = -(-n_long // max(1, BLOCK_CELLS // n_short))
+    blocks = unit_blocks(weighted_cells(cells, lam_time, lam_unit), n_short, p, line, across)
+    blocks = (blocks.coalesce(count) if count < FEW else blocks).persist()
     problem = Spread(blocks, n_short, n_long, p)
     weight = problem._added(lambda y, w, x: np.array([w.sum()]))
     if weight is None or weight[0] < 1e-10:
         blocks.unpersist()
         raise InvalidPanel("no control cell has weight")
-    got = factored.solve(problem, np.inf if lam >= LARGE_PENALTY else lam, tol, maxiter)
+    goal = np.inf if lam >= LARGE_PENALTY else lam
+    got = _in_one_task(blocks, n_short, p, goal, tol, maxiter) if count == 1 else factored.solve(problem, goal, tol, maxiter)
     state, ridge = got.state, 0.0 if lam >= LARGE_PENALTY else lam
 
     def per_line(b: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
