@@ -31,10 +31,13 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; no document goes."""
-    out = secret_scan.scan(docs, secret_scan.default_forest(spark)).withColumn("text", F.col("secret_text"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # a column may be called as one of the scan's is
+    text = names[docs.columns.index("text")]
+    out = secret_scan.scan(docs.toDF(*names), secret_scan.default_forest(spark), text).withColumn(text, F.col("secret_text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.when(F.size("secret_found") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*names).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

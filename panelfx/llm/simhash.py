@@ -239,22 +239,20 @@ def hex_fingerprint(col: str = "fp"):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One row of each near-duplicate component, with all columns of ``docs``: that of the least id, nulls last, and of the
-    least fingerprint among rows that share it; of rows that share both, any one.
+    """One row of each near-duplicate component, with all columns of ``docs``: that of the least id, nulls last; of rows that share it that of the
+    least fingerprint, and of those the one whose text hashes least (equal texts: any).
 
-    Rows are found by id where it is theirs alone. Those whose id is null or repeats are told apart by their fingerprint, so that no
-    component loses its last row to another with the same id. An empty table gives an empty result.
+    Every row is written once with its fingerprint and a number of its own; the numbers to keep are found from these two and
+    the id alone, and joined once. Columns may have any names. An empty table gives an empty result.
     """
-    rows = save(fingerprints(docs, id_col, text_col, width), "simhash")
-    reps = _components(rows, id_col).select("rep", "rep_fp").distinct()
-    reps = save(reps, "simhash-reps")
-    often = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_sim_id")).agg((F.count("*") > 1).alias("_sim_again"))
-    named = reps.select("rep").where("rep IS NOT NULL").distinct()
-    kind = often.join(named, F.col("_sim_id") == F.col("rep"), "left").where("_sim_again OR rep IS NOT NULL").select("_sim_id", "_sim_again")
-    # joined alike at every size: a table with a row for nearly every document isn't one to broadcast
-    kind = save(kind, "simhash-kind").hint("merge")
-    once = docs.join(kind.where("NOT _sim_again"), F.col(id_col) == F.col("_sim_id"), "left_semi")
-    twice = docs.join(kind.where("_sim_again"), F.col(id_col) == F.col("_sim_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    named_fp = _with_fingerprint(twice, text_col, width, "_sim_fp")
-    rest = named_fp.join(reps, F.col(id_col).eqNullSafe(F.col("rep")) & (F.col("_sim_fp") == F.col("rep_fp")), "left_semi")
-    return once.unionByName(rest.dropDuplicates([id_col, "_sim_fp"]).select(*docs.columns))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    numbered = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
+    marked = save(_with_fingerprint(numbered, text, width, "_fp"), "simhash-marked")
+    rows = marked.select(F.col(own).alias("id"), F.col("_fp").alias("fp"), F.xxhash64(text).alias("h"), F.col("_row").alias("row"))
+    least = rows.groupBy("fp", "id").agg(F.min(F.struct("h", "row")).alias("r"))
+    reps = _components(rows.select("id", "fp"), "id").where("fp = rep_fp").select("rep", "rep_fp")
+    kept = least.join(reps, (F.col("fp") == F.col("rep_fp")) & F.col("id").eqNullSafe(F.col("rep"))).select(F.col("r.row").alias("kept"))
+    # a number for nearly every document: joined alike at every size, never broadcast
+    kept = save(kept, "simhash-kept").hint("merge")
+    return marked.join(kept, F.col("_row") == F.col("kept"), "left_semi").select(*names).toDF(*docs.columns)
