@@ -213,6 +213,34 @@ def exhaust(score, grids: tuple[list[float], list[float], list[float]], bounding
     return {k: v for k, v in select([f | {"g_id": g} for g, f in enumerate(found)]).items() if k != "at_least"}, found
 
 
+#: Published penalties (time, unit, norm) and root mean squared errors of leave-one-out fits, by data set.
+PUBLISHED = {
+    "CPS log-wage": ((0.10, 0.00, 0.900), 0.025),
+    "CPS urate": ((0.35, 1.60, 0.011), 0.203),
+    "PWT": ((0.40, 0.30, 0.006), 0.023),
+    "Germany": ((0.20, 1.20, 0.011), 0.025),
+    "Basque": ((0.35, 0.00, 0.006), 0.041),
+    "Smoking": ((0.40, 0.25, 0.011), 0.085),
+    "Boatlift": ((0.20, 0.20, 0.151), 0.115),
+}
+#: Penalties agree within this share and this distance; those published below NEAR_ZERO within the distance alone.
+PENALTY_SHARE, PENALTY_DISTANCE, NEAR_ZERO = 0.10, 0.05, 0.01
+
+
+def against_published(found: DataFrame) -> DataFrame:
+    """``found(data, lam_time, lam_unit, lam_norm)`` beside the published penalties: a row for each penalty, and whether it agrees.
+
+    Data sets without published penalties have no rows; ``in_default`` says whether the default grid has the published value at all.
+    """
+    rows = [(name, axis, lam, any(abs(g - lam) < TIE for g in GRIDS["default"][k])) for name, (lams, _) in PUBLISHED.items() for k, (axis, lam) in enumerate(zip(("lam_time", "lam_unit", "lam_norm"), lams, strict=True))]
+    known = found.sparkSession.createDataFrame(rows, "data string, penalty string, published double, in_default boolean")
+    each = found.select("data", F.explode(F.create_map(*[x for c in ("lam_time", "lam_unit", "lam_norm") for x in (F.lit(c), F.col(c).cast("double"))])).alias("penalty", "found"))
+    apart = F.abs(F.col("found") - F.col("published"))
+    near = F.col("published") < NEAR_ZERO
+    agrees = (apart <= PENALTY_DISTANCE) & (near | (apart <= PENALTY_SHARE * F.col("published")))
+    return each.join(F.broadcast(known), ["data", "penalty"]).select("data", "penalty", "published", "found", F.coalesce(agrees, F.lit(False)).alias("agrees"), "in_default")
+
+
 def stability(best: dict, grids: tuple[list[float], list[float], list[float]]) -> dict:
     """Which penalties lie on an edge of their axis, how many combinations there are, and whether trying all of them is cheap."""
     n = len(grids[0]) * len(grids[1]) * len(grids[2])

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf, normal_cdf, normal_cdf_column, normal_quantile
-from .index import units
+from ..functions.ordered import running
+from ..functions.stored import fixed
+from ..functions.vectors import matrix, tree_sum
+from ..shipping import ship
+from .index import treated_cells, units
+from .weights import omega, theta
 
 
 def summarize(cells: DataFrame) -> DataFrame:
@@ -76,15 +83,19 @@ def cell_tests(tau: DataFrame, se: float | None) -> DataFrame:
 
 
 def multiple(tests: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
-    """Bonferroni, Holm (running maximum from the least p) and Benjamini-Hochberg (running minimum from the greatest)."""
-    k = tests.agg(F.count(p).alias("k"))
-    order = [F.col(p), *map(F.col, keys)]
-    d = tests.where(F.col(p).isNotNull()).crossJoin(F.broadcast(k)).withColumn("i", F.row_number().over(Window.orderBy(*order)))
-    up = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("bonferroni", F.least(F.col(p) * F.col("k"), F.lit(1.0)))
-    d = d.withColumn("holm", F.max(F.least(F.col(p) * (F.col("k") - F.col("i") + 1), F.lit(1.0))).over(up))
-    return d.withColumn("bh", F.min(F.least(F.col(p) * F.col("k") / F.col("i"), F.lit(1.0))).over(down)).drop("i", "k")
+    """Bonferroni, Holm (running maximum from the least p) and Benjamini-Hochberg (running minimum from the greatest).
+
+    Equal p-values adjust alike: by the first of their ranks under Holm, by the last under Benjamini-Hochberg. So only distinct
+    values are ranked, by slices of their order.
+    """
+    d = fixed(tests.where(F.col(p).isNotNull()))  # rows find their value again by equality
+    same = d.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_m"))
+    ranked = running(same, "_p", {"_last": (F.sum, "_m", False), "_above": (F.sum, "_m", True)}).withColumn("_k", F.col("_last") + F.col("_above") - F.col("_m"))
+    first = F.col("_last") - F.col("_m") + 1
+    ranked = ranked.withColumn("_holm", F.least(F.col("_p") * (F.col("_k") - first + 1), F.lit(1.0))).withColumn("_bh", F.least(F.col("_p") * F.col("_k") / F.col("_last"), F.lit(1.0)))
+    steps = running(ranked, "_p", {"holm": (F.max, "_holm", False), "bh": (F.min, "_bh", True)})
+    steps = steps.select("_p", F.least(F.col("_p") * F.col("_k"), F.lit(1.0)).alias("bonferroni"), "holm", "bh")
+    return d.join(steps, F.col(p) == F.col("_p")).drop("_p")
 
 
 def moments(boot: DataFrame) -> DataFrame:
@@ -126,6 +137,43 @@ def moment_flags(m: DataFrame, att: float, se: float) -> DataFrame:
     return m.select((F.abs("skew") > 2).alias("skewed"), (F.abs(F.col("kurt") - 3) > 7).alias("heavy"), (F.col("jb_p") < 0.01).alias("not_normal"), (F.abs(F.col("mean") - att) / se > 0.3).alias("biased"))
 
 
+def _lines(low: DataFrame, short: str, long_: str) -> DataFrame:
+    """``(line, v)``: a complete ``low(u, t, low)`` as one vector a line of the long side; nulls count as 0."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(short).alias("k"), F.coalesce("low", F.lit(0.0)).alias("v"))))
+    return low.groupBy(F.col(long_).alias("line")).agg(F.transform(entries, lambda e: e["v"]).alias("v"))
+
+
+def singular(low: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame, str]:
+    """Singular values of a complete ``low(u, t, low)``, vectors of its shorter side, and the lines of its longer side with its name.
+
+    The products of the shorter side's lines are added in a tree; no more than their square comes here.
+    """
+    ship(low.sparkSession)
+    size = low.agg(F.max("u").alias("u"), F.max("t").alias("t")).first()
+    if size["u"] is None:
+        return np.zeros(0), np.zeros((0, 0)), _lines(low, "t", "u"), "u"
+    short, long_, n = ("t", "u", size["t"] + 1) if size["t"] <= size["u"] else ("u", "t", size["u"] + 1)
+    lines = _lines(low, short, long_)
+
+    def add(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            m = matrix(b.column(0), n)
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], type=pa.int32()), pa.array([total.ravel()], type=pa.list_(pa.float64()))], names=["part", "v"])
+
+    s, v = np.linalg.eigh(tree_sum(lines.select("v").mapInArrow(add, "part int, v array<double>")).reshape(n, n))
+    s = np.sqrt(np.maximum(s[::-1], 0))
+    return np.where(s > 1e-8 * s[0], s, 0.0), v[:, ::-1], lines, long_
+
+
+def factors_of(low: DataFrame, k: int = 5) -> dict:
+    """``factors`` of a low-rank part of any size, kept where it is."""
+    s = singular(low)[0]
+    r = low.agg(F.max(F.abs("low")).alias("hi"), F.min(F.abs("low")).alias("lo")).first()
+    return factors(np.diag(s), k) | {"max_abs": float(r["hi"] or 0.0), "min_abs": float(r["lo"] or 0.0)}
+
+
 def factors(low: np.ndarray, k: int = 5) -> dict:
     """Singular values of the low-rank part: the largest, their variance shares, norms, effective rank, extremes."""
     s = np.linalg.svd(np.nan_to_num(low), compute_uv=False) if low.size else np.zeros(0)
@@ -136,19 +184,49 @@ def factors(low: np.ndarray, k: int = 5) -> dict:
     }
 
 
-def triple_bias(low: np.ndarray, targets: list[tuple[int, int, np.ndarray, np.ndarray]], k: int | None = None) -> dict:
-    """The three factors of the bias bound: imbalance of unit and of time loadings, and the nuclear mass cut off.
+def triple(cells: DataFrame, low: DataFrame, lam_time: float, lam_unit: float, k: int | None = None) -> DataFrame:
+    """One row (rank, unit, time, rest, product): the factors of the bias bound of the two-step weights, over all treated cells.
 
-    ``targets`` holds (unit, period, unit weights, time weights) of treated cells; ``low`` is periods x units.
+    ``unit`` is the mean distance of a treated unit's loadings from its weighted neighbours', ``time`` that of its period's, ``rest`` the nuclear
+    mass beyond rank ``k`` (by default the effective rank, rounded up). Loadings are singular vectors times the root of their value.
     """
+    spark = cells.sparkSession
+    s, v, lines, long_ = singular(low)
+    rank = min(len(s), k or (max(1, int(np.ceil(s.sum() / s[0]))) if len(s) and s[0] > 0 else 1))
+    root = np.sqrt(s[:rank])
+    turn = v[:, :rank] / np.where(root > 0, root, np.inf)  # a line times this: its singular vector times the root
+
+    def load(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(matrix(b.column(1), len(v)) @ turn), type=pa.list_(pa.float64()))], names=["line", "f"])
+
+    long_side = lines.mapInArrow(load, "line int, f array<double>")
+    short_side = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v[:, :rank] * root)], "line int, f array<double>")
+    unit_f, time_f = (long_side, short_side) if long_ == "u" else (short_side, long_side)
+    targets = treated_cells(cells).select("u", "t")
+    apart = lambda: F.sqrt(sum(((F.try_divide(F.col(f"m{i}"), F.col("w")) - F.get("own", F.lit(i))) ** 2 for i in range(rank)), F.lit(0.0)))
+
+    def imbalance(weights: DataFrame, keys: list[str], at: str, w: str, loads: DataFrame, own: str) -> DataFrame:
+        j = weights.join(loads.withColumnRenamed("line", at), at)
+        g = j.groupBy(*keys).agg(F.sum(w).alias("w"), *[F.sum(F.col(w) * F.get("f", F.lit(i))).alias(f"m{i}") for i in range(rank)])
+        return g.join(loads.select(F.col("line").alias("_own"), F.col("f").alias("own")), F.col(own) == F.col("_own")).select(*keys, apart().alias("gap"))
+
+    by_unit = imbalance(omega(targets, cells, lam_unit), ["u", "t"], "j", "omega", unit_f, "u").agg(F.avg("gap").alias("unit"))
+    by_time = targets.join(imbalance(theta(targets, cells, lam_time), ["t"], "s", "theta", time_f, "t"), "t").agg(F.avg("gap").alias("time"))
+    one = by_unit.crossJoin(by_time).withColumn("rest", F.lit(float(s[rank:].sum())))
+    return one.select(F.lit(rank).alias("rank"), "unit", "time", "rest", (F.col("unit") * F.col("time") * F.col("rest")).alias("product"))
+
+
+def triple_bias(low: np.ndarray, targets: list[tuple[int, int, np.ndarray, np.ndarray]], k: int | None = None) -> dict:
+    """``triple`` of a dense low-rank part (periods x units), for given (unit, period, unit weights, time weights) of treated cells."""
     u, s, vt = np.linalg.svd(np.nan_to_num(low), full_matrices=False)
     rank = k or max(1, int(np.ceil(s.sum() / s[0]))) if s[0] > 0 else 1
     root = np.sqrt(s[:rank])
     unit_load, time_load = vt[:rank].T * root, u[:, :rank] * root
     by_unit, by_time = [], []
-    for i, t, omega, theta in targets:
-        by_unit.append(np.linalg.norm(omega / max(omega.sum(), 1e-300) @ unit_load - unit_load[i]))
-        by_time.append(np.linalg.norm(theta / max(theta.sum(), 1e-300) @ time_load - time_load[t]))
+    for i, t, omega_, theta_ in targets:
+        by_unit.append(np.linalg.norm(omega_ / max(omega_.sum(), 1e-300) @ unit_load - unit_load[i]))
+        by_time.append(np.linalg.norm(theta_ / max(theta_.sum(), 1e-300) @ time_load - time_load[t]))
     a, b, c = float(np.mean(by_unit)), float(np.mean(by_time)), float(s[rank:].sum())
     return {"rank": rank, "unit": a, "time": b, "rest": c, "product": a * b * c}
 

@@ -270,13 +270,18 @@ def controls(cells: DataFrame, buckets: tuple[int, int] | None = None) -> DataFr
     return c if buckets is None else c.where((at >= buckets[0]) & (at < buckets[1]))
 
 
+def _first_failed() -> Column:
+    """The first period and unit whose fit failed, as a struct; null if none did."""
+    return F.min(F.when(F.col("tau").isNull(), F.struct("t", "u"))).alias("first_failed")
+
+
 def cv_lowrank(cells: DataFrame, grid: DataFrame, tol: float = 1e-6, maxiter: int = 500, panel: Broadcast | None = None, buckets: tuple[int, int] | None = None) -> DataFrame:
-    """Leave-one-out scores of interior penalties: ``(g_id, lam_time, lam_unit, lam_norm, q, n_valid, n_attempted)``."""
+    """Leave-one-out scores of interior penalties: ``(g_id, lam_time, lam_unit, lam_norm, q, n_valid, n_attempted, first_failed)``."""
     control = controls(cells, buckets)
     keyed = control.select("u", "t").crossJoin(F.broadcast(grid))
     keyed = keyed.withColumn("task_id", F.xxhash64("u", "t", "g_id"))
     fits = cell_fits(cells, keyed, tol=tol, maxiter=maxiter, panel=panel).select("task_id", "tau")
-    return keyed.join(fits, "task_id").groupBy("g_id", "lam_time", "lam_unit", "lam_norm").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"))
+    return keyed.join(fits, "task_id").groupBy("g_id", "lam_time", "lam_unit", "lam_norm").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"), _first_failed())
 
 
 def joint_weights(y: np.ndarray, d: np.ndarray, lam_time: float, lam_unit: float) -> np.ndarray:
@@ -361,13 +366,13 @@ def cv_joint(cells: DataFrame, grid: DataFrame, tol: float = 1e-6, maxiter: int
                     tau = held.residual(r.u, r.t) if held is not None else None
                 except (ArithmeticError, np.linalg.LinAlgError, InvalidPanel):
                     pass
-                out.append((r.g_id, r.lam_time, r.lam_unit, r.lam_norm, tau))
-            yield pd.DataFrame(out, columns=["g_id", "lam_time", "lam_unit", "lam_norm", "tau"])
+                out.append((r.g_id, r.lam_time, r.lam_unit, r.lam_norm, r.u, r.t, tau))
+            yield pd.DataFrame(out, columns=["g_id", "lam_time", "lam_unit", "lam_norm", "u", "t", "tau"])
 
     keyed = controls(cells, buckets).crossJoin(F.broadcast(grid))
     dealt = keyed.repartition(spark.sparkContext.defaultParallelism * 4, F.xxhash64("u", "t", "g_id")).sortWithinPartitions("g_id")
-    fits = dealt.mapInPandas(run, "g_id int, lam_time double, lam_unit double, lam_norm double, tau double")
-    return fits.groupBy("g_id", "lam_time", "lam_unit", "lam_norm").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"))
+    fits = dealt.mapInPandas(run, "g_id int, lam_time double, lam_unit double, lam_norm double, u int, t int, tau double")
+    return fits.groupBy("g_id", "lam_time", "lam_unit", "lam_norm").agg(F.sum(F.col("tau") ** 2).alias("q"), F.count("tau").alias("n_valid"), F.count("*").alias("n_attempted"), _first_failed())
 
 
 def joint_fit(cells: DataFrame, lam_time: float, lam_unit: float, lam_norm: float, tol: float = 1e-6, maxiter: int = 500) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running
 from ..spec import PanelSpec
 from .distance import pair_stats
 from .index import finite, units
@@ -86,18 +87,10 @@ def simultaneous(cells: DataFrame) -> DataFrame:
 def quartile(y: DataFrame, p: float, name: str) -> DataFrame:
     """One row: the order statistic of ``y(y)`` at n*p, or the mean of it and the next where n*p is a whole number.
 
-    Only values between two approximate percentiles around p are ranked, distinct ones once.
+    Distinct values are counted and ranked by slices of their order.
     """
-    near = y.agg(F.count("*").alias("n"), F.percentile_approx("y", [max(0.0, p - 2e-4), min(1.0, p + 2e-4)], 10_000).alias("at"))
-    lo, hi = F.col("at")[0], F.col("at")[1]
-    # the two ranks asked for may lie just beyond: the next distinct value on either side comes along
-    edge = y.crossJoin(F.broadcast(near)).agg(F.max(F.when(F.col("y") < lo, F.col("y"))).alias("lo2"), F.min(F.when(F.col("y") > hi, F.col("y"))).alias("hi2"))
-    near = near.crossJoin(edge).select("n", F.coalesce("lo2", lo).alias("lo"), F.coalesce("hi2", hi).alias("hi"))
-    rows = y.crossJoin(F.broadcast(near))
-    below = rows.agg(F.count(F.when(F.col("y") < F.col("lo"), 1)).alias("below"))
-    held = rows.where("y BETWEEN lo AND hi").groupBy("y", "n").agg(F.count("*").alias("k")).crossJoin(F.broadcast(below))
-    last = F.col("below") + F.sum("k").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
-    held = held.withColumn("last", last).withColumn("first", F.col("last") - F.col("k") + 1)
+    held = running(y.groupBy("y").agg(F.count("*").alias("k")), "y", {"last": (F.sum, "k", False)})
+    held = held.withColumn("first", F.col("last") - F.col("k") + 1).crossJoin(F.broadcast(y.agg(F.count("*").alias("n"))))
     rank, whole = F.ceil(F.col("n") * p), F.col("n") * p == F.floor(F.col("n") * p)
     at = lambda r: F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("y")))
     got = held.agg(at(F.greatest(rank, F.lit(1))).alias("a"), at(rank + 1).alias("b"), F.max(whole).alias("whole"))

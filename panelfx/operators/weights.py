@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running
 from .distance import distances_without
 from .index import treated_cells, units
 
@@ -79,8 +80,12 @@ def stats(weights: DataFrame, key: str, value: str) -> DataFrame:
         *[F.percentile("w", F.lit(p)).alias(f"p{int(100 * p)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)],
     )
     p = w.crossJoin(F.broadcast(a.select("total", "n"))).withColumn("p", F.try_divide("w", "total"))
-    run = Window.orderBy(F.col("w").desc(), "k").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("run", F.sum("p").over(run)).withColumn("r", F.row_number().over(Window.orderBy(F.col("w").desc(), "k")))
-    b = p.agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0))).alias("entropy"), F.try_divide(F.lit(1.0), F.sum(F.col("p") ** 2)).alias("ess"), F.try_divide(F.min(F.when(F.col("run") >= 0.5 - 1e-12, F.col("r"))), F.max("n")).alias("concentration"))
+    # equal weights are one value of the order; how many of them it takes to reach a half is arithmetic
+    same = p.groupBy("p", "n").agg(F.count("w").alias("k")).where("p IS NOT NULL").withColumn("mass", F.col("p") * F.col("k"))
+    order = running(same, "p", {"mass_above": (F.sum, "mass", True), "k_above": (F.sum, "k", True)})
+    short = 0.5 - 1e-12 - (F.col("mass_above") - F.col("mass"))
+    need = F.col("k_above") - F.col("k") + F.greatest(F.lit(1), F.ceil(F.try_divide(short, F.col("p"))))
+    reached = order.agg(F.try_divide(F.min(F.when(F.col("mass_above") >= 0.5 - 1e-12, need)), F.max("n")).alias("concentration"))
+    b = p.agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0))).alias("entropy"), F.try_divide(F.lit(1.0), F.sum(F.col("p") ** 2)).alias("ess")).crossJoin(reached)
     return a.drop("total").crossJoin(b)
 

@@ -233,7 +233,7 @@ M = cells("block", "month")
 FIRST = "first AS (SELECT * FROM treated ORDER BY t, u LIMIT 1)"
 
 def grid(times: str, norms: str) -> str:
-    return f"SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS g_id, lam_time, lam_unit, lam_norm FROM (SELECT unnest({times}::DOUBLE[]) AS lam_time, unnest(range(10)[1:len({times})]) AS i) CROSS JOIN (SELECT unnest({times}::DOUBLE[]) AS lam_unit, unnest(range(10)[1:len({times})]) AS j) CROSS JOIN (SELECT unnest({norms}::DOUBLE[]) AS lam_norm, unnest(range(10)[1:len({norms})]) AS k)"
+    return sql([C], f"SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS g_id, lam_time, lam_unit, lam_norm, (SELECT count(*) FROM valid) AS n_fits FROM (SELECT unnest({times}::DOUBLE[]) AS lam_time, unnest(range(10)[1:len({times})]) AS i) CROSS JOIN (SELECT unnest({times}::DOUBLE[]) AS lam_unit, unnest(range(10)[1:len({times})]) AS j) CROSS JOIN (SELECT unnest({norms}::DOUBLE[]) AS lam_norm, unnest(range(10)[1:len({norms})]) AS k)")
 
 
 MOMENTS = [
@@ -312,7 +312,7 @@ ORACLE_SQL: dict[str, str] = {
     "joint_inf_grid": sql([C, JOINT, JOINT_GRID], f"SELECT lam_time, lam_unit, {r('att')} FROM ja"),
     "joint_tau": sql([C, JOINT, JOINT_TAU], f"SELECT u, t, {r('y', 'tau')} FROM jtau"),
     "joint_weighted_att": sql([C, JOINT, JOINT_TAU, DESIGN], "SELECT round(sum(w * tau) / sum(w), 6) + 0.0 AS att, sum(w) AS sum_w FROM jtau JOIN design USING (u)"),
-    "joint_rao_wu_att": sql([C, JOINT, JOINT_TAU, DESIGN, rao(50)], "SELECT b, round(sum(w * tau) / sum(w), 6) + 0.0 AS att FROM rw JOIN jtau USING (u) WHERE w > 0 GROUP BY b"),
+    "joint_rao_wu_att": sql([C, JOINT, JOINT_TAU, DESIGN, rao(B)], "SELECT b, round(sum(w * tau) / sum(w), 6) + 0.0 AS att FROM rw JOIN jtau USING (u) WHERE w > 0 GROUP BY b"),
     "predict_joint": sql([C, JOINT, JOINT_TAU], "SELECT u, t, round(y - tau, 6) + 0.0 AS y0, round(tau, 6) + 0.0 AS te FROM jtau"),
     "cv_joint_grid": sql([C, JOINT, CV_JOINT], f"SELECT g_id, lam_time, lam_unit, {r('q')}, n_valid, n_attempted FROM jscores"),
     "cv_joint_select": sql([C, JOINT, CV_JOINT], f"SELECT g_id, lam_time, lam_unit, {r('q')}, n_valid, n_attempted FROM jscores ORDER BY jscores.q LIMIT 1"),
@@ -349,9 +349,9 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "boot_weighted_att": sql([C, zero(), DRAWS, BOOT_BODY, DESIGN], "SELECT bt.b, round(sum(m * w * tau) / sum(m * w), 6) + 0.0 AS att FROM bt JOIN design USING (u) GROUP BY bt.b"),
     "design_strata": sql([C, DESIGN, rao(1)], "SELECT stratum, n, fpc::DOUBLE AS fpc, round(f, 6) + 0.0 AS f, m FROM strata"),
-    "rao_wu_weights": sql([C, DESIGN, rao(50)], f"SELECT b, u, {r('w')} FROM rw"),
-    "rao_wu_att": sql([C, zero(), DESIGN, rao(50)], "SELECT b, round(sum(w * tau) / sum(w), 6) + 0.0 AS att FROM rw JOIN tau USING (u) WHERE w > 0 GROUP BY b"),
-    "rao_wu_centered": sql([C, DESIGN, "few AS (SELECT * FROM design WHERE stratum > 0 OR psu = 0)", rao(20, "few", "centered")], f"SELECT b, u, {r('w')} FROM rw"),
+    "rao_wu_weights": sql([C, DESIGN, rao(B)], f"SELECT b, u, {r('w')} FROM rw"),
+    "rao_wu_att": sql([C, zero(), DESIGN, rao(B)], "SELECT b, round(sum(w * tau) / sum(w), 6) + 0.0 AS att FROM rw JOIN tau USING (u) WHERE w > 0 GROUP BY b"),
+    "rao_wu_centered": sql([C, DESIGN, "few AS (SELECT * FROM design WHERE stratum > 0 OR psu = 0)", rao(B, "few", "centered")], f"SELECT b, u, {r('w')} FROM rw"),
     "kish_deff": sql([C, DESIGN], "SELECT count(*) AS n, round(greatest(1, count(*) * sum(w * w) / (sum(w) * sum(w))), 6) + 0.0 AS deff FROM design WHERE w > 0"),
     "high_fpc": sql([C, DESIGN], "SELECT count(*) FILTER (f > 0.5) AS n_high, round(max(f), 6) + 0.0 AS max_f FROM (SELECT stratum, count(DISTINCT psu) / (stratum * 2.0 + 6) AS f FROM design GROUP BY stratum)"),
     "predict_all": sql([C, zero(), PARAMS], "SELECT u, t, round(y, 6) + 0.0 AS y, d, round(alpha, 6) + 0.0 AS alpha, round(beta, 6) + 0.0 AS beta, mu, round(y0, 6) + 0.0 AS y0, round(y0 + te, 6) + 0.0 AS y1, round(te, 6) + 0.0 AS te, round(y0 + coalesce(te, 0), 6) + 0.0 AS fitted, round(y - (y0 + coalesce(te, 0)), 6) + 0.0 AS residuals FROM pred"),

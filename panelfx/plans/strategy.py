@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import cv, diagnose, distance, infer, joint, kernels, native, predict, resample, validate
 from ..operators import weights as native_weights
 from ..operators.index import index_cells, treated_cells, units
-from ..spec import LARGE_PENALTY, FitOptions, InvalidPanel, InvalidSpec, NoControlCell, NoTreatedCell, PanelSpec, SurveyDesign, effective_penalty, search_mode
+from ..spec import LARGE_PENALTY, FitOptions, InvalidPanel, InvalidSpec, NoControlCell, NoTreatedCell, PanelSpec, PanelWarning, SearchFailed, SurveyDesign, effective_penalty, search_mode
 
 
 def choose_path(method: str, lam_norm: float, simultaneous: bool, complete: bool, covariates: bool = False) -> str:
@@ -60,6 +61,12 @@ class Fit:
     design: DataFrame | None = None
     survey: SurveyDesign | None = None
     failures: dict = field(default_factory=dict)
+    signature: tuple = ()
+
+    def check(self) -> None:
+        """The panel must still be the one that was fitted, cell by cell."""
+        if self.signature and predict.signature(self.cells) != self.signature:
+            raise InvalidPanel("the panel has changed since it was fitted")
 
     def bootstrap(self, n: int = 1000, seed: int | None = None) -> Fit:
         """The same fit with a new bootstrap; penalties, weights and survey design stay."""
@@ -109,6 +116,7 @@ class Fit:
 
     def predictions(self) -> DataFrame:
         """Every prediction of every cell (see ``operators.predict``); with covariates, their share is in the counterfactual."""
+        self.check()
         p = self.parameters()
         return predict.predictions(self.cells, p.alpha, p.beta, self.tau, p.low, p.mu, self.att, p.gamma)
 
@@ -116,7 +124,8 @@ class Fit:
         return predict.predict(self.predictions(), kind)
 
     def diagnose(self, verb: str, **options) -> DataFrame | dict:
-        """By name: summarize, eventstudy, placebo, pretrend, bootstrap, factors, unconverged, loocv, mht, weights, distance."""
+        """By name: summarize, vce, eventstudy, placebo, pretrend, bootstrap, factors, triplerob, unconverged, loocv, sensitivity, mht, weights, distance, table."""
+        self.check()
         if verb == "summarize":
             return diagnose.summarize(self.cells)
         if verb == "eventstudy":
@@ -125,20 +134,27 @@ class Fit:
             p = self.parameters()
             mu = p.mu or 0.0
             gaps = diagnose.placebo(self.cells, p.alpha.withColumn("alpha", F.col("alpha") + mu), p.beta, low=p.low, gamma=p.gamma, **options)
-            return gaps if verb == "placebo" else diagnose.pretrend(gaps)
+            if verb == "placebo":
+                return gaps
+            wald = diagnose.pretrend(gaps).first()
+            return self.cells.sparkSession.createDataFrame([(wald["wald"], wald["df"], diagnose.pretrend_p(wald["wald"], wald["df"]))], "wald double, df long, p double")
         if verb == "bootstrap":
             return diagnose.moments(self.boot)
+        if verb == "vce":
+            return resample.variance(self.boot, self.options.ddof)
         if verb == "factors":
-            size = self.cells.agg((F.max("u") + 1).alias("n"), (F.max("t") + 1).alias("t")).first()
-            low = np.zeros((size["t"], size["n"]))
-            for r in self.parameters().low.collect():  # as many rows as the dense panel, whose size is checked
-                low[r["t"], r["u"]] = r["low"]
-            return diagnose.factors(low)
+            return diagnose.factors_of(self.parameters().low)
+        if verb == "triplerob":
+            return diagnose.triple(self.cells, self.parameters().low, *self.lambdas[:2], **options)
+        if verb == "table":
+            return diagnose.table([{"name": options.pop("name", self.options.method), **self.inference}], **options)
         if verb == "unconverged":
             return diagnose.unconverged(self.parameters().cells)
         if verb == "loocv":
-            spread = [r["q"] for r in self.scores if math.isfinite(r["q"])]
-            return {"lambdas": self.lambdas, "n_scores": len(self.scores), "n_failed": len(self.scores) - len(spread), "q_min": min(spread, default=None), "q_max": max(spread, default=None)}
+            return loocv(self.lambdas, self.scores)
+        if verb == "sensitivity":
+            rows = [(g, r["lam_time"], r["lam_unit"], r["lam_norm"], r["q"]) for g, r in enumerate(self.scores) if math.isfinite(r["q"])]
+            return cv.sensitivity(self.cells.sparkSession.createDataFrame(rows, "g_id int, lam_time double, lam_unit double, lam_norm double, q double"))
         if verb == "mht":
             return diagnose.multiple(diagnose.cell_tests(self.tau, self.inference["se"]), ["u", "t"])
         if verb == "weights":
@@ -148,6 +164,24 @@ class Fit:
         raise InvalidSpec(f"no diagnosis {verb}")
 
 
+def loocv(lambdas: tuple[float, float, float], scores: list[dict]) -> dict:
+    """What a search found: its seeds (best on each axis with the others at their ends) and its end, valid and failed fits, and how stable the end is."""
+    finite = [r for r in scores if math.isfinite(r["q"])]
+    key = ("lam_time", "lam_unit", "lam_norm")
+    seeds = {
+        "lam_time": [r for r in finite if r["lam_unit"] == 0 and math.isinf(r["lam_norm"])],
+        "lam_norm": [r for r in finite if r["lam_time"] == r["lam_unit"] == 0],
+        "lam_unit": [r for r in finite if r["lam_time"] == 0 and math.isinf(r["lam_norm"])],
+    }
+    stage1 = {k: min(v, key=lambda r: r["q"])[k] if v else None for k, v in seeds.items()}
+    ok, n = (sum(r.get(k, 0) for r in scores) for k in ("n_valid", "n_attempted"))
+    grids = tuple(sorted({r[k] for r in scores}) for k in key)
+    out = {"lambdas": lambdas, "stage1": stage1, "n_scores": len(scores), "n_given_up": sum("at_least" in r for r in scores), "n_failed": sum(math.isinf(r["q"]) and "at_least" not in r for r in scores)}
+    out |= {"q_min": min((r["q"] for r in finite), default=None), "q_max": max((r["q"] for r in finite), default=None), "valid_share": ok / n if n else None}
+    out |= {"first_failed": min((r["first_failed"] for r in scores if r.get("first_failed")), default=None)}
+    return out | (cv.stability(dict(zip(key, lambdas, strict=True)), grids) if scores else {})
+
+
 def zero_low(cells: DataFrame, lam_time: float) -> DataFrame:
     """``(u, t, low)``: at norm penalty 0 the low-rank part is what a fit's effects leave of the control cells; averages over all fits."""
     alpha, beta = predict.zero_parameters(cells, lam_time)
@@ -202,7 +236,7 @@ def estimate(df: DataFrame, spec: PanelSpec | None = None, options: FitOptions |
             raise InvalidPanel("a stratum has fewer units in its population than in the sample, or several populations")
     boot, se, interval, missed = resampled(cells, options, lam, path, tau, weights, design, survey)
     n1 = units(cells).where("treated").count()
-    return Fit(options, cells, path, lam, att, tau, infer.intervals(att, se, n1, options.level, options.ci, interval), boot, scores, weights, design, survey, {"cells": lost, "replicates": missed})
+    return Fit(options, cells, path, lam, att, tau, infer.intervals(att, se, n1, options.level, options.ci, interval), boot, scores, weights, design, survey, {"cells": lost, "replicates": missed}, predict.signature(cells))
 
 
 def survey_table(df: DataFrame, cells: DataFrame, spec: PanelSpec, survey: SurveyDesign, weights: DataFrame | None) -> DataFrame:
@@ -231,6 +265,8 @@ def resampled(cells, options, lam, path, tau, weights=None, design=None, survey=
         boot = boot_refit(cells, options, lam, weights)
     boot = boot.where("att IS NOT NULL AND NOT isnan(att)").persist()
     got = resample.variance(boot, options.ddof).first()
+    if options.n_boot - got["n"] > cv.WARN_SHARE * options.n_boot:
+        warnings.warn(f"{options.n_boot - got['n']} of {options.n_boot} replicates have no effect", PanelWarning, stacklevel=3)
     r = resample.percentile_interval(boot, options.level).first()
     return boot, got["se"], (r["low"], r["high"]) if r["low"] is not None else None, options.n_boot - got["n"]
 
@@ -265,6 +301,34 @@ def _finite(m):
     return [(tuple(i), m[tuple(i)]) for i in np.argwhere(np.isfinite(m))]
 
 
+class Tried:
+    """How many held-out fits a search tried for each combination, how many failed, and the first that did."""
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple, list] = {}
+
+    def add(self, row: tuple, r) -> tuple[float | None, int, int]:
+        held = self.rows.setdefault(row, [0, 0, None])
+        held[0] += r["n_valid"]
+        held[1] += r["n_attempted"]
+        held[2] = min((tuple(f) for f in (held[2], r["first_failed"]) if f is not None), default=None)
+        return r["q"], r["n_valid"], r["n_attempted"]
+
+    def of(self, score: dict) -> dict:
+        held = self.rows.get((score["lam_time"], score["lam_unit"], score["lam_norm"]))
+        return {} if held is None else {"n_valid": held[0], "n_attempted": held[1], "first_failed": held[2]}
+
+    def judge(self) -> None:
+        """Give up where more than ABORT_SHARE of all fits failed, warn beyond WARN_SHARE."""
+        ok, n = (sum(r[k] for r in self.rows.values()) for k in (0, 1))
+        share = 1 - ok / n if n else 0.0
+        first = min((r[2] for r in self.rows.values() if r[2] is not None), default=None)
+        if share > cv.ABORT_SHARE:
+            raise SearchFailed(f"{share:.0%} of the held-out fits failed, the first at period and unit {first}")
+        if share > cv.WARN_SHARE:
+            warnings.warn(f"{share:.1%} of the held-out fits failed, the first at period and unit {first}", PanelWarning, stacklevel=3)
+
+
 def search(cells: DataFrame, options: FitOptions, grid: str | tuple, block: bool = False) -> tuple[dict, list[dict]]:
     """Search by the method's own leave-one-out score; every combination that was asked for is returned.
 
@@ -278,7 +342,7 @@ def search(cells: DataFrame, options: FitOptions, grid: str | tuple, block: bool
     cycling = search_mode(options) == "cycling"
     prune = cycling if options.prune is None else options.prune
     fitted = kernels.cv_joint if by_joint else kernels.cv_lowrank
-    panel = None
+    panel, tried = None, Tried()
 
     def score(rows: list[tuple], bound: float) -> list[tuple[float, float | None]]:
         nonlocal panel
@@ -292,16 +356,21 @@ def search(cells: DataFrame, options: FitOptions, grid: str | tuple, block: bool
             exact |= {r["g_id"]: r["q"] if r["n_valid"] == r["n_attempted"] and r["q"] is not None else math.inf for r in found}
         if rest:
             panel = panel or kernels.share(cells)
-            wave = lambda ids, lo, hi: {r["g_id"]: (r["q"], r["n_valid"], r["n_attempted"]) for r in fitted(cells, make(ids), options.tol, options.maxiter, panel, (lo, hi)).collect()}
+            wave = lambda ids, lo, hi: {r["g_id"]: tried.add(rows[r["g_id"]], r) for r in fitted(cells, make(ids), options.tol, options.maxiter, panel, (lo, hi)).collect()}
             if prune:
                 some, below, _ = cv.bounded(rest, wave, min([bound, *exact.values()]))
             else:
-                some = {g: q if ok == tried and q is not None else math.inf for g, (q, ok, tried) in wave(rest, 0, kernels.BUCKETS).items()}
+                some = {g: q if ok == n and q is not None else math.inf for g, (q, ok, n) in wave(rest, 0, kernels.BUCKETS).items()}
             exact |= some
         return [(exact.get(g, math.inf), below.get(g)) for g in range(len(rows))]
 
     try:
-        return (cv.cycle if cycling else cv.exhaust)(score, preset, bounding=True)
+        best, scores = (cv.cycle if cycling else cv.exhaust)(score, preset, bounding=True)
+        tried.judge()
+        return best, [r | tried.of(r) for r in scores]
+    except SearchFailed:
+        tried.judge()
+        raise
     finally:
         if panel is not None:
             panel.destroy()

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .oracle import ORACLE_SQL
-from .operators import cv, diagnose, distance, kernels, native, predict, resample, validate, weights
+from .operators import cv, diagnose, distance, joint, kernels, native, predict, resample, validate, weights
 from .operators.index import index_cells, treated_cells
 from .sources import panels
-from .spec import PanelSpec, SurveyDesign
+from .spec import FitOptions, PanelSpec, SurveyDesign
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
@@ -131,7 +131,7 @@ simple("joint_inf", lambda c: native.joint_inf(c, LAM_TIME, LAM_UNIT))
 query("joint_inf_grid")(lambda s, d, c: native.joint_inf_grid(c, _grid(s).select("lam_time", "lam_unit")))
 simple("joint_tau", lambda c: native.joint_inf_tau(c, LAM_TIME, LAM_UNIT))
 query("joint_weighted_att")(lambda s, d, c: native.weighted_att(native.joint_inf_tau(c, LAM_TIME, LAM_UNIT), survey(s, d, c).select("u", "w")))
-query("joint_rao_wu_att")(lambda s, d, c: resample.rao_wu_att(native.joint_inf_tau(c, LAM_TIME, LAM_UNIT), resample.rao_wu(survey(s, d, c), 50)))
+query("joint_rao_wu_att")(lambda s, d, c: resample.rao_wu_att(native.joint_inf_tau(c, LAM_TIME, LAM_UNIT), resample.rao_wu(survey(s, d, c), N_BOOT)))
 simple("twostep_inf", lambda c: native.twostep_inf(c, LAM_TIME, LAM_UNIT))
 simple("twostep_zero", lambda c: zero_tau(c, LAM_UNIT))
 simple("twostep_zero_staggered", zero_tau, "staggered")
@@ -147,8 +147,15 @@ query("cv_joint_grid")(lambda s, d, c: cv.scores_joint(c, _grid(s)))
 query("cv_joint_select")(lambda s, d, c: cv.best_row(cv.scores_joint(c, _grid(s))))
 query("cv_top")(lambda s, d, c: cv.top(cv.scores_zero(c, _grid(s)), 3))
 
-query("grid_default", None)(lambda s, d, c: cv.grid_frame(s, *cv.GRIDS["default"]))
-query("grid_fine", None)(lambda s, d, c: cv.grid_frame(s, *cv.GRIDS["fine"]))
+
+
+def _planned(spark: SparkSession, cells: DataFrame, preset: str) -> DataFrame:
+    """A preset grid, and how many fits each of its rows asks of the panel."""
+    return cv.grid_frame(spark, *cv.GRIDS[preset]).crossJoin(F.broadcast(kernels.controls(cells).agg(F.count("*").alias("n_fits"))))
+
+
+query("grid_default")(lambda s, d, c: _planned(s, c, "default"))
+query("grid_fine")(lambda s, d, c: _planned(s, c, "fine"))
 
 # resampling
 simple("boot_draws", lambda c: resample.unit_draws(c, N_BOOT))
@@ -160,9 +167,9 @@ simple("boot_percentile_ci", lambda c: resample.percentile_interval(_boot(c)))
 simple("boot_moments", lambda c: diagnose.moments(_boot(c)))
 query("boot_weighted_att")(lambda s, d, c: resample.boot_zero(c, LAM_TIME, resample.unit_draws(c, N_BOOT), survey(s, d, c).select("u", "w")))
 query("design_strata")(lambda s, d, c: resample.strata(survey(s, d, c)))
-query("rao_wu_weights")(lambda s, d, c: resample.rao_wu(survey(s, d, c), 50))
-query("rao_wu_att")(lambda s, d, c: resample.rao_wu_att(zero_tau(c), resample.rao_wu(survey(s, d, c), 50)))
-query("rao_wu_centered")(lambda s, d, c: resample.rao_wu(survey(s, d, c).where("stratum > 0 OR psu = 0"), 20, options=SurveyDesign("stratum", "psu", lonely="centered")))
+query("rao_wu_weights")(lambda s, d, c: resample.rao_wu(survey(s, d, c), N_BOOT))
+query("rao_wu_att")(lambda s, d, c: resample.rao_wu_att(zero_tau(c), resample.rao_wu(survey(s, d, c), N_BOOT)))
+query("rao_wu_centered")(lambda s, d, c: resample.rao_wu(survey(s, d, c).where("stratum > 0 OR psu = 0"), N_BOOT, options=SurveyDesign("stratum", "psu", lonely="centered")))
 query("kish_deff")(lambda s, d, c: resample.kish(survey(s, d, c)))
 query("high_fpc")(lambda s, d, c: resample.high_fpc(survey(s, d, c).withColumn("fpc", F.col("stratum") * 2.0 + 6)))
 
@@ -206,24 +213,61 @@ simple("predict_joint", _joint_predicted)
 def _twostep_lowrank(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
     grid = spark.createDataFrame([(0, LAM_TIME, LAM_UNIT, 10.0)], "g_id int, lam_time double, lam_unit double, lam_norm double")
     tasks = treated_cells(cells).select("u", "t").crossJoin(grid).withColumn("task_id", F.xxhash64("u", "t"))
-    return kernels.cell_fits(cells, tasks, maxiter=200).select("u", "t", "tau", "iters", "converged")
+    return kernels.cell_fits(cells, tasks).select("u", "t", "tau", "iters", "converged")
+
+
+def _whole(cells: DataFrame) -> bool:
+    """The joint method needs every treated cell."""
+    return cells.agg((F.count("*") == F.countDistinct("u") * F.countDistinct("t")).alias("whole")).first()["whole"]
 
 
 @query("joint_lowrank")
 def _joint_lowrank(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
-    y, d, _ = kernels.dense(cells)
-    import numpy as np
-
-    if np.isnan(d).any():  # the joint method needs every treated cell
+    if not _whole(cells):
         return spark.createDataFrame([], "att double, mu double, iters int, converged int")
-    fit = kernels.joint_fit(cells, LAM_TIME, LAM_UNIT, 10.0, maxiter=200)
-    return spark.createDataFrame([(fit["att"], float(fit["mu"]), fit["iters"], fit["converged"])], "att double, mu double, iters int, converged int")
+    fit = joint.fit(cells, LAM_TIME, LAM_UNIT, 10.0)
+    return native.att(fit.tau).select("att", F.lit(fit.mu).alias("mu"), F.lit(fit.iters).alias("iters"), F.lit(fit.converged).alias("converged"))
+
+
+@query("joint_lowrank_tau")
+def _joint_lowrank_tau(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    return joint.fit(cells, LAM_TIME, LAM_UNIT, 10.0).tau if _whole(cells) else spark.createDataFrame([], "u int, t int, tau double")
+
+
+#: The grid of interior penalties that a search runs over in full.
+INTERIOR = ([0.0, 1.0], [0.0, 1.0], [0.1, 1.0])
+
+
+@query("cv_joint_interior")
+def _cv_joint_interior(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    if not _whole(cells):
+        return spark.createDataFrame([], "g_id int, lam_time double, lam_unit double, lam_norm double, q double, n_valid long, n_attempted long")
+    return kernels.cv_joint(cells, cv.grid_frame(spark, *INTERIOR)).drop("first_failed")
+
+
+@query("joint_rao_wu_interior")
+def _joint_rao_wu_interior(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    """The best of the interior grid by the joint score, its effects, and their average under rescaled weights."""
+    from .plans.strategy import search
+
+    if not _whole(cells):
+        return spark.createDataFrame([], "b int, att double")
+    best, _ = search(cells, FitOptions(method="joint", prune=True), INTERIOR, True)
+    tau = joint.fit(cells, best["lam_time"], best["lam_unit"], best["lam_norm"]).tau
+    return resample.rao_wu_att(tau, resample.rao_wu(survey(spark, sf_dir, cells), N_BOOT))
+
+
+@query("triple_bias")
+def _triple_bias(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    if not _whole(cells):
+        return spark.createDataFrame([], "rank int, unit double, time double, rest double, product double")
+    return diagnose.triple(cells, joint.fit(cells, LAM_TIME, LAM_UNIT, 10.0).low, LAM_TIME, LAM_UNIT)
 
 
 @query("cv_lowrank")
 def _cv_lowrank(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
     grid = spark.createDataFrame([(0, 0.1, 0.0, 10.0), (1, 0.1, 0.0, 1e10)], "g_id int, lam_time double, lam_unit double, lam_norm double")
-    return kernels.cv_lowrank(cells, grid, maxiter=100)
+    return kernels.cv_lowrank(cells, grid).drop("first_failed")
 
 
 @query("unconverged", rule="staggered")
@@ -236,23 +280,16 @@ def _unconverged(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFram
 def _factors(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
     grid = spark.createDataFrame([(0, LAM_TIME, LAM_UNIT, 10.0)], "g_id int, lam_time double, lam_unit double, lam_norm double")
     tasks = treated_cells(cells).select("u", "t").crossJoin(grid).withColumn("task_id", F.xxhash64("u", "t"))
-    size = cells.agg(F.max("u"), F.max("t")).first()
-    import numpy as np
-
-    n, t = (size[0] + 1, size[1] + 1) if size[0] is not None else (1, 1)
-    low = np.zeros((t, n))  # the average over all fits
-    for r in kernels.averages(kernels.cell_fits(cells, tasks, with_parameters=True, maxiter=200), n)[2].collect():
-        low[r["t"], r["u"]] = r["low"]
-    got = diagnose.factors(low)
+    size = cells.agg(F.max("u")).first()
+    n = size[0] + 1 if size[0] is not None else 1
+    got = diagnose.factors_of(kernels.averages(kernels.cell_fits(cells, tasks, with_parameters=True), n)[2])  # the average over all fits
     return spark.createDataFrame([(got["frobenius"], got["nuclear"], got["effective_rank"], got["max_abs"])], "frobenius double, nuclear double, effective_rank double, max_abs double")
 
 
 @query("boot_joint")
 def _boot_joint(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
     from .plans.strategy import boot_refit
-    from .spec import FitOptions
 
-    full = cells.groupBy().agg((F.count("*") == F.countDistinct("u") * F.countDistinct("t")).alias("full")).first()["full"]
-    if not full:  # the joint method needs every treated cell
+    if not _whole(cells):
         return spark.createDataFrame([], "b int, att double")
     return boot_refit(cells, FitOptions(method="joint"), (LAM_TIME, LAM_UNIT, 1e10)).where("att IS NOT NULL")

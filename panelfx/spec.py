@@ -41,6 +41,10 @@ class SearchFailed(PanelError):
     code = 7
 
 
+class PanelWarning(UserWarning):
+    """A result stands, but on fewer fits than were asked for."""
+
+
 @dataclass(frozen=True)
 class SurveyDesign:
     stratum: str

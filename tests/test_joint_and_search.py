@@ -1,18 +1,19 @@
 """The joint fit over blocks, leave-one-out scores at interior norms, bounded searches and tiles, against dense fits and brute force."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelfx.functions import threads
+from panelfx.functions import ordered, threads
 from panelfx.functions.vectors import subspace, tree_sum
-from panelfx.operators import cv, distance, factored, joint, kernels, native, validate
+from panelfx.operators import cv, diagnose, distance, factored, joint, kernels, native, predict, validate, weights
 from panelfx.operators.index import index_cells
-from panelfx.plans.strategy import estimate, search
-from panelfx.spec import FitOptions, InvalidPanel, PanelSpec
+from panelfx.plans.strategy import Tried, estimate, search
+from panelfx.spec import FitOptions, InvalidPanel, PanelSpec, PanelWarning, SearchFailed
 from test_estimators import block, frame
 
 
@@ -194,3 +195,83 @@ def test_workers_use_one_thread(spark):
             yield pd.DataFrame({"n": threads.threads() or [1]})
 
     assert {r["n"] for r in spark.range(4).mapInPandas(look, "n int").collect()} == {1}
+
+
+def test_ordered_scans(spark):
+    r = np.random.default_rng(2)
+    v = np.unique(np.round(r.normal(size=3000), 3))
+    k = r.integers(1, 9, size=len(v))
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, k, strict=True)], "v double, k long").repartition(5)
+    for slices in (1, 7, 200):
+        got = ordered.running(df, "v", {"s": (F.sum, "k", False), "m": (F.max, "k", False), "n": (F.min, "k", True), "z": (F.sum, "k", True)}, slices).toPandas().sort_values("v")
+        assert (got.s == np.cumsum(k)).all() and (got.m == np.maximum.accumulate(k)).all()
+        assert (got.n == np.minimum.accumulate(k[::-1])[::-1]).all() and (got.z == np.cumsum(k[::-1])[::-1]).all()
+    assert ordered.running(df.where("false"), "v", {"s": (F.sum, "k", False)}).count() == 0
+    p = [0.01, 0.01, 0.02, 0.02, 0.02, 0.5, 0.03]
+    tests = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p double")
+    got = {r["i"]: (r["holm"], r["bh"]) for r in diagnose.multiple(tests, ["i"]).collect()}
+    order = np.argsort(p, kind="stable")
+    holm = np.maximum.accumulate([min(p[j] * (7 - n), 1) for n, j in enumerate(order)])
+    bh = np.minimum.accumulate([min(p[j] * 7 / (n + 1), 1) for n, j in reversed(list(enumerate(order)))])[::-1]
+    for n, j in enumerate(order):
+        assert got[j] == (pytest.approx(holm[n]), pytest.approx(bh[n]))
+    w = spark.createDataFrame([(i, x) for i, x in enumerate([0.3, 0.1, 0.1, 0.1, 0.1, 0.0, 0.0])], "j int, w double")
+    assert weights.stats(w, "j", "w").first()["concentration"] == pytest.approx(2 / 7)
+
+
+def test_factors_and_bias_bound_stay_distributed(spark):
+    y, d = factor_panel(13, 11)
+    cells = index_cells(frame(spark, y, d)).cache()
+    for flip in (False, True):
+        low = np.random.default_rng(5).normal(size=(11, 3)) @ np.random.default_rng(6).normal(size=(3, 13))
+        if flip:
+            low = low[:9]
+        rows = spark.createDataFrame([(int(u), int(t), float(low[t, u])) for t in range(low.shape[0]) for u in range(13)], "u int, t int, low double")
+        got, want = diagnose.factors_of(rows), diagnose.factors(low)
+        for k in want:
+            assert got[k] == pytest.approx(want[k], abs=1e-5), k
+    full = np.random.default_rng(5).normal(size=(11, 4)) @ np.random.default_rng(6).normal(size=(4, 13))
+    rows = spark.createDataFrame([(int(u), int(t), float(full[t, u])) for t in range(11) for u in range(13)], "u int, t int, low double")
+    targets = []
+    for t, u in np.argwhere(d == 1):
+        omega = {r["j"]: r["omega"] for r in weights.omega(cells.where(f"u = {u} AND t = {t}"), cells, 0.4).collect()}
+        targets.append((u, t, np.array([omega[j] for j in range(13)]), np.exp(-0.2 * np.abs(np.arange(11) - t))))
+    for k in (None, 2):
+        got, want = diagnose.triple(cells, rows, 0.2, 0.4, k).first(), diagnose.triple_bias(full, targets, k)
+        for name in want:
+            assert got[name] == pytest.approx(want[name], rel=1e-5, abs=1e-5), name
+
+
+def test_failures_warn_and_abort(spark):
+    tried = Tried()
+    row = lambda ok, n, first: {"q": 1.0, "n_valid": ok, "n_attempted": n, "first_failed": first}
+    tried.add((0, 0, 1), row(97, 100, (3, 1)))
+    tried.judge()
+    tried.add((0, 0, 1), row(80, 100, (2, 9)))
+    with pytest.warns(PanelWarning, match=r"\(2, 9\)"):
+        tried.judge()
+    assert tried.of({"lam_time": 0, "lam_unit": 0, "lam_norm": 1})["first_failed"] == (2, 9)
+    tried.add((0, 1, 1), row(0, 300, (5, 5)))
+    with pytest.raises(SearchFailed):
+        tried.judge()
+
+
+def test_diagnoses_of_a_search(spark):
+    y, d = factor_panel(10, 10, 2, 8)
+    fit = estimate(frame(spark, y, d), options=FitOptions(method="joint", n_boot=8, cv="cycling"), grid=([0.0, 0.5], [0.0, 0.5], [1.0, math.inf]))
+    found = fit.diagnose("loocv")
+    assert found["valid_share"] == 1.0 and found["first_failed"] is None and found["q_min"] == min(r["q"] for r in fit.scores) and found["stage1"]["lam_time"] in (0.0, 0.5)
+    assert found["exhaustive_is_cheap"] and found["n_given_up"] == sum("at_least" in r for r in fit.scores)
+    assert fit.diagnose("triplerob").first()["rank"] >= 1 and fit.diagnose("vce").first()["se"] > 0
+    assert 0 <= fit.diagnose("pretrend").first()["p"] <= 1 and fit.diagnose("sensitivity").count() == 1
+    assert fit.diagnose("factors")["nuclear"] >= 0 and "joint" in fit.diagnose("table")
+    assert predict.signature(fit.cells.repartition(7)) == fit.signature
+    other = replace(fit, cells=fit.cells.withColumn("y", F.when(F.col("u") == 3, F.col("y") + 1e-9).otherwise(F.col("y"))))
+    with pytest.raises(InvalidPanel):
+        other.predict()
+
+
+def test_published_penalties(spark):
+    found = spark.createDataFrame([("PWT", 0.4, 0.3, 0.05), ("Germany", 0.2, 1.26, 0.011), ("Basque", 0.5, None, 0.006), ("mine", 1.0, 1.0, 1.0)], "data string, lam_time double, lam_unit double, lam_norm double")
+    got = {(r["data"], r["penalty"]): r["agrees"] for r in cv.against_published(found).collect()}
+    assert len(got) == 9 and got["PWT", "lam_norm"] and not got["Germany", "lam_unit"] and got["Germany", "lam_norm"] and not got["Basque", "lam_time"] and not got["Basque", "lam_unit"]
