@@ -162,6 +162,30 @@ def solve(problem: Problem, lam: float, tol: float = 1e-6, maxiter: int = 500, s
         state = State(state.beta, np.hstack([state.a, new[:, : t - state.a.shape[1]] * 0.1]), state.gamma)
 
 
+#: What a Gram matrix may cost: residual of its eigenvectors by the greatest eigenvalue, and error of a singular value at the level that matters.
+RESIDUAL, BUDGET = 1e-9, 1e-12
+EPS = float(np.finfo(float).eps)
+
+
+def spectrum(m: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """Left singular vectors and falling singular values, exact for values of ``level`` and more; vectors of lesser ones may be anything.
+
+    From the smaller Gram matrix. That squares the values, so it is taken only where the greatest is so near the level that the error stays in
+    its budget, and where the vectors' residual confirms it; else by a singular value decomposition.
+    """
+    wide = m.shape[0] <= m.shape[1]
+    gram = m @ m.T if wide else m.T @ m
+    size = gram.trace()  # at least the greatest eigenvalue
+    if level > 0 and EPS * size <= BUDGET * level * level:  # false where it isn't finite
+        e, v = np.linalg.eigh(gram)
+        rest = (gram @ v - v * e).ravel()
+        if rest @ rest <= (RESIDUAL * e[-1]) ** 2 or not size:
+            s = np.sqrt(np.maximum(e, 0.0))
+            return (v if wide else m @ (v / np.maximum(s, 1e-300)))[:, ::-1], s[::-1]
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    return u, s
+
+
 class Panel:
     """A dense panel (periods x units) with weights; ``y`` is anything where the weight is 0."""
 
@@ -175,13 +199,7 @@ class Panel:
         return sums(state, self.y, self.w, self.x, lam)
 
     def leading(self, state: State, lam: float) -> tuple[np.ndarray, np.ndarray]:
-        m = self.w * units_given(state, self.y, self.w, self.x, lam)[1]
-        if self.n_units < self.n_periods:
-            s, v = np.linalg.eigh(m.T @ m)
-            s = np.sqrt(np.maximum(s[::-1], 0))
-            return m @ v[:, ::-1] / np.maximum(s, 1e-300), s
-        s, u = np.linalg.eigh(m @ m.T)
-        return u[:, ::-1], np.sqrt(np.maximum(s[::-1], 0))
+        return spectrum(self.w * units_given(state, self.y, self.w, self.x, lam)[1], lam / 2)
 
     def parts(self, state: State, lam: float) -> tuple[np.ndarray, np.ndarray]:
         """Unit effects, and the low-rank part."""

@@ -34,11 +34,11 @@ def shrink(m: np.ndarray, lam: float) -> np.ndarray:
     if not np.isfinite(m).all() or lam >= np.linalg.norm(m):
         return np.zeros_like(m)
     try:
-        u, s, vt = np.linalg.svd(m, full_matrices=False)
+        u, s = factored.spectrum(m, lam)
     except np.linalg.LinAlgError:
         return np.zeros_like(m)
     keep = s - lam > 1e-10
-    return (u[:, keep] * (s[keep] - lam)) @ vt[keep]
+    return (u[:, keep] * (1 - lam / s[keep])) @ (u[:, keep].T @ m)
 
 
 def fit_cell(y: np.ndarray, w: np.ndarray, lam: float, x: np.ndarray | None = None, tol: float = 1e-6, maxiter: int = 500) -> dict:
@@ -148,6 +148,12 @@ def fit_joint(y: np.ndarray, d: np.ndarray, delta: np.ndarray, lam: float, x: np
     }
 
 
+def fits_densely(cells: DataFrame) -> bool:
+    """Whether the panel has no more cells than dense fits take."""
+    size = cells.agg(F.max("u"), F.max("t")).first()
+    return size[0] is None or (size[0] + 1) * (size[1] + 1) <= MOST_CELLS
+
+
 def dense(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Outcome, treatment (NaN where absent) and covariates of a checked number of cells, periods x units."""
     size = cells.agg(F.max("u"), F.max("t"), F.count("*")).first()

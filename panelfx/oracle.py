@@ -247,6 +247,16 @@ ORACLE_SQL: dict[str, str] = {
         [C, pairs(), FIRST, f"wm AS (SELECT x.u, x.t, j.u AS j, s.s, exp(-1.0 * abs(x.t - s.s)) * CASE WHEN x.u = j.u THEN 1 ELSE coalesce(exp(-{LU} * sqrt(p.sum_sq / p.n)), 0) END AS w FROM first x CROSS JOIN units j CROSS JOIN (SELECT DISTINCT t AS s FROM cells) s LEFT JOIN pairs p ON p.i = x.u AND p.j = j.u)"],
         f"SELECT u, t, j, s, {r('w')} FROM wm WHERE w >= 1e-6 * (SELECT max(w) FROM wm)",
     ),
+    "sparse_support": sql(
+        [
+            C, pairs(), "aim AS (SELECT u, t FROM cells WHERE d = 1 AND y IS NOT NULL)",
+            f"wm AS (SELECT x.u, x.t, c.u AS j, c.u = x.u AS own, exp(-1.0 * abs(x.t - c.t)) AS theta, exp(-1.0 * abs(x.t - c.t)) * CASE WHEN x.u = c.u THEN 1 ELSE exp(-{LU} * sqrt(p.sum_sq / p.n)) END AS w FROM aim x CROSS JOIN cells c LEFT JOIN pairs p ON p.i = x.u AND p.j = c.u WHERE c.d = 0 AND c.y IS NOT NULL AND (c.u = x.u OR p.n > 0))",
+            "unit AS (SELECT u, t, j, own, max(w) AS best, max(theta) AS near FROM wm GROUP BY ALL)",
+            "top AS (SELECT u, t, max(best) FILTER (WHERE NOT own) AS top, max(near) FILTER (WHERE own) AS nearest FROM unit GROUP BY u, t)",
+            "cut AS (SELECT u, t, w, theta >= 1e-6 * least(near, nearest) AND (own OR best >= 1e-6 * top) AS kept FROM wm JOIN unit USING (u, t, j, own) JOIN top USING (u, t))",
+        ],
+        "SELECT u, t, count(*) FILTER (WHERE kept) AS n_cells, round(sum(w) FILTER (WHERE kept), 6) + 0.0 AS kept, round(coalesce(sum(w) FILTER (WHERE NOT kept), 0), 6) + 0.0 AS left_out FROM cut GROUP BY u, t",
+    ),
     "first_target": sql([C, FIRST], f"SELECT u, t, {r('y')} FROM first"),
     "grid_default": grid("[0, 0.1, 0.5, 1, 2, 5]", "[0, 0.01, 0.1, 1, 10]"),
     "grid_fine": grid("[0, 0.1, 0.3, 0.5, 1, 2, 5]", "[0, 0.01, 0.0316, 0.1, 0.316, 1, 10]"),

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cv, diagnose, distance, infer, joint, kernels, native, predict, resample, validate
+from ..operators import cv, diagnose, distance, infer, joint, kernels, native, predict, resample, sparse, validate
 from ..operators import weights as native_weights
 from ..operators.index import index_cells, treated_cells, units
 from ..spec import LARGE_PENALTY, FitOptions, InvalidPanel, InvalidSpec, NoControlCell, NoTreatedCell, PanelSpec, PanelWarning, SearchFailed, SurveyDesign, effective_penalty, search_mode
@@ -278,6 +278,8 @@ def effects(cells: DataFrame, options: FitOptions, lam: tuple[float, float, floa
         tau = native.twostep_zero(cells, targets.select("u", "t", "y"), lam[0], lam[1])
     elif path == "inf" and options.method == "twostep":
         tau = native.twostep_inf(cells, lam[0], lam[1])
+    elif options.method == "twostep" and not kernels.fits_densely(cells):
+        tau = sparse.fits(cells, targets, lam, options.tol, options.maxiter)
     elif options.method == "twostep":
         grid = spark.createDataFrame([(0, *map(float, lam))], "g_id int, lam_time double, lam_unit double, lam_norm double")
         tau = kernels.cell_fits(cells, kernels.tasks_for(targets, grid), tol=options.tol, maxiter=options.maxiter)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .oracle import ORACLE_SQL
-from .operators import cv, diagnose, distance, joint, kernels, native, predict, resample, validate, weights
+from .operators import cv, diagnose, distance, joint, kernels, native, predict, resample, sparse, validate, weights
 from .operators.index import index_cells, treated_cells
 from .sources import panels
 from .spec import FitOptions, PanelSpec, SurveyDesign
@@ -118,6 +118,7 @@ simple("distance_summary", distance.distance_summary)
 simple("twostep_theta", lambda c: weights.theta(treated_cells(c), c, LAM_TIME))
 simple("twostep_omega", lambda c: weights.omega(treated_cells(c), c, LAM_UNIT), "staggered")
 simple("weight_matrix", lambda c: weights.weight_matrix(weights.first_target(c), c, LAM_TIME, LAM_UNIT))
+simple("sparse_support", lambda c: sparse.sizes(sparse.support(c, treated_cells(c).select("u", "t"), 1.0, LAM_UNIT), 1.0))
 simple("weight_matrix_sparse", lambda c: weights.weight_matrix(weights.first_target(c), c, 1.0, LAM_UNIT, drop_below=1e-6))
 simple("first_target", lambda c: weights.first_target(c).select("u", "t", "y"))
 simple("joint_delta_time", lambda c: weights.joint_time(c, LAM_TIME))
@@ -216,6 +217,9 @@ def _twostep_lowrank(spark: SparkSession, sf_dir: str, cells: DataFrame) -> Data
     return kernels.cell_fits(cells, tasks).select("u", "t", "tau", "iters", "converged")
 
 
+simple("twostep_sparse", lambda c: sparse.fits(c, treated_cells(c), (1.0, LAM_UNIT, 1.0)))
+
+
 def _whole(cells: DataFrame) -> bool:
     """The joint method needs every treated cell."""
     return cells.agg((F.count("*") == F.countDistinct("u") * F.countDistinct("t")).alias("whole")).first()["whole"]

@@ -42,4 +42,4 @@ def test_query(spark, duck, data, name):
 
 
 def test_every_query_has_sql_or_is_a_fit():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"twostep_lowrank", "joint_lowrank", "cv_lowrank", "unconverged", "factors", "boot_joint", "joint_lowrank_tau", "cv_joint_interior", "joint_rao_wu_interior", "triple_bias"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"twostep_lowrank", "twostep_sparse", "joint_lowrank", "cv_lowrank", "unconverged", "factors", "boot_joint", "joint_lowrank_tau", "cv_joint_interior", "joint_rao_wu_interior", "triple_bias"}
