@@ -40,9 +40,10 @@ class Model:
 
 
 def _clean(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts in lower case, ASCII other than letters blanked, a blank before each; and where each ends."""
+    """The texts in lower case, ASCII other than letters blanked, so many blanks before each that no n-gram reaches into another; and where each ends."""
     low = [t.decode("utf-8", "replace").lower().encode("utf-8").translate(_TABLE) for t in texts]
-    return np.frombuffer(b"\x20" + b"\x20".join(low) + b"\x20\x20\x20\x20", dtype=np.uint8), np.cumsum([len(t) + 1 for t in low])
+    gap = b"\x20" * (max(ORDERS) - 1)
+    return np.frombuffer(gap + gap.join(low) + gap, dtype=np.uint8), np.cumsum([len(t) + len(gap) for t in low])
 
 
 def _grams(b: np.ndarray) -> Iterator[np.ndarray]:
@@ -76,9 +77,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b, _ = _clean(own)
                 for c in range(0, len(b) - max(ORDERS) + 1, BYTES_AT_ONCE):
                     part = b[c : c + BYTES_AT_ONCE + max(ORDERS) - 1]
-                    blank = part[: len(part) - max(ORDERS) + 1] == 32
+                    m = len(part) - max(ORDERS) + 1
+                    blank, run = part[:m] == 32, (part[:m] == 32) & (part[1 : m + 1] == 32)
                     for order, g in zip(ORDERS, _grams(part), strict=True):
-                        n += np.bincount(g[~blank] if order == 1 else g, minlength=1 << BUCKET_BITS)
+                        n += np.bincount(g[~blank] if order == 1 else g[~run], minlength=1 << BUCKET_BITS)
     for lang in list(seen):
         yield passed(lang)
 
@@ -145,6 +147,7 @@ def _words(b: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, n
     """
     n = len(b) - max(ORDERS) + 1
     blank = b[:n] == 32
+    run = blank & (b[1 : n + 1] == 32)  # blanks before blanks say nothing
     begin = np.flatnonzero(blank[:-1] & ~blank[1:])  # a word's n-grams start at the blank before it
     like = np.empty((len(begin), len(model.languages)), dtype=np.float32)
     done = 0
@@ -156,8 +159,7 @@ def _words(b: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, n
         log = np.zeros((z - a, len(model.languages)), dtype=np.float32)
         for order, g in zip(ORDERS, _grams(part), strict=True):
             own = model.loglik[g]
-            if order == 1:
-                own[blank[a:z]] = 0
+            own[blank[a:z] if order == 1 else run[a:z]] = 0
             log += own
         # n-grams of four overlapping orders count each letter about four times
         word = np.add.reduceat(log, begin[done:last] - a, axis=0) / len(ORDERS)
