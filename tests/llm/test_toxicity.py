@@ -135,3 +135,37 @@ def test_shared_counts_are_by_word(spark):
     docs = spark.createDataFrame([(" ".join(f"n{k}" for k in range(300_000)),), ("n1 n1 n2",)], "text string")
     got = toxicity.shared_counts(docs).agg(F.count("*"), F.sum("n"), F.max("n")).first()
     assert tuple(got) == (300_000, 300_003, 3)
+
+
+def test_every_labelled_document_counts(spark):
+    """No class is cut at a number of documents."""
+    n = 12_000
+    docs = spark.range(n + 60).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words "), F.col("id").cast("string"), F.when(F.col("id") % 200 == 0, " telling").otherwise("")).alias("text"))
+    model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 200 == 0).cast("int").alias("toxic")))
+    share = F.count(F.when(uniform(F.col("text"), F.lit("curve")) >= toxicity.CURVE_SHARE, 1))
+    want = {r["y"]: r["n"] for r in docs.groupBy((F.col("doc_id") % 200 == 0).alias("y")).agg(share.alias("n")).collect()}
+    got = model.pairs.where(f"a = {toxicity.START}").agg(F.sum("t"), F.sum("o")).first()
+    assert tuple(got) == (want[True], want[False]) and got[1] > 0.65 * n
+
+
+@pytest.mark.parametrize("most", [1 << 16, 12, 0])
+def test_tables_score_as_the_model_held_here(spark, monkeypatch, most):
+    """However little a task may hold, and with repeated, null and empty texts."""
+    monkeypatch.setattr(toxicity, "MOST_WORDS", most)
+    monkeypatch.setattr(toxicity, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(toxicity, "MOST_BITS", max(1 << 13, most))
+    r = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(80)]
+    p = np.arange(80, 0, -1) / 3240
+    text = lambda y: " ".join([*r.choice(words, r.integers(5, 60), p=p), *(r.choice(["bad", "worse", "w7 w3"], 2) if y else ["w3 w7"])])
+    toxic = [int(k % 4 == 0) for k in range(400)]
+    model = fit(spark, [text(y) for y in toxic], toxic)
+    held = [text(k % 2) + f" new{k} bad" for k in range(60)] + ["", None, "bad bad bad bad"] + ["w1 bad new"] * 3
+    rows = [(k if k % 9 else None, k % 2 == 0, t) for k, t in enumerate(held)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(3), model, ["doc_id", "held_out"]).collect()
+    want = model.score([(t or "").encode() for t in held])
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    got, want = sorted([tuple(x) for x in got], key=key), sorted([(a, b, s) for (a, b, _), s in zip(rows, want, strict=True)], key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-8)
+    assert np.ptp([x[2] for x in got]) > 0.5
