@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.stored import fixed
 from .oracle import ORACLE_SQL
 from .operators import cv, diagnose, distance, joint, kernels, native, predict, resample, sparse, validate, weights
 from .operators.index import index_cells, treated_cells
@@ -33,9 +34,9 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str, rule: str = "block", period: str = "quarter") -> DataFrame:
-    """Nations by period, indexed and treated by a rule."""
-    cells = index_cells(panels.nation_periods(spark, sf_dir, period), PanelSpec(treatment="none"))
-    return panels.treat(cells, rule)
+    """Nations by period, indexed and treated by a rule; the tables behind them are read once, however often a query reads its cells."""
+    cells = index_cells(fixed(panels.nation_periods(spark, sf_dir, period)), PanelSpec(treatment="none"))
+    return fixed(panels.treat(cells, rule))
 
 
 def survey(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:

@@ -10,3 +10,8 @@ def test_queries_cover_the_panel(spark):
     assert [r["n_attempted"] for r in QUERIES["cv_lowrank"](spark, data).collect()] == [n, n]
     assert QUERIES["boot_joint"](spark, data).count() == 200
     assert QUERIES["unconverged"](spark, data).count() == treated_cells(panel(spark, data, "staggered")).count()
+
+
+def test_panels_read_their_tables_once(spark, data):
+    """What a query asks of its cells later doesn't go back to orders and customers."""
+    assert panel(spark, data).inputFiles() == [] and panel(spark, data, "staggered", "month").inputFiles() == []
